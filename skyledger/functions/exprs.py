@@ -191,8 +191,18 @@ def exact_mean(c: ColumnLike, scale: int = 6) -> Column:
     return F.try_divide(F.sum(c.cast(f"decimal(28,{scale})")).cast("double"), F.count(c).cast("double"))
 
 
+def round_to(c: ColumnLike, digits: int) -> Column:
+    """Round halves away from zero.
+
+    A value that binary arithmetic left a hair below the half counts as the
+    half, so the result does not depend on the order in which sums were added.
+    """
+    c, unit = col(c), F.lit(float(10**digits))
+    return F.signum(c) * F.floor(F.abs(c) * unit + F.lit(0.500001)) / unit + F.lit(0.0)
+
+
 def rounded(c: ColumnLike, digits: int = 2) -> Column:
-    return F.round(F.coalesce(col(c), F.lit(0.0)), digits)
+    return round_to(F.coalesce(col(c), F.lit(0.0)), digits)
 
 
 def level_change(before: ColumnLike, after: ColumnLike, order: Mapping[str, int] = K.RISK_ORDINAL) -> Column:
@@ -205,7 +215,7 @@ def level_change(before: ColumnLike, after: ColumnLike, order: Mapping[str, int]
 
 def signed_text(c: ColumnLike, digits: int = 3) -> Column:
     """A rounded number with its sign and at least one decimal, e.g. ``'+0.05'``."""
-    text = F.format_string(f"%+.{digits}f", F.round(col(c), digits))
+    text = F.format_string(f"%+.{digits}f", round_to(c, digits))
     return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
 
 

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from skyledger import constants as K
 from skyledger.functions import exprs as X
 from skyledger.operators.baselines import global_stats
+from skyledger.session import materialize
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """MAE, RMSE, R2 and MAPE (percent, over non-zero actuals)."""
     y, e = F.col(actual), F.col(actual) - F.col(predicted)
-    mean = global_stats(df, {"mean": F.avg(actual)})
-    staged = df.withColumn("__d", F.col(actual) - mean["mean"])
+    mean = global_stats(df, {"mean": F.avg(actual)})["mean"]
+    staged = df.withColumn("__d", F.col(actual) - mean)
     return staged.agg(
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -124,16 +125,10 @@ def residual_report(df: DataFrame, key: str, actual: str = "actual", predicted:
     groups = df.groupBy(key).agg(
         F.avg(F.abs(F.col(actual) - F.col(predicted))).alias("mean_abs_error"), F.count("*").alias("rows")
     )
+    groups = materialize(groups, "residual-groups")
     ends = global_stats(groups, {"low": F.min("mean_abs_error"), "high": F.max("mean_abs_error")})
-    return (
-        groups.withColumn("__e", ends)
-        .withColumns(
-            {
-                "easiest": F.col("mean_abs_error") == F.col("__e.low"),
-                "hardest": F.col("mean_abs_error") == F.col("__e.high"),
-            }
-        )
-        .drop("__e")
+    return groups.withColumns(
+        {"easiest": F.col("mean_abs_error") == ends["low"], "hardest": F.col("mean_abs_error") == ends["high"]}
     )
 
 

@@ -133,11 +133,11 @@ def district_comparison(observations: DataFrame, districts: DataFrame) -> DataFr
 def district_vs_overall(observations: DataFrame, districts: DataFrame) -> DataFrame:
     """Each district's rounded averages, the overall rounded averages and their differences."""
     overall = global_stats(observations, {m: X.rounded(X.exact_mean(m)) for m in MEASURES})
-    df = district_comparison(observations, districts).withColumn("__all", overall)
+    df = district_comparison(observations, districts)
     return df.select(
         "district_id", "district_name", "state", "observation_count", *MEASURES.values(),
-        *[F.col(f"__all.{m}").alias(f"overall_{m}") for m in MEASURES],
-        *[F.round(F.col(out) - F.col(f"__all.{m}"), 2).alias(f"difference_{m}") for m, out in MEASURES.items()],
+        *[overall[m].alias(f"overall_{m}") for m in MEASURES],
+        *[X.round_to(F.col(out) - overall[m], 2).alias(f"difference_{m}") for m, out in MEASURES.items()],
     )
 
 

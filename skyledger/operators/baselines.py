@@ -99,9 +99,14 @@ def month_climatology(panel: DataFrame) -> DataFrame:
     return panel.groupBy("month").agg(*[c.alias(n) for n, c in seasonal_stats().items()])
 
 
-def global_stats(df: DataFrame, stats: Mapping[str, Column]) -> Column:
-    """One-row statistics as a scalar subquery: a struct with one field per name."""
-    return df.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats")).scalar()
+def global_stats(df: DataFrame, stats: Mapping[str, Column]) -> dict[str, Column]:
+    """Whole-frame statistics as literals.
+
+    One aggregated line reaches the driver. As literals the values neither need
+    a join nor get computed again wherever an expression that uses them is copied.
+    """
+    line = df.agg(*[c.cast("double").alias(n) for n, c in stats.items()]).head()
+    return {n: F.lit(line[n]).cast("double") for n in stats}
 
 
 def add_min_max(df: DataFrame, parts: Mapping[str, Column], eps: float = 0.0) -> DataFrame:
@@ -114,12 +119,11 @@ def add_min_max(df: DataFrame, parts: Mapping[str, Column], eps: float = 0.0) ->
         staged,
         {f"{n}_{end}": f(F.col(f"__{n}")) for n in parts for end, f in (("min", F.min), ("max", F.max))},
     )
-    staged = staged.withColumn("__ends", ends)
 
     def scale(n: str) -> Column:
-        value, low, high = F.col(f"__{n}"), F.col(f"__ends.{n}_min"), F.col(f"__ends.{n}_max")
+        value, low, high = F.col(f"__{n}"), ends[f"{n}_min"], ends[f"{n}_max"]
         if eps:
             return (value - low) / (high - low + F.lit(eps))
         return F.when(value.isNotNull(), F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)))
 
-    return staged.withColumns({n: scale(n) for n in parts}).drop("__ends", *[f"__{n}" for n in parts])
+    return staged.withColumns({n: scale(n) for n in parts}).drop(*[f"__{n}" for n in parts])

@@ -91,17 +91,16 @@ def temp_stress(panel: DataFrame, until_year: int | None = None) -> DataFrame:
         {
             "__mean": B.place_month_mean("temperature_c", until_year),
             "__std": B.std_or(B.place_month_std("temperature_c", until_year), missing=B.MISSING_STD["temperature_c"]),
-            "__overall": overall,
         }
     ).withColumn("temperature_anomaly", F.col("temperature_c") - F.col("__mean"))
-    rain = X.clip(X.ratio("rainfall_mm", F.col("__overall.rain")), 0.0, 2.0)
+    rain = X.clip(X.ratio("rainfall_mm", overall["rain"]), 0.0, 2.0)
     return df.withColumns(
         {
             "temperature_zscore": X.clip(X.ratio("temperature_anomaly", "__std"), -4.0, 4.0),
             "temperature_stress": F.col("temperature_anomaly") * (F.lit(1.0) - rain),
             "heat_excess": X.floor_zero(F.col("temperature_c") - F.lit(K.HEAT_THRESHOLD_C)),
         }
-    ).drop("__mean", "__std", "__overall")
+    ).drop("__mean", "__std")
 
 
 def persistence(df: DataFrame) -> DataFrame:
@@ -228,4 +227,4 @@ def drought_features(panel: DataFrame) -> DataFrame:
 def drought_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -> DataFrame:
     """Training table: one-hot zones, leakage columns and incomplete rows removed."""
     df = drought_features(panel).withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
-    return complete_rows(drop_leakage(df, K.LEAKAGE_DROUGHT).drop("climate_zone"))
+    return drop_leakage(df, K.LEAKAGE_DROUGHT).drop("climate_zone").na.drop()

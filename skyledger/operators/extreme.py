@@ -51,7 +51,6 @@ def heatwave_features(df: DataFrame) -> DataFrame:
             "__rain": _relative_rain(),
             "__dry": X.floor_zero(F.col("sm_climo_mean") - sm),
             "__felt": X.apparent_temperature(t, sm),
-            "__coldest": coldest,
         }
     )
     anomaly = F.col("hw_temperature_anomaly")
@@ -63,7 +62,7 @@ def heatwave_features(df: DataFrame) -> DataFrame:
             "hw_heat_stress": anomaly * X.floor_zero(F.lit(2.0) - F.col("__rain")),
             "hw_dry_heat_indicator": F.col("hw_heat_excess") * (F.lit(1.0) - X.clip(sm / F.lit(0.5), 0.0, 1.0)),
             "hw_zone_temp_zscore": X.clip(X.ratio("hw_climate_zone_heat_anomaly", "zone_temp_std"), -5.0, 5.0),
-            "hw_apparent_temperature": X.clip("__felt", F.col("__coldest.low"), 55.0),
+            "hw_apparent_temperature": X.clip("__felt", coldest["low"], 55.0),
             "hw_rolling_heat_3m": H.rolling(anomaly, 3, F.avg, 1),
             "hw_rolling_heat_6m": H.rolling(anomaly, 6, F.avg, 1),
         }
@@ -78,7 +77,7 @@ def heatwave_features(df: DataFrame) -> DataFrame:
         }
     )
     df = H.add_streaks(df, {"hw_consecutive_hot_months": H.lag(anomaly) > F.col("temp_climo_std")})
-    return df.drop("__rain", "__dry", "__felt", "__coldest", "__hot", "__rainless")
+    return df.drop("__rain", "__dry", "__felt", "__hot", "__rainless")
 
 
 def extreme_rain_features(df: DataFrame) -> DataFrame:
@@ -191,7 +190,7 @@ BASELINE_COLUMNS = (
 def extreme_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -> DataFrame:
     """Training table for both tasks."""
     df = extreme_features(panel).withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
-    return complete_rows(drop_leakage(df, K.LEAKAGE_EXTREME + BASELINE_COLUMNS))
+    return drop_leakage(df, K.LEAKAGE_EXTREME + BASELINE_COLUMNS).na.drop()
 
 
 def score_by_zone(df: DataFrame, score: str, category: str) -> DataFrame:

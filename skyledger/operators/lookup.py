@@ -40,8 +40,7 @@ def match_history(requests: DataFrame, history: DataFrame, city: str = "city") -
     very often, or recorded very often, is one calendar's worth of lines.
     """
     asked = requests.select(F.col(city).alias("city"), "year", "month").distinct()
-    known = materialize(history.select("city", "year", "month").distinct(), "history-keys")
-    asked = materialize(asked, "requests")
+    known = history.select("city", "year", "month").distinct()
 
     exact = known.select("city", "year", "month", F.lit(True).alias("exact"))
     newest = known.groupBy("city", "month").agg(F.max("year").alias("newest"))
@@ -54,9 +53,13 @@ def match_history(requests: DataFrame, history: DataFrame, city: str = "city") -
         F.when(F.col("exact"), F.lit(0)).otherwise(F.lit(1)).alias("match"),
     )
 
+    unanswered = step.filter(F.col("newest").isNull())
+    if unanswered.isEmpty():
+        return direct
+
     # The month is unknown for the city: nearest record before or after, by merging
     # both calendars of the city into one timeline.
-    open_ = step.filter(F.col("newest").isNull()).select(
+    open_ = unanswered.select(
         "city", _serial(F.col("year"), F.col("month")).alias("at"), "year", "month", F.lit(None).cast("int").alias("rec")
     )
     serial = _serial(F.col("year"), F.col("month"))
@@ -94,12 +97,12 @@ def with_history(requests: DataFrame, history: DataFrame) -> DataFrame:
         "city", F.col("year").alias("record_year"), F.col("month").alias("record_month"), *carried
     )
     answers = matched.join(records, ["city", "record_year", "record_month"], "left")
-    return requests.join(materialize(answers, "answers"), ["city", "year", "month"], "left")
+    return requests.join(answers, ["city", "year", "month"], "left")
 
 
 def with_normals(requests: DataFrame, panel: DataFrame) -> DataFrame:
     """Add the normals of the city and month, the zone and month, the month, and overall."""
-    place = materialize(B.place_month_climatology(panel), "place-normals")
+    place = B.place_month_climatology(panel)
     zone = materialize(B.zone_month_climatology(panel), "zone-normals")
     season = materialize(B.month_climatology(panel), "month-normals")
     overall = B.global_stats(panel, {"rain": F.avg("rainfall_mm"), "low": F.min("temperature_c")})
@@ -109,9 +112,7 @@ def with_normals(requests: DataFrame, panel: DataFrame) -> DataFrame:
         .join(season, ["month"], "left")
     )
     return (
-        joined.withColumn("__overall", overall)
-        .withColumns({"overall_rain_mean": F.col("__overall.rain"), "coldest_c": F.col("__overall.low")})
-        .drop("__overall")
+        joined.withColumns({"overall_rain_mean": overall["rain"], "coldest_c": overall["low"]})
     )
 
 

@@ -9,7 +9,7 @@ from skyledger import constants as K
 from skyledger.functions import exprs as X
 from skyledger.functions import history as H
 from skyledger.operators.baselines import global_stats
-from skyledger.operators.cleaning import complete_rows
+from skyledger.functions.exprs import finite_columns
 
 
 def convert_units(raw: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def convert_units(raw: DataFrame) -> DataFrame:
 
 def base_panel(raw: DataFrame) -> DataFrame:
     """The 28-column panel. Rows without a full six-row history or a next row are left out."""
+    raw = finite_columns(raw)
     df = H.by_entity(convert_units(raw))
     df = df.withColumns(
         {
@@ -52,10 +53,8 @@ def base_panel(raw: DataFrame) -> DataFrame:
             "drought_risk": H.percentile_labels("__dryness", (0.75, 0.90), K.PANEL_LABELS, closed="right"),
         }
     )
-    ends = global_stats(
-        raw.select(X.celsius("t2m").alias("t")), {"low": F.min("t"), "high": F.max("t")}
-    )
-    scaled = F.try_divide(F.col("temperature_c") - F.col("__ends.low"), F.col("__ends.high") - F.col("__ends.low"))
+    ends = global_stats(raw.select(X.celsius("t2m").alias("t")), {"low": F.min("t"), "high": F.max("t")})
+    scaled = F.try_divide(F.col("temperature_c") - ends["low"], ends["high"] - ends["low"])
     score = X.weighted(
         [
             (0.30, scaled),
@@ -63,10 +62,8 @@ def base_panel(raw: DataFrame) -> DataFrame:
             (0.35, X.encode("drought_risk", K.PANEL_LABEL_SCORE)),
         ]
     )
-    df = df.withColumn("__ends", ends).withColumn(
-        "climate_risk_score", F.round(X.clip(score * F.lit(100.0), 0.0, 100.0), 2)
-    )
-    return complete_rows(df.select(*K.PANEL_COLUMNS)).dropDuplicates()
+    df = df.withColumn("climate_risk_score", X.round_to(X.clip(score * F.lit(100.0), 0.0, 100.0), 2))
+    return df.select(*K.PANEL_COLUMNS).na.drop().dropDuplicates()
 
 
 def absolute_risk_labels(panel: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import exprs as X
+from skyledger.operators.baselines import global_stats
 from skyledger.operators.ordering import exact_percentiles, value_ranks
 from skyledger.operators.skew import attach_by_key
 
@@ -37,7 +38,7 @@ def class_distribution(df: DataFrame, column: str, classes: Sequence[str]) -> Da
             F.struct(
                 F.lit(c).alias("category"),
                 F.col(f"n{i}").alias("rows"),
-                F.round(F.try_divide(F.lit(100.0) * F.col(f"n{i}"), F.col("total")), 1).alias("pct"),
+                X.round_to(F.try_divide(F.lit(100.0) * F.col(f"n{i}"), F.col("total")), 1).alias("pct"),
             )
             for i, c in enumerate(classes)
         ],
@@ -194,16 +195,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, column: str, width: float = 3.0) -> DataFrame:
     """Upper fence ``q3 + width * (q3 - q1)`` and the rows above it."""
-    quartiles = exact_percentiles(df, [column], (0.25, 0.75)).agg(
-        F.struct(F.min("value").alias("q1"), F.max("value").alias("q3")).alias("q")
-    )
-    fenced = df.withColumn("__q", quartiles.scalar()).withColumn(
-        "__fence", F.col("__q.q3") + F.lit(width) * (F.col("__q.q3") - F.col("__q.q1"))
-    )
-    return fenced.agg(
-        F.max("__fence").alias("fence"),
-        F.count_if(F.col(column) > F.col("__fence")).alias("outliers"),
-        (F.lit(100.0) * F.count_if(F.col(column) > F.col("__fence")) / F.count("*")).alias("pct"),
+    q = global_stats(exact_percentiles(df, [column], (0.25, 0.75)), {"q1": F.min("value"), "q3": F.max("value")})
+    fence = q["q3"] + F.lit(width) * (q["q3"] - q["q1"])
+    counts = df.agg(F.count_if(F.col(column) > fence).alias("outliers"), F.count("*").alias("n"))
+    return counts.select(
+        fence.alias("fence"), "outliers", (F.lit(100.0) * F.col("outliers") / F.col("n")).alias("pct")
     )
 
 

@@ -122,4 +122,4 @@ def rainfall_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -
         land_trends(temperature_anomaly(rain_momentum(rain_anomaly(monsoon(df)))))
     )
     df = df.withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
-    return complete_rows(drop_leakage(df, K.LEAKAGE_RAINFALL))
+    return drop_leakage(df, K.LEAKAGE_RAINFALL).na.drop()

@@ -125,11 +125,11 @@ def trend_records(evaluated: DataFrame, base: int, final: int) -> DataFrame:
         "district_id",
         F.col("target_district_name").alias("district_name"),
         F.col("target_state").alias("state"),
-        F.round(change("predicted_temperature_c") / years, 4).alias("warming_rate_per_year"),
-        F.round(change("drought_severity_score"), 4).alias("drought_severity_delta"),
-        F.round(change("water_stress_index"), 4).alias("water_stress_delta"),
-        F.round(change("heatwave_severity"), 4).alias("heatwave_severity_delta"),
-        F.round(change(SCORE) / years, 4).alias("hotspot_emergence_rate"),
+        X.round_to(change("predicted_temperature_c") / years, 4).alias("warming_rate_per_year"),
+        X.round_to(change("drought_severity_score"), 4).alias("drought_severity_delta"),
+        X.round_to(change("water_stress_index"), 4).alias("water_stress_delta"),
+        X.round_to(change("heatwave_severity"), 4).alias("heatwave_severity_delta"),
+        X.round_to(change(SCORE) / years, 4).alias("hotspot_emergence_rate"),
     )
 
 
@@ -161,7 +161,7 @@ def emerging(evaluated: DataFrame, base: int, target: int, top_n: int = 10) -> D
         F.col(f"target_{SCORE}").alias(SCORE),
         F.col(f"base_{SCORE}").alias("base_hotspot_score"),
         F.col("base_hotspot_risk_band").alias("base_risk_band"),
-        F.round(growth, 4).alias("growth_rate_per_year"),
+        X.round_to(growth, 4).alias("growth_rate_per_year"),
     )
     return top_list(df, "emerging_risks", F.desc("growth_rate_per_year"), top_n)
 

@@ -119,13 +119,13 @@ def chain(state: DataFrame, scorer: Scorer = STAND_IN, local: bool = True) -> Da
             "drought_confidence": score,
             "drought_confidence_level": level,
         }
-    ).withColumn("drought_severity_score", F.round("drought_risk", 3))
+    ).withColumn("drought_severity_score", X.round_to("drought_risk", 3))
     for hazard in ("heatwave", "extreme_rainfall"):
         df = df.withColumns(
             {
                 f"{hazard}_category": R.classify(f"{hazard}_probs"),
-                f"{hazard}_severity": F.round(X.clip(F.col(f"{hazard}_raw") * F.lit(100.0), 0.0, 100.0), 1),
-                f"{hazard}_confidence": F.round(F.array_max(f"{hazard}_probs"), 3),
+                f"{hazard}_severity": X.round_to(X.clip(F.col(f"{hazard}_raw") * F.lit(100.0), 0.0, 100.0), 1),
+                f"{hazard}_confidence": X.round_to(F.array_max(f"{hazard}_probs"), 3),
             }
         )
     return R.overall_risk(df)
@@ -139,8 +139,8 @@ def hotspot(df: DataFrame, bands: Sequence[tuple[float, str]] = K.RISK_BANDS) ->
     warm = X.clip((F.col("temperature_c") - F.lit(25.0)) / F.lit(20.0), 0.0, 1.0)
     df = df.withColumns(
         {
-            "water_stress_index": F.round(X.clip(X.weighted(zip(WATER_WEIGHTS, (dry, thirst, runoff))), 0.0, 1.0), 4),
-            "crop_stress_index": F.round(X.clip(X.weighted(zip(CROP_WEIGHTS, (dry, warm, warm * dry))), high=1.0), 4),
+            "water_stress_index": X.round_to(X.clip(X.weighted(zip(WATER_WEIGHTS, (dry, thirst, runoff))), 0.0, 1.0), 4),
+            "crop_stress_index": X.round_to(X.clip(X.weighted(zip(CROP_WEIGHTS, (dry, warm, warm * dry))), high=1.0), 4),
         }
     )
     return with_hotspot_score(df, bands)
@@ -157,7 +157,7 @@ def with_hotspot_score(df: DataFrame, bands: Sequence[tuple[float, str]] = K.RIS
             (w["extreme_rainfall"], "extreme_rainfall_severity"),
         ]
     )
-    df = df.withColumn("hotspot_score", F.round(X.clip(score, 0.0, 100.0), 2))
+    df = df.withColumn("hotspot_score", X.round_to(X.clip(score, 0.0, 100.0), 2))
     return df.withColumn("hotspot_risk_band", X.bands("hotspot_score", bands, "Low"))
 
 
@@ -200,13 +200,14 @@ def evaluate_districts(
     df = evaluate(requests, panel, features, scorer)
     df = df.withColumns(
         {
-            "predicted_temperature_c": F.round("temperature_c", 2),
-            "predicted_rainfall_mm": F.round("rainfall_mm", 2),
-            "soil_moisture": F.round("soil_moisture", 4),
-            "drought_severity_score": F.round("drought_severity_score", 4),
+            "predicted_temperature_c": X.round_to("temperature_c", 2),
+            "predicted_rainfall_mm": X.round_to("rainfall_mm", 2),
+            "soil_moisture": X.round_to("soil_moisture", 4),
+            "drought_severity_score": X.round_to("drought_severity_score", 4),
         }
-    ).filter(F.col("hotspot_score").isNotNull())
-    return materialize(df.select(*EVALUATED_COLUMNS, "scenario"), "evaluated")
+    )
+    # Filtered after writing: pushed into the long expression chain, the filter would copy it.
+    return materialize(df.select(*EVALUATED_COLUMNS, "scenario"), "evaluated").na.drop(subset=["hotspot_score"])
 
 
 def target_dates(base: Column, timeframe: str) -> Column:
@@ -254,9 +255,9 @@ def projections(
     rain = F.col("predicted_rainfall_mm")
     scored = scored.select(
         "district_id", "year", "month",
-        F.round("temperature_c", 2).alias("temperature_out"),
+        X.round_to("temperature_c", 2).alias("temperature_out"),
         "temperature_confidence",
-        F.round("rainfall_mm", 2).alias("rainfall_out"),
+        X.round_to("rainfall_mm", 2).alias("rainfall_out"),
         R.rainfall_confidence(F.col("__std")).alias("rainfall_confidence"),
         R.rainfall_confidence_score(rain, rmse).alias("rainfall_confidence_score"),
         R.monsoon_status(rain, F.col("rain_climo_mean")).alias("monsoon_status"),
@@ -280,8 +281,8 @@ def generate_forecasts(
     scored = scorer.temperature(state).withColumn("temperature_c", F.col("predicted_temperature_c"))
     scored = scorer.rainfall(scored).select(
         "district_id", "year", "month",
-        F.round("predicted_rainfall_mm", 2).alias("predicted_rainfall"),
-        F.round("predicted_temperature_c", 2).alias("predicted_temperature"),
+        X.round_to("predicted_rainfall_mm", 2).alias("predicted_rainfall"),
+        X.round_to("predicted_temperature_c", 2).alias("predicted_temperature"),
     )
     return dated.select("district_id", "forecast_date", "year", "month").join(
         scored, ["district_id", "year", "month"]
@@ -323,7 +324,7 @@ def compare_scenarios(scored: DataFrame, humidity: DataFrame, default_humidity:
         .withColumn("baseline_humidity", F.coalesce("__humidity", F.lit(default_humidity)))
     )
     wet = F.col("baseline_humidity") * (F.lit(1.0) + F.col("soil_moisture_delta") / F.lit(100.0))
-    df = df.withColumn("scenario_humidity", F.round(X.clip(wet, 0.0, 100.0), 2))
+    df = df.withColumn("scenario_humidity", X.round_to(X.clip(wet, 0.0, 100.0), 2))
     return df.select(
         "district_id", "scenario", "baseline_state", F.col("state").alias("scenario_state"),
         "baseline_humidity", "scenario_humidity",

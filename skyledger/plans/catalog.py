@@ -62,7 +62,7 @@ def out(df: DataFrame, columns: Sequence[str | Column] | None = None, digits: in
     def one(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            return (F.round(c, digits) + F.lit(0.0)).alias(name)
+            return X.round_to(c, digits).alias(name)
         if kind in ("integer", "short", "byte"):
             return c.cast("long").alias(name)
         return c.cast("string").alias(name) if kind == "date" else c.alias(name)
@@ -592,9 +592,9 @@ register(
 )
 register(
     "iqr_outliers",
-    f"""WITH f AS (SELECT quantile_cont(l_extendedprice, 0.75) + 0.2::DOUBLE * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS fence FROM lineitem)
+    q.half_away(f"""WITH f AS (SELECT quantile_cont(l_extendedprice, 0.75) + 0.2::DOUBLE * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS fence FROM lineitem)
     SELECT {q.r("max(fence)", 4, "fence")}, count(*) FILTER (l_extendedprice > fence) AS outliers,
-    {q.r("100.0::DOUBLE * count(*) FILTER (l_extendedprice > fence) / count(*)", 4, "pct")} FROM lineitem CROSS JOIN f""",
+    {q.r("100.0::DOUBLE * count(*) FILTER (l_extendedprice > fence) / count(*)", 4, "pct")} FROM lineitem CROSS JOIN f"""),
 )(lambda t: out(Q.iqr_outliers(t.read("lineitem"), "l_extendedprice", width=0.2)))
 register(
     "coverage",
@@ -1162,7 +1162,7 @@ register(
     q.query(
         ("sc", "obs"),
         f"""SELECT s.district_id, s.scenario, {_change("overall_risk_category", "risk_change")}, {_change("drought_category", "drought_change")},
-        regexp_replace(printf('%+.3f', CASE WHEN {CONF_DIFF} = 0 THEN 0.0::DOUBLE ELSE {CONF_DIFF} END), '(\\.\\d+?)0+$', '\\1') AS confidence_change,
+        regexp_replace(printf('%+.3f', {CONF_DIFF}), '(\\.\\d+?)0+$', '\\1') AS confidence_change,
         CASE WHEN s.temperature_c > 32 AND coalesce(h, 60.0) > 70 THEN 'Uncomfortable' WHEN s.temperature_c BETWEEN 20 AND 26 THEN 'Pleasant' ELSE 'Moderate' END AS comfort_index,
         {q.r("coalesce(h, 60.0)", 4, "baseline_humidity")}, {q.r("s.temperature_c", 4, "scenario_temperature")}, {q.r("b.rainfall_mm", 4, "baseline_rainfall")}
         FROM (SELECT * FROM sc WHERE scenario <> 'baseline') s JOIN (SELECT * FROM sc WHERE scenario = 'baseline') b USING (district_id)
@@ -1226,7 +1226,7 @@ register(
 
 q.cte(
     "diag", ("dr_cat",),
-    f"""SELECT *, drought_category AS true, rainfall_mm AS actual, rainfall_prev_1 AS predicted FROM
+    f"""SELECT *, drought_category AS "true", rainfall_mm AS actual, rainfall_prev_1 AS predicted FROM
     (SELECT *, lag(drought_category) {q.W} AS pred FROM dr_cat) WHERE pred IS NOT NULL""",
 )
 
@@ -1259,7 +1259,7 @@ q.cte(
     """SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2.0 * precision * recall / (precision + recall) END AS f1 FROM (
     SELECT c AS category, hits, support, predicted, total, CASE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE hits / predicted::DOUBLE END AS precision,
     CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE hits / support::DOUBLE END AS recall FROM (
-    SELECT c, count(*) FILTER (true = c AND pred = c) AS hits, count(*) FILTER (true = c) AS support, count(*) FILTER (pred = c) AS predicted, count(*) AS total
+    SELECT c, count(*) FILTER ("true" = c AND pred = c) AS hits, count(*) FILTER ("true" = c) AS support, count(*) FILTER (pred = c) AS predicted, count(*) AS total
     FROM diag CROSS JOIN (VALUES ('Low'), ('Medium'), ('High'), ('Extreme')) v(c) GROUP BY c))""",
 )
 register(
@@ -1274,12 +1274,12 @@ register(
         {q.r("avg(f1)", 4, "macro_f1")}, {q.r("sum(f1 * support) / sum(support)::DOUBLE", 4, "weighted_f1")} FROM class_scores WHERE support > 0 OR predicted > 0""",
     ),
 )(lambda t: out(D.classification_metrics(_diagnosed(t))))
-register("confusion", q.query(("diag",), "SELECT true, pred, count(*) AS rows FROM diag GROUP BY 1, 2"))(
+register("confusion", q.query(("diag",), 'SELECT "true", pred, count(*) AS rows FROM diag GROUP BY 1, 2'))(
     lambda t: D.confusion(_diagnosed(t))
 )
 register(
     "top_confusions",
-    q.query(("diag",), "SELECT true, pred, count(*) AS rows FROM diag WHERE true <> pred GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 5"),
+    q.query(("diag",), 'SELECT "true", pred, count(*) AS rows FROM diag WHERE "true" <> pred GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 5'),
 )(lambda t: D.top_confusions(_diagnosed(t)))
 for _key in ("climate_zone", "month"):
     register(
@@ -1287,15 +1287,15 @@ for _key in ("climate_zone", "month"):
         q.query(
             ("diag",),
             f"""SELECT {_key}, rows, {q.rs("accuracy severe_share extreme_detection")} FROM (SELECT {_key}, count(*) AS rows,
-            avg(CASE WHEN true = pred THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN true IN ('High', 'Extreme') THEN 1.0 ELSE 0.0 END) AS severe_share,
-            avg(CASE WHEN true = 'Extreme' THEN CASE WHEN pred = true THEN 1.0 ELSE 0.0 END END) AS extreme_detection FROM diag GROUP BY 1)""",
+            avg(CASE WHEN "true" = pred THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN "true" IN ('High', 'Extreme') THEN 1.0 ELSE 0.0 END) AS severe_share,
+            avg(CASE WHEN "true" = 'Extreme' THEN CASE WHEN pred = "true" THEN 1.0 ELSE 0.0 END END) AS extreme_detection FROM diag GROUP BY 1)""",
         ),
     )(lambda t, key=_key: out(D.accuracy_by(_diagnosed(t), key)))
 register(
     "extreme_recall",
     q.query(
         ("diag",),
-        f"""SELECT {q.r("x", 4, "extreme_recall")}, {q.r("1.0 - x", 4, "extreme_fn_rate")} FROM (SELECT avg(CASE WHEN true = 'Extreme' THEN CASE WHEN pred = 'Extreme' THEN 1.0 ELSE 0.0 END END) AS x FROM diag)""",
+        f"""SELECT {q.r("x", 4, "extreme_recall")}, {q.r("1.0 - x", 4, "extreme_fn_rate")} FROM (SELECT avg(CASE WHEN "true" = 'Extreme' THEN CASE WHEN pred = 'Extreme' THEN 1.0 ELSE 0.0 END END) AS x FROM diag)""",
     ),
 )(lambda t: out(D.extreme_recall(_diagnosed(t))))
 
@@ -1312,8 +1312,8 @@ register(
     "confident_errors",
     q.query(
         ("diag",),
-        f"""SELECT {q.KEYS}, true, pred, {q.rs("p_pred p_true margin")} FROM (SELECT *, p_pred - p_true AS margin FROM (SELECT *, {_prob_sql("pred")} AS p_pred,
-        {_prob_sql("true")} AS p_true FROM diag WHERE true <> pred) ORDER BY margin DESC, city, date LIMIT 10)""",
+        f"""SELECT {q.KEYS}, "true", pred, {q.rs("p_pred p_true margin")} FROM (SELECT *, p_pred - p_true AS margin FROM (SELECT *, {_prob_sql("pred")} AS p_pred,
+        {_prob_sql('"true"')} AS p_true FROM diag WHERE "true" <> pred) ORDER BY margin DESC, city, date LIMIT 10)""",
     ),
 )(lambda t: out(D.confident_errors(_diagnosed(t), ["city", "date"])))
 register(

@@ -27,12 +27,31 @@ def query(needs: tuple[str, ...], select: str) -> str:
     for n in needs:
         visit(n)
     parts = ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order)
-    return f"WITH {parts}\n{select}" if parts else select
+    return half_away(f"WITH {parts}\n{select}" if parts else select)
+
+
+def half_away(sql: str) -> str:
+    """Write out every ``round(x, digits)`` with the rounding rule of ``exprs.round_to``."""
+    start = sql.find("round(")
+    while start >= 0:
+        if start and (sql[start - 1].isalnum() or sql[start - 1] == "_"):
+            start = sql.find("round(", start + 1)
+            continue
+        depth, i, comma = 1, start + 6, -1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        x, unit = sql[start + 6 : comma], f"{10.0 ** int(sql[comma + 1 : i - 1])}::DOUBLE"
+        sql = f"{sql[:start]}(sign({x}) * floor(abs({x}) * {unit} + 0.500001::DOUBLE) / {unit} + 0.0::DOUBLE){sql[i:]}"
+        start = sql.find("round(")
+    return sql
 
 
 def r(expr: str, digits: int = 4, name: str | None = None) -> str:
     """Rounded output column; never a negative zero."""
-    return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits}) END AS {name or expr}"
+    return f"round({expr}, {digits}) AS {name or expr}"
 
 
 def rs(names: str, digits: int = 4) -> str:

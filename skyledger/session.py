@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even where that costs one more shuffle above.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Window stages cost far more per byte than a plain scan: let small shuffles
+    # still use every core. Large ones are cut by the advisory size as usual.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16kb",
 }
 
 
@@ -31,7 +34,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Wide feature plans generate more classes than the default cache holds.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
