@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.operators.skew import attach_by_key
 from skyledger.session import materialize
 
 # Up to this many places are held in the plan as one array.
@@ -44,13 +45,13 @@ def nearest_place(
     )
     index = materialize(index.na.drop().groupBy("px", "py").agg(F.min("name").alias("name")), "places")
     named = points.withColumns({"__x": F.col(px).cast("double"), "__y": F.col(py).cast("double")})
-    spots = named.select("__x", "__y").na.drop().distinct()
+    spots = named.select("__x", "__y").na.drop().groupBy("__x", "__y").agg(F.count("*").alias("__n"))
     if index.limit(small + 1).count() <= small:
         best = _by_array(spots, index, prefer)
     else:
         best = _by_cells(spots, index, prefer)
-    best = materialize(best.select("__x", "__y", F.col("name").alias(out)), "nearest")
-    return named.join(best, ["__x", "__y"], "left").drop("__x", "__y")
+    lookup = best.select("__x", "__y", F.col("name").alias(out), "__n")
+    return attach_by_key(named, lookup, ["__x", "__y"], "__n").drop("__x", "__y")
 
 
 def _by_array(spots: DataFrame, index: DataFrame, prefer: Prefer) -> DataFrame:
@@ -63,7 +64,7 @@ def _by_array(spots: DataFrame, index: DataFrame, prefer: Prefer) -> DataFrame:
         return F.struct(distance.alias("d"), *extra, s["name"].alias("name"))
 
     return spots.withColumn("all", array).select(
-        "__x", "__y", F.array_min(F.transform("all", rank))["name"].alias("name")
+        "__x", "__y", "__n", F.array_min(F.transform("all", rank))["name"].alias("name")
     )
 
 
@@ -102,7 +103,7 @@ def _by_cells(spots: DataFrame, index: DataFrame, prefer: Prefer) -> DataFrame:
     hits = front.drop("s").join(placed, ["cx", "cy"])
     distance = _square(F.col("px") - F.col("__x"), F.col("py") - F.col("__y"))
     order = F.struct(distance, *prefer(F.col("px"), F.col("py")), F.col("name"))
-    return hits.groupBy("__x", "__y").agg(F.min_by("name", order).alias("name"))
+    return hits.groupBy("__x", "__y").agg(F.min_by("name", order).alias("name")).join(spots, ["__x", "__y"])
 
 
 def _prune(front: DataFrame, width: float) -> DataFrame:

@@ -11,6 +11,7 @@ from skyledger import constants as K
 from skyledger.functions import exprs as X
 from skyledger.operators import baselines as B
 from skyledger.operators.cleaning import last_per_key
+from skyledger.operators.skew import attach_by_key
 from skyledger.session import materialize
 
 # Yearly drift beyond the last record.
@@ -148,13 +149,21 @@ def state_rows(
     full feature table to carry streaks and accumulated deficits along instead
     of their defaults. Year and month are cleaned: text is read as a number,
     the month is limited to 1 to 12.
+
+    The state depends on city, year and month only, so it is built once per
+    distinct combination and attached to the requests in one join, in which a
+    city that most requests ask for is split.
     """
+    keys = ["city", "year", "month"]
+    place = [c for c in ("latitude", "longitude") if c in requests.columns]
     cleaned = requests.withColumns({"year": X.as_int("year", 2024), "month": X.valid_month("month")})
-    record = panel if features is None else features
-    df = with_history(cleaned, record)
-    df = X.with_defaults(df, K.STATE_DEFAULTS)
-    df = with_normals(drift(df), panel)
-    df = X.with_defaults(df, K.CLIMATOLOGY_DEFAULTS)
+    cleaned = X.with_defaults(cleaned, {c: K.STATE_DEFAULTS[c] for c in place}) if place else cleaned
+    asked = cleaned.groupBy(*keys).agg(F.max("climate_zone").alias("climate_zone"), F.count("*").alias("__n"))
+    state = with_history(asked, panel if features is None else features)
+    state = drift(X.with_defaults(state, K.STATE_DEFAULTS))
+    state = X.with_defaults(with_normals(state, panel), K.CLIMATOLOGY_DEFAULTS)
+    own = set(cleaned.columns) - set(keys)
+    df = attach_by_key(cleaned, state.select(*[c for c in state.columns if c not in own]), keys, "__n")
     return override(df, given) if given else df
 
 

@@ -38,6 +38,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "8g")
         # Wide feature plans generate more classes than the default cache holds.
         .config("spark.sql.codegen.cache.maxEntries", "1000")
+        # Recording a Python call site for every column costs more than the column.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,38 +47,41 @@ def validate(rows: DataFrame, districts: DataFrame, store: DataFrame, row: str =
             },
         }
     )
-    known = districts.select(F.col("district_id").alias("__district"), F.lit(True).alias("__known")).distinct()
-    parsed = parsed.join(known, "__district", "left")
-
-    key_error = F.coalesce(
-        F.when(~(_present("district_id") & _present("observation_date")), F.lit("missing key")),
-        F.when(F.col("__district").isNull(), F.lit("district is not a number")),
-        F.when(F.col("__known").isNull(), F.lit("unknown district")),
-        F.when(F.col("__date").isNull(), F.lit("invalid date")),
-    )
     measure_error = F.coalesce(
         *[F.when(F.col(f"__{m}").isNull(), F.lit(f"{m} is not a number")) for m in MEASURES],
         F.when(~F.col("__humidity").between(0.0, 100.0), F.lit("humidity out of range")),
     )
-    checked = parsed.withColumns({"__key_error": key_error, "__measure_error": measure_error})
+    # Rows without a readable district or date share one stand-in key each.
+    checked = parsed.withColumns(
+        {
+            "__measure_error": measure_error,
+            "__id": F.coalesce("__district", F.lit(-1)),
+            "__day": F.coalesce("__date", F.lit(date(1000, 1, 1))),
+        }
+    )
 
-    # First valid row per key, combined on the map side, and the stored keys.
-    sound = F.col("__key_error").isNull()
-    taken = (
-        checked.filter(sound)
-        .groupBy("__district", "__date")
-        .agg(
-            F.min(F.when(F.col("__measure_error").isNull(), F.col(row))).alias("__first"),
-            F.count("*").alias("__rows"),
-        )
+    # What is known about a key: its first valid row, whether the district exists
+    # and whether the key is stored. Rows are combined per key on the map side, so
+    # the joins below see one line per key however many rows it has.
+    sound = F.col("__measure_error").isNull()
+    per_key = checked.groupBy("__id", "__day").agg(
+        F.min(F.when(sound, F.col(row))).alias("__first"), F.count("*").alias("__rows")
     )
+    known = districts.select(F.col("district_id").alias("__id"), F.lit(True).alias("__known")).distinct()
     stored = store.select(
-        F.col("district_id").alias("__district"), F.col("observation_date").alias("__date"),
-        F.lit(True).alias("__stored"),
+        F.col("district_id").alias("__id"), F.col("observation_date").alias("__day"), F.lit(True).alias("__stored")
     ).distinct()
-    taken = taken.join(stored, ["__district", "__date"], "left")
-    df = attach_by_key(checked, taken, ["__district", "__date"], "__rows")
+    per_key = per_key.join(known, "__id", "left").join(stored, ["__id", "__day"], "left")
+    df = attach_by_key(checked, per_key, ["__id", "__day"], "__rows")
 
+    key_error = F.coalesce(
+        F.when(~(_present("district_id") & _present("observation_date")), F.lit("missing key")),
+        F.when(F.col("__district").isNull(), F.lit("district is not a number")),
+        F.when(F.col("__known").isNull(), F.lit("unknown district")),
+        F.when(F.col("__date").isNull(), F.lit("invalid date")),
+    )
+    df = df.withColumn("__key_error", key_error)
+    sound = F.col("__key_error").isNull()
     repeat = sound & (F.coalesce(F.col("__stored"), F.lit(False)) | F.coalesce(F.col(row) > F.col("__first"), F.lit(False)))
     error = F.coalesce(F.col("__key_error"), F.when(~repeat, F.col("__measure_error")))
     status = F.when(repeat, F.lit(DUPLICATE)).when(error.isNull(), F.lit(ACCEPTED)).otherwise(F.lit(FAILED))
