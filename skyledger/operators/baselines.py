@@ -16,6 +16,11 @@ ZERO_STD = {"temperature_c": 0.1, "rainfall_mm": 0.01, "soil_moisture": 0.001}
 # What replaces a missing standard deviation.
 MISSING_STD = {"temperature_c": 1.0, "rainfall_mm": 1.0, "soil_moisture": 0.01}
 
+# Short names of the measures in helper columns.
+MEASURE = {
+    "rain": "rainfall_mm", "sm": "soil_moisture", "temp": "temperature_c", "rain_lag": "rainfall_prev_1",
+}
+
 
 def fit_rows(c: ColumnLike, until_year: int | None, year: str = "year") -> Column:
     """Only the values up to ``until_year`` take part in a baseline; all of them by default."""
@@ -35,6 +40,45 @@ def place_month_std(c: ColumnLike, until_year: int | None = None) -> Column:
     return F.stddev_samp(fit_rows(c, until_year)).over(group("city", "month"))
 
 
+def ensure(df: DataFrame, columns: Mapping[str, Column]) -> tuple[DataFrame, list[str]]:
+    """Add the helper columns that are missing; returns the frame and what was added.
+
+    A pipeline that adds all helpers up front gets one window stage for them
+    instead of one per bundle.
+    """
+    missing = {n: c for n, c in columns.items() if n not in df.columns}
+    return (df.withColumns(missing) if missing else df), list(missing)
+
+
+def ensure_group_stats(
+    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]
+) -> tuple[DataFrame, list[str]]:
+    """Like :func:`ensure` for statistics of large groups."""
+    missing = {n: c for n, c in stats.items() if n not in df.columns}
+    return (attach_group_stats(df, keys, missing) if missing else df), list(missing)
+
+
+def place_normals(names: Sequence[str], until_year: int | None = None) -> dict[str, Column]:
+    """Helper columns ``__<name>_mean`` and ``__<name>_std`` for city and month."""
+    out = {}
+    for n in names:
+        c = MEASURE[n]
+        out[f"__{n}_mean"] = place_month_mean(c, until_year)
+        if c in MISSING_STD:
+            out[f"__{n}_std"] = std_or(place_month_std(c, until_year), missing=MISSING_STD[c])
+    return out
+
+
+def zone_normals(names: Sequence[str]) -> dict[str, Column]:
+    """Helper aggregates ``__zone_<name>_mean`` and ``__zone_<name>_std`` for zone and month."""
+    out = {}
+    for n in names:
+        c = MEASURE[n]
+        out[f"__zone_{n}_mean"] = F.avg(c)
+        out[f"__zone_{n}_std"] = std_or(F.stddev_samp(c), missing=MISSING_STD[c])
+    return out
+
+
 def previous_month_mean(c: str, until_year: int | None = None) -> Column:
     """Mean for the row's city in the calendar month before the row's month."""
     by_month = F.array(

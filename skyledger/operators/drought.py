@@ -35,72 +35,67 @@ def water_balance(panel: DataFrame) -> DataFrame:
 
 def rain_deficit(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Shortfall against the local normal, standardised and accumulated."""
-    df = H.by_entity(panel).withColumns(
+    df, added = B.ensure(H.by_entity(panel), B.place_normals(["rain", "rain_lag"], until_year))
+    df = df.withColumns(
         {
-            "rainfall_climatology": B.place_month_mean("rainfall_mm", until_year),
-            "__std": B.std_or(B.place_month_std("rainfall_mm", until_year), missing=B.MISSING_STD["rainfall_mm"]),
-            "__lag_normal": B.place_month_mean("rainfall_prev_1", until_year),
+            "rainfall_climatology": F.col("__rain_mean"),
+            "rainfall_deficit": F.col("rainfall_mm") - F.col("__rain_mean"),
         }
-    ).withColumn("rainfall_deficit", F.col("rainfall_mm") - F.col("rainfall_climatology"))
+    )
     return df.withColumns(
         {
             "rainfall_deficit_pct": X.clip(
                 X.ratio("rainfall_deficit", "rainfall_climatology") * F.lit(100.0), -200.0, 200.0
             ),
-            "rainfall_spi": X.clip(X.ratio("rainfall_deficit", "__std"), -4.0, 4.0),
-            "rainfall_deficit_lag1": F.col("rainfall_prev_1") - F.col("__lag_normal"),
+            "rainfall_spi": X.clip(X.ratio("rainfall_deficit", "__rain_std"), -4.0, 4.0),
+            "rainfall_deficit_lag1": F.col("rainfall_prev_1") - F.col("__rain_lag_mean"),
             "cumulative_deficit_3m": H.rolling("rainfall_deficit", 3, F.sum, 1),
             "cumulative_deficit_6m": H.rolling("rainfall_deficit", 6, F.sum, 1),
         }
-    ).drop("__std", "__lag_normal")
+    ).drop(*added)
 
 
 def soil_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Soil moisture against the local and zone normal, its trend and its dry runs."""
-    df = B.attach_group_stats(panel, ["climate_zone", "month"], {"__zone": F.avg("soil_moisture")})
     sm = F.col("soil_moisture")
-    df = H.by_entity(df).withColumns(
+    df, zoned = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["sm"]))
+    helpers = B.place_normals(["sm"], until_year) | {"__sm_p25": F.percentile(sm, 0.25).over(H.group("city"))}
+    df, added = B.ensure(H.by_entity(df), helpers)
+    df = df.withColumns(
         {
-            "__mean": B.place_month_mean("soil_moisture", until_year),
-            "__std": B.std_or(B.place_month_std("soil_moisture", until_year), missing=B.MISSING_STD["soil_moisture"]),
-            "__p25": F.percentile(sm, 0.25).over(H.group("city")),
             "rolling_sm_3m": H.rolling(sm, 3, F.avg, 2),
             "rolling_sm_6m": H.rolling(sm, 6, F.avg, 2),
         }
     ).withColumns(
         {
-            "sm_anomaly": sm - F.col("__mean"),
-            "sm_deficit": X.floor_zero(F.col("__mean") - sm),
+            "sm_anomaly": sm - F.col("__sm_mean"),
+            "sm_deficit": X.floor_zero(F.col("__sm_mean") - sm),
             "sm_trend": F.col("rolling_sm_3m") - F.col("rolling_sm_6m"),
-            "sm_zone_anomaly": sm - F.col("__zone"),
+            "sm_zone_anomaly": sm - F.col("__zone_sm_mean"),
         }
     ).withColumns(
         {
-            "sm_zscore": X.clip(X.ratio("sm_anomaly", "__std"), -4.0, 4.0),
-            "sm_deficit_pct": X.ratio("sm_deficit", "__mean") * F.lit(100.0),
+            "sm_zscore": X.clip(X.ratio("sm_anomaly", "__sm_std"), -4.0, 4.0),
+            "sm_deficit_pct": X.ratio("sm_deficit", "__sm_mean") * F.lit(100.0),
         }
     )
-    df = H.add_streaks(df, {"low_sm_streak": H.lag(sm) <= F.col("__p25")})
-    return df.drop("__zone", "__mean", "__std", "__p25")
+    df = H.add_streaks(df, {"low_sm_streak": H.lag(sm) <= F.col("__sm_p25")})
+    return df.drop(*zoned, *added)
 
 
 def temp_stress(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Heat against the local normal, and heat combined with missing rain."""
     overall = B.global_stats(panel, {"rain": F.avg("rainfall_mm")})
-    df = H.by_entity(panel).withColumns(
-        {
-            "__mean": B.place_month_mean("temperature_c", until_year),
-            "__std": B.std_or(B.place_month_std("temperature_c", until_year), missing=B.MISSING_STD["temperature_c"]),
-        }
-    ).withColumn("temperature_anomaly", F.col("temperature_c") - F.col("__mean"))
+    df, added = B.ensure(H.by_entity(panel), B.place_normals(["temp"], until_year))
+    df = df.withColumn("temperature_anomaly", F.col("temperature_c") - F.col("__temp_mean"))
     rain = X.clip(X.ratio("rainfall_mm", overall["rain"]), 0.0, 2.0)
     return df.withColumns(
         {
-            "temperature_zscore": X.clip(X.ratio("temperature_anomaly", "__std"), -4.0, 4.0),
+            "temperature_zscore": X.clip(X.ratio("temperature_anomaly", "__temp_std"), -4.0, 4.0),
             "temperature_stress": F.col("temperature_anomaly") * (F.lit(1.0) - rain),
             "heat_excess": X.floor_zero(F.col("temperature_c") - F.lit(K.HEAT_THRESHOLD_C)),
         }
-    ).drop("__mean", "__std")
+    ).drop(*added)
 
 
 def persistence(df: DataFrame) -> DataFrame:
@@ -135,16 +130,7 @@ def evolution(df: DataFrame) -> DataFrame:
 
 def zone_drought(panel: DataFrame) -> DataFrame:
     """Shortfall against the zone's normal, and the zone's aridity."""
-    df = B.attach_group_stats(
-        panel,
-        ["climate_zone", "month"],
-        {
-            "__rain": F.avg("rainfall_mm"),
-            "__rain_std": B.std_or(F.stddev_samp("rainfall_mm"), missing=1.0),
-            "__sm": F.avg("soil_moisture"),
-            "__sm_std": B.std_or(F.stddev_samp("soil_moisture"), missing=0.01),
-        },
-    )
+    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain", "sm"]))
     evaporation = F.avg(F.abs("evabs")) * F.lit(float(K.EVAPORATION_MM))
     df = df.join(
         B.group_stats(
@@ -157,16 +143,16 @@ def zone_drought(panel: DataFrame) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "zone_rain_deficit": F.col("rainfall_mm") - F.col("__rain"),
-            "zone_sm_deficit": F.col("__sm") - F.col("soil_moisture"),
+            "zone_rain_deficit": F.col("rainfall_mm") - F.col("__zone_rain_mean"),
+            "zone_sm_deficit": F.col("__zone_sm_mean") - F.col("soil_moisture"),
         }
     )
     return df.withColumns(
         {
-            "zone_rain_zscore": X.clip(X.ratio("zone_rain_deficit", "__rain_std"), -4.0, 4.0),
-            "zone_sm_zscore": X.clip(X.ratio(F.col("soil_moisture") - F.col("__sm"), "__sm_std"), -4.0, 4.0),
+            "zone_rain_zscore": X.clip(X.ratio("zone_rain_deficit", "__zone_rain_std"), -4.0, 4.0),
+            "zone_sm_zscore": X.clip(X.ratio(F.col("soil_moisture") - F.col("__zone_sm_mean"), "__zone_sm_std"), -4.0, 4.0),
         }
-    ).drop("__rain", "__rain_std", "__sm", "__sm_std")
+    ).drop(*added)
 
 
 def water_stress(df: DataFrame) -> DataFrame:
@@ -218,9 +204,12 @@ def drought_features(panel: DataFrame) -> DataFrame:
     of each signal over the whole frame first.
     """
     df = complete_rows(panel, ["rainfall_mm", "soil_moisture", "temperature_c"])
-    df = zone_drought(water_balance(df))
-    df = evolution(persistence(temp_stress(soil_features(rain_deficit(df)))))
-    df = materialize(water_stress(df), "drought-features")
+    # All normals first: one stage of month windows, one small zone table.
+    df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], B.zone_normals(["rain", "sm"]))
+    df, added = B.ensure(H.by_entity(df), B.place_normals(["rain", "rain_lag", "sm", "temp"]))
+    df = temp_stress(zone_drought(water_balance(df)))
+    df = evolution(persistence(soil_features(rain_deficit(df))))
+    df = materialize(water_stress(df).drop(*zoned, *added), "drought-features")
     return drought_category(drought_score(df))
 
 

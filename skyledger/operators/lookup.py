@@ -64,7 +64,7 @@ def match_history(requests: DataFrame, history: DataFrame, city: str = "city") -
         "city", _serial(F.col("year"), F.col("month")).alias("at"), "year", "month", F.lit(None).cast("int").alias("rec")
     )
     serial = _serial(F.col("year"), F.col("month"))
-    marks = known.select(
+    marks = known.join(unanswered.select("city").distinct(), "city", "left_semi").select(
         "city", serial.alias("at"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("month"),
         serial.cast("int").alias("rec"),
     )

@@ -24,8 +24,8 @@ def monsoon(panel: DataFrame) -> DataFrame:
 
 def rain_anomaly(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Departure from the local normal, past variability, and dry and wet runs."""
-    df = H.by_entity(panel).withColumn("rainfall_climatology", B.place_month_mean("rainfall_mm", until_year))
-    df = df.withColumns(
+    df, added = B.ensure(H.by_entity(panel), B.place_normals(["rain"], until_year))
+    df = df.withColumn("rainfall_climatology", F.col("__rain_mean")).drop(*added).withColumns(
         {
             "rainfall_anomaly": F.col("rainfall_mm") - F.col("rainfall_climatology"),
             "rolling_rainfall_std_3m": H.rolling("rainfall_mm", 3, F.stddev_samp, 2),
@@ -50,12 +50,11 @@ def rain_anomaly(panel: DataFrame, until_year: int | None = None) -> DataFrame:
 
 def rain_momentum(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """How rainfall changed over the last months, against the local normal."""
-    df = H.by_entity(panel).withColumns(
-        {
-            "__normal": B.place_month_mean("rainfall_mm", until_year),
-            "__previous_normal": B.previous_month_mean("rainfall_mm", until_year),
-        }
-    )
+    helpers = {
+        "__rain_mean": B.place_month_mean("rainfall_mm", until_year),
+        "__previous_normal": B.previous_month_mean("rainfall_mm", until_year),
+    }
+    df, added = B.ensure(H.by_entity(panel), helpers)
     last, third = F.col("rainfall_prev_1"), F.col("rainfall_prev_3")
     short, long = F.col("rolling_rainfall_3m"), F.col("rolling_rainfall_6m")
     return df.withColumns(
@@ -63,14 +62,15 @@ def rain_momentum(panel: DataFrame, until_year: int | None = None) -> DataFrame:
             "rainfall_trend": last - third,
             "rainfall_acceleration": (last - short) - (short - long),
             "rainfall_growth_rate": X.clip(X.ratio(last - third, third), -10.0, 10.0),
-            "rainfall_momentum": last - F.col("__normal"),
+            "rainfall_momentum": last - F.col("__rain_mean"),
             "rainfall_seasonal_deviation": last - F.col("__previous_normal"),
         }
-    ).drop("__normal", "__previous_normal")
+    ).drop(*added)
 
 
 def temperature_anomaly(panel: DataFrame, until_year: int | None = None) -> DataFrame:
-    df = H.by_entity(panel).withColumn("temperature_climatology", B.place_month_mean("temperature_c", until_year))
+    df, added = B.ensure(H.by_entity(panel), {"__temp_mean": B.place_month_mean("temperature_c", until_year)})
+    df = df.withColumn("temperature_climatology", F.col("__temp_mean")).drop(*added)
     return df.withColumns(
         {
             "temperature_anomaly": F.col("temperature_c") - F.col("temperature_climatology"),
@@ -81,7 +81,7 @@ def temperature_anomaly(panel: DataFrame, until_year: int | None = None) -> Data
 
 def land_trends(panel: DataFrame) -> DataFrame:
     """Past change of soil moisture, evaporation and runoff, and wetness against the zone."""
-    df = B.attach_group_stats(panel, ["climate_zone", "month"], {"__zone": F.avg("soil_moisture")})
+    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], {"__zone_sm_mean": F.avg("soil_moisture")})
     return (
         H.by_entity(df)
         .withColumns(
@@ -89,37 +89,39 @@ def land_trends(panel: DataFrame) -> DataFrame:
                 "soil_moisture_trend": H.lagged_change("soil_moisture"),
                 "evabs_trend": H.lagged_change("evabs"),
                 "sro_trend": H.lagged_change("sro"),
-                "soil_moisture_zone_anomaly": F.col("soil_moisture") - F.col("__zone"),
+                "soil_moisture_zone_anomaly": F.col("soil_moisture") - F.col("__zone_sm_mean"),
             }
         )
-        .drop("__zone")
+        .drop(*added)
     )
 
 
 def zone_relative_rain(panel: DataFrame) -> DataFrame:
     """Rainfall against the zone's normal for the month."""
-    df = B.attach_group_stats(
-        panel,
-        ["climate_zone", "month"],
+    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain"]))
+    df = df.withColumns(
         {
-            "zone_rainfall_climatology": F.avg("rainfall_mm"),
-            "__std": B.std_or(F.stddev_samp("rainfall_mm"), missing=1.0),
-        },
+            "zone_rainfall_climatology": F.col("__zone_rain_mean"),
+            "zone_rainfall_anomaly": F.col("rainfall_mm") - F.col("__zone_rain_mean"),
+        }
     )
-    df = df.withColumn("zone_rainfall_anomaly", F.col("rainfall_mm") - F.col("zone_rainfall_climatology"))
     return df.withColumns(
         {
             "zone_rainfall_anomaly_pct": X.ratio("zone_rainfall_anomaly", "zone_rainfall_climatology"),
-            "zone_rainfall_zscore": X.ratio("zone_rainfall_anomaly", "__std"),
+            "zone_rainfall_zscore": X.ratio("zone_rainfall_anomaly", "__zone_rain_std"),
         }
-    ).drop("__std")
+    ).drop(*added)
 
 
 def rainfall_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -> DataFrame:
     """All rainfall features, one-hot zones, leakage columns and incomplete rows removed."""
     df = complete_rows(panel, ["rainfall_mm", "target_rainfall_next_month"])
-    df = zone_relative_rain(
-        land_trends(temperature_anomaly(rain_momentum(rain_anomaly(monsoon(df)))))
-    )
+    # All normals first: one small zone table, one stage of month windows.
+    zones_ = B.zone_normals(["rain"]) | {"__zone_sm_mean": F.avg("soil_moisture")}
+    df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], zones_)
+    helpers = B.place_normals(["rain", "temp"]) | {"__previous_normal": B.previous_month_mean("rainfall_mm")}
+    df, added = B.ensure(H.by_entity(df), helpers)
+    df = zone_relative_rain(temperature_anomaly(rain_momentum(monsoon(df))))
+    df = land_trends(rain_anomaly(df)).drop(*zoned, *added)
     df = df.withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
     return drop_leakage(df, K.LEAKAGE_RAINFALL).na.drop()

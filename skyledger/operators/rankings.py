@@ -78,6 +78,7 @@ def _two_years(df: DataFrame, base: int, target: int, columns: Sequence[str]) ->
 def ranked(evaluated: DataFrame, years: Sequence[int], scenario: str = "baseline") -> DataFrame:
     """Position of every district per year, the highest score first."""
     df = evaluated.filter(F.col("year").isin(*years) & (F.col("scenario") == scenario))
+    df = df.select("district_id", "district_name", "state", "year", SCORE)
     return positions(df, ["year"], [F.desc(SCORE), F.asc("district_id")], "rank")
 
 

@@ -25,6 +25,7 @@ from skyledger.operators import rainfall as RF
 from skyledger.operators import rankings as RK
 from skyledger.operators import rules as R
 from skyledger.operators import scenario as S
+from skyledger.operators import serving as V
 from skyledger.operators.geo import nearest_place
 from skyledger.operators.panel import absolute_risk_labels
 from skyledger.plans import sql as q
@@ -445,13 +446,11 @@ register(
     ),
 )(lambda t: out(A.active_forecasts(t.forecasts, date(2001, 7, 1))))
 register(
-    "forecasts_of_district",
-    q.query(
-        ("fcst",),
-        f"""SELECT id, district_id, {q.rs("predicted_rainfall predicted_temperature")}, CAST(forecast_date AS VARCHAR) AS forecast_date
-        FROM fcst WHERE district_id = 7""",
+    "keyed_scan",
+    "SELECT event_id, user_id, round(value, 4) AS value FROM events WHERE event_type = 'purchase'".replace(
+        "round(value, 4)", q.half_away("round(value, 4)")
     ),
-)(lambda t: out(A.for_key(t.forecasts, "district_id", 7)))
+)(lambda t: out(A.for_key(t.read("events"), "event_type", "purchase"), ["event_id", "user_id", "value"]))
 
 
 # --- quality -------------------------------------------------------------------------------------
@@ -848,6 +847,33 @@ register(
     q.query(("sc_s",), f"SELECT district_id, city, {q.rs(STATE_OUT)} FROM sc_s WHERE scenario = 'baseline'"),
 )(lambda t: out(_state(t, {"baseline": (0, 0, 0)}), ["district_id", "city", *STATE_OUT.split()]))
 
+SERVED = (
+    "month_sin rolling_rainfall_std_3m rolling_rainfall_std_6m rolling_rainfall_median_3m rolling_rainfall_cv_3m rainfall_trend "
+    "rainfall_acceleration rainfall_growth_rate rainfall_momentum rainfall_seasonal_deviation temperature_anomaly temp_trend_3m"
+)
+q.cte(
+    "served", ("sc_s",),
+    """SELECT *, sin(2 * pi() * month / 12.0::DOUBLE) AS month_sin, rain_climo_std * 1.2::DOUBLE AS rolling_rainfall_std_3m,
+    rain_climo_std * 1.5::DOUBLE AS rolling_rainfall_std_6m, rolling_rainfall_3m / 3.0::DOUBLE AS rolling_rainfall_median_3m,
+    rain_climo_std * 1.2::DOUBLE / (rolling_rainfall_3m + 1e-6) AS rolling_rainfall_cv_3m, rainfall_prev_1 - rainfall_prev_3 AS rainfall_trend,
+    (rainfall_prev_1 - rolling_rainfall_3m) - (rolling_rainfall_3m - rolling_rainfall_6m) AS rainfall_acceleration,
+    greatest(least((rainfall_prev_1 - rainfall_prev_3) / (rainfall_prev_3 + 1e-6), 10.0::DOUBLE), -10.0::DOUBLE) AS rainfall_growth_rate,
+    rainfall_prev_1 - rain_climo_mean AS rainfall_momentum, rainfall_prev_1 - lag1_climatology AS rainfall_seasonal_deviation,
+    temperature_c - temp_climo_mean AS temperature_anomaly, rolling_temp_3m - rolling_temp_6m AS temp_trend_3m FROM sc_s WHERE scenario = 'baseline'""",
+)
+register(
+    "serving_inputs",
+    q.query(
+        ("served",),
+        f"""SELECT district_id, {q.rs(SERVED)}, CAST(month BETWEEN 6 AND 9 AS BIGINT) AS is_monsoon,
+        {", ".join(f"CAST((climate_zone = '{z}')::INT AS BIGINT) AS \"climate_zone_{z}\"" for z in REGIONS)} FROM served""",
+    ),
+)(
+    lambda t: out(
+        V.rainfall_inputs(_state(t, {"baseline": (0, 0, 0)}), REGIONS),
+        ["district_id", *SERVED.split(), "is_monsoon", *[f"climate_zone_{z}" for z in REGIONS]],
+    )
+)
 q.cte(
     "live_latest", (),
     """SELECT * FROM (SELECT o_custkey AS district_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M') AS live_at,
