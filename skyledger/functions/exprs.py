@@ -185,10 +185,26 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, float]) -> DataFrame:
     )
 
 
-def exact_mean(c: ColumnLike, scale: int = 6) -> Column:
-    """Average from a decimal sum, so the order of the rows cannot change it."""
+def exact_parts(c: ColumnLike) -> tuple[Column, Column]:
+    """Whole part and millionths of a number, as long integers.
+
+    Their sums are exact, so the order of the rows cannot change them, and they
+    cost no more than a sum of doubles.
+    """
     c = col(c)
-    return F.try_divide(F.sum(c.cast(f"decimal(28,{scale})")).cast("double"), F.count(c).cast("double"))
+    return F.floor(c), F.rint((c - F.floor(c)) * F.lit(1e6)).cast("long")
+
+
+def exact_total(whole: ColumnLike, millionths: ColumnLike) -> Column:
+    """The number that summed parts stand for."""
+    units = col(whole).cast("decimal(20,0)") * F.lit(1_000_000) + col(millionths)
+    return units.cast("double") / F.lit(1e6)
+
+
+def exact_mean(c: ColumnLike) -> Column:
+    """Average that does not depend on the order of the rows."""
+    whole, millionths = exact_parts(c)
+    return F.try_divide(exact_total(F.sum(whole), F.sum(millionths)), F.count(col(c)).cast("double"))
 
 
 def round_to(c: ColumnLike, digits: int) -> Column:

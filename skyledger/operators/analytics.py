@@ -1,6 +1,6 @@
 """Summaries, trends, comparisons and leaderboards over observations and forecasts.
 
-Averages come from decimal sums: they do not depend on the order or the
+Averages come from exact sums: they do not depend on the order or the
 partitioning of the rows. Observations are aggregated per district before they
 meet the district table, so a district with a third of all readings is one line
 by the time it is joined.
@@ -25,8 +25,9 @@ LEADERBOARDS = {"hottest": ("temperature", True), "wettest": ("rainfall", True),
 
 def _sums(measures: Sequence[str]) -> list[Column]:
     """Partial sums that can be added up again at a coarser grain."""
+    parts = {m: X.exact_parts(m) for m in measures}
     return [
-        *[F.sum(F.col(m).cast("decimal(28,6)")).alias(f"{m}__sum") for m in measures],
+        *[F.sum(p).alias(f"{m}__{part}") for m in measures for part, p in zip(("whole", "millionths"), parts[m])],
         *[F.count(m).alias(f"{m}__n") for m in measures],
         F.count("*").alias("__rows"),
     ]
@@ -34,14 +35,15 @@ def _sums(measures: Sequence[str]) -> list[Column]:
 
 def _resummed(measures: Sequence[str]) -> list[Column]:
     return [
-        *[F.sum(f"{m}__sum").alias(f"{m}__sum") for m in measures],
+        *[F.sum(f"{m}__{p}").alias(f"{m}__{p}") for m in measures for p in ("whole", "millionths")],
         *[F.coalesce(F.sum(f"{m}__n"), F.lit(0)).alias(f"{m}__n") for m in measures],
         F.coalesce(F.sum("__rows"), F.lit(0)).alias("__rows"),
     ]
 
 
 def _mean(measure: str) -> Column:
-    return F.try_divide(F.col(f"{measure}__sum").cast("double"), F.col(f"{measure}__n").cast("double"))
+    total = X.exact_total(f"{measure}__whole", f"{measure}__millionths")
+    return F.try_divide(total, F.col(f"{measure}__n").cast("double"))
 
 
 def _means(names: Mapping[str, str]) -> list[Column]:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from skyledger.session import materialize
 
-# Number of value ranges a column is cut into. The cut points come from one
-# quantile sketch, so a range holds about 1/RANGES of the distinct values.
-RANGES = 512
+# A column is cut into value ranges of about this many distinct values, one task each.
+VALUES_PER_RANGE = 1_000_000
+MAX_RANGES = 4096
+# Cuts are searched in two steps: every STEP-th cut first, then the cuts in between.
+STEP = 64
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -28,25 +30,48 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_ranks(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def _with_range(counts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add the number of the value's range: how many cuts of its column are not above it.
+
+    ``cuts`` has one line per column with at most MAX_RANGES numbers; it is held
+    in the plan as one scalar.
+    """
+    coarse = F.filter("cuts", lambda c, i: i % STEP == STEP - 1)
+    entry = F.struct("name", F.struct("cuts", coarse.alias("coarse")))
+    by_name = cuts.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    skipped = _count_up_to(F.col("__cuts.coarse")) * STEP
+    between = F.slice(F.col("__cuts.cuts"), F.col("__skipped") + 1, STEP - 1)
+    return (
+        counts.withColumn("__cuts", F.try_element_at(by_name, F.col("name")))
+        .withColumn("__skipped", skipped)
+        .withColumn("range", F.col("__skipped") + _count_up_to(between))
+        .drop("__cuts", "__skipped")
+    )
+
+
+def _count_up_to(cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= F.col("value")))
+
+
+def value_ranks(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """(name, value, n, below, total): rows per value and rows with a smaller value.
 
     Equal values collapse before the first shuffle, so a value that fills a
-    third of a column is one line. Each column is then cut into value ranges;
-    a running count inside a range plus the totals of the ranges before it give
-    the exact position.
+    third of a column is one line. Each column is then cut into value ranges by
+    one quantile sketch; a running count inside a range plus the totals of the
+    ranges before it give the exact position.
     """
     counts = materialize(value_counts(df, columns), "value-counts")
-    cuts = counts.groupBy("name").agg(
-        F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts")
-    )
-    # One line of at most `ranges` numbers per column, held in the plan as a scalar.
-    by_name = cuts.agg(F.map_from_entries(F.collect_list(F.struct("name", "cuts")))).scalar()
-    # Zero-based slot of the first cut above the value.
-    ranged = counts.withColumn("cuts", F.try_element_at(by_name, F.col("name"))).withColumn(
-        "range", F.size(F.filter("cuts", lambda c: c <= F.col("value")))
-    ).drop("cuts")
-    ranged = materialize(ranged, "value-ranges")
+    if ranges is None:
+        ranges = min(MAX_RANGES, 1 + counts.count() // VALUES_PER_RANGE)
+    if ranges > 1:
+        cuts = counts.groupBy("name").agg(
+            F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts")
+        )
+        ranged = _with_range(counts, cuts)
+    else:
+        ranged = counts.withColumn("range", F.lit(0))
+    ranged = materialize(ranged, "value-ranges") if ranges > 1 else ranged
     sizes = ranged.groupBy("name", "range").agg(F.sum("n").alias("size"))
     by_range = Window.partitionBy("name").orderBy("range")
     offsets = materialize(

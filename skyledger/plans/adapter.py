@@ -20,8 +20,13 @@ def dyadic(key: str, factor: int, modulus: int, base: float, step: float) -> Col
     return F.lit(base) + F.pmod(F.col(key) * F.lit(factor), F.lit(modulus)).cast("double") / F.lit(step)
 
 
-def decimal_sum(c: str) -> Column:
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+def cents(c: str) -> Column:
+    """A two-decimal number as a whole number of hundredths; sums of it are exact."""
+    return F.rint(F.col(c) * F.lit(100.0)).cast("long")
+
+
+def exact_sum(c: str) -> Column:
+    return F.sum(cents(c)).cast("double") / F.lit(100.0)
 
 
 @dataclass(frozen=True)
@@ -45,10 +50,10 @@ class Tables:
             .groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("date"))
             .agg(
                 F.sum("l_quantity").alias("q"),
-                decimal_sum("l_extendedprice").alias("p"),
-                decimal_sum("l_discount").alias("d"),
+                exact_sum("l_extendedprice").alias("p"),
+                exact_sum("l_discount").alias("d"),
                 F.max("l_discount").alias("dmax"),
-                decimal_sum("l_tax").alias("x"),
+                exact_sum("l_tax").alias("x"),
                 F.count("*").cast("double").alias("n"),
             )
         )
@@ -122,7 +127,7 @@ class Tables:
                 F.year("o_orderdate").alias("year"),
                 F.month("o_orderdate").alias("month"),
             )
-            .agg((decimal_sum("o_totalprice") / F.count("*").cast("double") / F.lit(10000.0)).alias("temperature_c"))
+            .agg((exact_sum("o_totalprice") / F.count("*").cast("double") / F.lit(10000.0)).alias("temperature_c"))
         )
 
     @property
@@ -134,7 +139,7 @@ class Tables:
             .groupBy("o_custkey", "l_suppkey", F.trunc("l_shipdate", "month").alias("valid_time"))
             .agg(
                 F.sum("l_quantity").alias("q"),
-                F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("p"),
+                F.sum(cents("l_extendedprice")).alias("p"),
                 F.count("*").alias("n"),
             )
         )
@@ -142,7 +147,7 @@ class Tables:
             lines.join(self.read("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.read("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy("c_nationkey", "s_nationkey", "valid_time")
-            .agg(F.sum("q").alias("q"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
+            .agg(F.sum("q").alias("q"), (F.sum("p").cast("double") / F.lit(100.0)).alias("p"), F.sum("n").cast("double").alias("n"))
             .select(
                 (F.lit(8.0) + F.col("c_nationkey")).alias("latitude"),
                 (F.lit(68.0) + F.col("s_nationkey")).alias("longitude"),

@@ -29,7 +29,7 @@ from skyledger.operators import serving as V
 from skyledger.operators.geo import nearest_place
 from skyledger.operators.panel import absolute_risk_labels
 from skyledger.plans import sql as q
-from skyledger.plans.adapter import REGIONS, Tables
+from skyledger.plans.adapter import REGIONS, Tables, cents
 from skyledger.session import materialize, scratch_path
 from skyledger.sources import ingest as I
 from skyledger.sources import readers as RD
@@ -296,10 +296,10 @@ register(
 def _daily(t: Tables) -> DataFrame:
     """User by day totals; a user's many events are one line per day before any window."""
     day = F.col("ts").cast("date").alias("date")
-    bought = F.when(F.col("event_type") == "purchase", F.col("value")).cast("decimal(18,2)")
+    bought = F.when(F.col("event_type") == "purchase", cents("value"))
     return t.read("events").groupBy(F.col("user_id").cast("string").alias("city"), day).agg(
-        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
-        F.sum(bought).cast("double").alias("bought"),
+        (F.sum(cents("value")).cast("double") / F.lit(100.0)).alias("total"),
+        (F.sum(bought).cast("double") / F.lit(100.0)).alias("bought"),
     )
 
 
@@ -1466,7 +1466,7 @@ def stream_trend(t: Tables) -> DataFrame:
     return out(
         t.spark.read.parquet(path).select(
             "district_id", "period",
-            (F.col("temperature_sum").cast("double") / F.col("n").cast("double")).alias("average_temperature"), "n",
+            (X.exact_total("whole", "millionths") / F.col("n").cast("double")).alias("average_temperature"), "n",
         )
     )
 

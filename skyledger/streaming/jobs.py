@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from skyledger.sources.ingest import new_rows
+from skyledger.functions import exprs as X
 from skyledger.session import scratch_path
+from skyledger.sources.ingest import new_rows
 
 KEYS = ("district_id", "observation_date")
 # Weeks start on Monday; the epoch was a Thursday.
@@ -70,15 +71,17 @@ def trend_stream(
     observations: DataFrame, out: str, event_time: str = "ts", window: str = "7 days", late: str = "7 days",
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Sums and counts per district and week; a window is written once it is complete."""
+    """Exact temperature sums and counts per district and week; a window is written once it is complete."""
+    whole, millionths = X.exact_parts("temperature")
     weekly = (
         observations.withWatermark(event_time, late)
         .groupBy(F.window(event_time, window, window, WEEK_START), "district_id")
         .agg(
-            F.sum(F.col("temperature").cast("decimal(28,6)")).alias("temperature_sum"),
+            F.sum(whole).alias("whole"),
+            F.sum(millionths).alias("millionths"),
             F.count("temperature").alias("n"),
         )
-        .select(F.col("window.start").cast("date").alias("period"), "district_id", "temperature_sum", "n")
+        .select(F.col("window.start").cast("date").alias("period"), "district_id", "whole", "millionths", "n")
     )
     return (
         weekly.writeStream.outputMode("append")

@@ -22,8 +22,8 @@ def skewed():
 
 def test_ranks_and_percentiles(spark, skewed):
     df = spark.createDataFrame(skewed).repartition(5)
-    ranks = value_ranks(df, ["x", "y"], ranges=16).toPandas()
-    for c in ("x", "y"):
+    for c, ranges in (("x", 1), ("x", 16), ("y", 16), ("x", 300)):
+        ranks = value_ranks(df, ["x", "y"], ranges).toPandas()
         got = ranks[ranks.name == c].set_index("value").sort_index()
         expected = skewed[c].rank(method="min").groupby(skewed[c]).first() - 1
         assert list(got["below"]) == list(expected)
