@@ -153,6 +153,20 @@ def global_stats(df: DataFrame, stats: Mapping[str, Column]) -> dict[str, Column
     return {n: F.lit(line[n]).cast("double") for n in stats}
 
 
+def month_lookups(panel: DataFrame) -> dict[str, Column]:
+    """The month means over all places as columns that look up the row's ``month`` among twelve literals."""
+    stats = {
+        f"{name}_{m}": F.avg(F.when(F.col("month") == m, F.col(c)))
+        for name, c in (("seasonal_temp_mean", "temperature_c"), ("seasonal_rain_mean", "rainfall_mm"))
+        for m in range(1, 13)
+    }
+    values = global_stats(panel, stats)
+    return {
+        name: F.try_element_at(F.array(*[values[f"{name}_{m}"] for m in range(1, 13)]), F.col("month").cast("int"))
+        for name in ("seasonal_temp_mean", "seasonal_rain_mean")
+    }
+
+
 def add_min_max(df: DataFrame, parts: Mapping[str, Column], eps: float = 0.0) -> DataFrame:
     """Scale each part to [0, 1] by its range over the whole frame.
 

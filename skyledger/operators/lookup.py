@@ -105,15 +105,13 @@ def with_normals(requests: DataFrame, panel: DataFrame) -> DataFrame:
     """Add the normals of the city and month, the zone and month, the month, and overall."""
     place = B.place_month_climatology(panel)
     zone = materialize(B.zone_month_climatology(panel), "zone-normals")
-    season = materialize(B.month_climatology(panel), "month-normals")
     overall = B.global_stats(panel, {"rain": F.avg("rainfall_mm"), "low": F.min("temperature_c")})
     joined = (
         requests.join(place, ["city", "month"], "left")
         .join(zone, ["climate_zone", "month"], "left")
-        .join(season, ["month"], "left")
     )
-    return (
-        joined.withColumns({"overall_rain_mean": overall["rain"], "coldest_c": overall["low"]})
+    return joined.withColumns(
+        B.month_lookups(panel) | {"overall_rain_mean": overall["rain"], "coldest_c": overall["low"]}
     )
 
 

@@ -46,9 +46,11 @@ def ingest_stream(
     fresh = observations.withWatermark(event_time, late).dropDuplicatesWithinWatermark(list(KEYS))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        path = f"{store}/batch={batch_id}"
-        earlier = _stored(spark, store, batch_id, batch)
-        new_rows(batch, earlier, KEYS, [event_time, "id"]).write.mode("overwrite").parquet(path)
+        # Only the stored days that the batch touches are read.
+        days = batch.agg(F.min(KEYS[1]).alias("first"), F.max(KEYS[1]).alias("last")).head()
+        earlier = _stored(spark, store, batch_id, batch).filter(F.col(KEYS[1]).between(days["first"], days["last"]))
+        fresh_rows = new_rows(batch, earlier, KEYS, [event_time, "id"])
+        fresh_rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return (
         fresh.writeStream.foreachBatch(append)
