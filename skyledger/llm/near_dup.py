@@ -3,9 +3,9 @@
 Two fixed permutations make all coordinates of a signature: the first scatters the
 shingles, the second is read at K circular shifts, so one shingle's K values are K
 neighbours in memory. Equal shingle sets are one class from the start. Band buckets
-propose links to their smallest member; buckets that still hold several components
-then propose links between the members outside the bucket's largest component and
-all others. Every link is decided on the full shingle sets.
+propose links to their smallest member. The members of buckets that still hold several
+components then meet over their rarest shingles, which every similar pair shares some
+of, so no bucket is expanded into its pairs. Every link is decided on the full sets.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares a bucket with probability
 1 - 5e-6, at 0.8 with 1 - 5e-8. The 128 coordinates also drop proposals whose
@@ -33,6 +33,8 @@ SEED = 20
 LEAST_ESTIMATE = 0.5
 # Bits of the map of documents whose sets are needed: 2 MB, whatever the corpus holds.
 MAP_BITS = 1 << 24
+# Numbers of documents from which a shingle counts as more and more frequent.
+LEVELS = (8, 64, 512, 4096)
 
 
 def shingle_set(text: bytes, cache: WordHashes) -> np.ndarray:
@@ -134,13 +136,11 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
     )
     mixed = (
         placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-        .groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts"))
-        .where("parts > 1").select(F.col("bucket").alias("mixed"), "major")
+        .groupBy("bucket").agg(F.count("*").alias("parts"))
+        .where("parts > 1").select(F.col("bucket").alias("mixed"))
     )
-    others = placed.where("rep <> leader")  # the leader has met all
-    minor = others.join(mixed, F.col("bucket") == F.col("mixed")).where("part <> major").select("bucket", F.col("rep").alias("b"), F.col("part").alias("b_part"), "major")
-    rest = minor.join(others.withColumnsRenamed({"bucket": "o_bucket", "rep": "a"}), F.col("bucket") == F.col("o_bucket")).where("part <> b_part and (part = major or a < b)")
-    second = materialize(_links(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, rows, doc_sets), "second-links")
+    met = placed.join(mixed, F.col("bucket") == F.col("mixed")).select("rep", "part").distinct()
+    second = materialize(_rest_links(materialize(met, "unsettled"), classes, rows, doc_sets), "second-links")
     final = components(first.union(second))
 
     named = classes.select(F.col("digest").alias("c_digest"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("c_digest", F.coalesce("component", "rep").alias("component"))
@@ -151,7 +151,49 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
 
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: int) -> DataFrame:
     """The proposed pairs (a, b) of classes whose full sets are similar enough."""
-    spark = rows.sparkSession
+    kept = _proposals(pairs, classes)
+    wanted = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
+    return _verified(kept, _sets(wanted, classes, rows, map_bits))
+
+
+def _rest_links(met: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: int) -> DataFrame:
+    """Links between different parts of ``met`` (rep, part), by prefix filtering.
+
+    Similar sets share one of their 25 % rarest shingles under any one order of the
+    shingles. The order puts frequent ones last, so passages that many documents share
+    propose nothing. Where a rare shingle meets several parts, the members outside the
+    largest part are proposed to the members of the other parts.
+    """
+    sets = _sets(met.select(F.col("rep").alias("id")), classes, rows, map_bits)
+    counts = materialize(sets.select(F.explode("shingles").alias("hash")).groupBy("hash").count().where(F.col("count") >= LEVELS[0]), "frequent-shingles")
+    levels = rows.sparkSession.sparkContext.broadcast([bit_map(counts.where(F.col("count") >= n), map_bits) for n in LEVELS])
+
+    def prefix(batch: pa.RecordBatch) -> dict:
+        ids, parts = [], []
+        for doc, shingles in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
+            values = shingles.values.to_numpy(zero_copy_only=False)
+            place = values % np.int64(len(levels.value[0]) * 64)
+            level = sum((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) for bits in levels.value)
+            first = np.lexsort((values, level))[: len(values) - -(-SIMILARITY * len(values) // 100) + 1]
+            parts.append(values[first])
+            ids += [doc] * len(first)
+        return {"id": ids, "shingle": np.concatenate(parts) if parts else []}
+
+    rare = map_rows(sets, prefix, "id bigint, shingle bigint").join(met, F.col("id") == F.col("rep")).select("shingle", "id", "part")
+    rare = materialize(rare, "rare-shingles")
+    mixed = (
+        rare.groupBy("shingle", "part").agg(F.count("*").alias("size"))
+        .groupBy("shingle").agg(F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts"))
+        .where("parts > 1").select(F.col("shingle").alias("mixed"), "major")
+    )
+    minor = rare.join(mixed, F.col("shingle") == F.col("mixed")).where("part <> major").select("mixed", F.col("id").alias("b"), F.col("part").alias("b_part"), "major")
+    rest = minor.join(rare, F.col("mixed") == F.col("shingle")).where("part <> b_part and (part = major or id < b)")
+    pairs = rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    return _verified(_proposals(pairs, classes), sets)
+
+
+def _proposals(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs whose sizes and signatures allow the similarity."""
     size_a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("small").alias("small_a"))
     size_b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("small").alias("small_b"))
     sized = (
@@ -165,12 +207,15 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: int)
         at = pa.array(np.flatnonzero(estimate >= LEAST_ESTIMATE))
         return {c: batch.column(c).take(at) for c in ("a", "n_a", "b", "n_b")}
 
-    kept = materialize(map_rows(sized, likely, "a bigint, n_a bigint, b bigint, n_b bigint"), "proposals")
-    wanted = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
-    bits = spark.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("id").alias("hash")), map_bits))
+    return materialize(map_rows(sized, likely, "a bigint, n_a bigint, b bigint, n_b bigint"), "proposals")
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: int) -> DataFrame:
+    """(id, shingles) of the classes in ``wanted`` (id), from the whole texts."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("id").alias("hash")), map_bits))
     cache = WordHashes()
 
-    def sets(batch: pa.RecordBatch) -> dict | None:
+    def work(batch: pa.RecordBatch) -> dict | None:
         hashes = batch.column("hash").to_numpy(zero_copy_only=False)
         place = hashes % np.int64(len(bits.value) * 64)
         at = np.flatnonzero((bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
@@ -181,12 +226,16 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: int)
         return {"id": batch.column("doc").take(pa.array(at)), "set_digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "shingles": _list_array([signed(x) for x in found])}
 
     texts = rows.where("doc is not null").select("doc", F.xxhash64("doc").alias("hash"), "text")
-    made = map_rows(texts, sets, "id bigint, set_digest binary, shingles array<bigint>")
+    made = map_rows(texts, work, "id bigint, set_digest binary, shingles array<bigint>")
     # Only the sets that name a class, each once.
     made = made.join(classes.select("rep", "digest"), (F.col("id") == F.col("rep")) & (F.col("set_digest") == F.col("digest")), "left_semi").dropDuplicates(["id"])
-    made = materialize(made.select("id", "shingles"), "shingle-sets")
-    set_a = made.select(F.col("id").alias("lo"), F.col("shingles").alias("set_lo"))
-    set_b = made.select(F.col("id").alias("hi"), F.col("shingles").alias("set_hi"))
+    return materialize(made.select("id", "shingles"), "shingle-sets")
+
+
+def _verified(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    set_a = sets.select(F.col("id").alias("lo"), F.col("shingles").alias("set_lo"))
+    set_b = sets.select(F.col("id").alias("hi"), F.col("shingles").alias("set_hi"))
     # The smaller set travels to the larger one.
     ordered = kept.select("a", "b", "n_a", "n_b", F.when(F.expr("n_a <= n_b"), F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(F.expr("n_a <= n_b"), F.col("b")).otherwise(F.col("a")).alias("hi"))
     both = F.size(F.array_intersect("set_lo", "set_hi"))
