@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -25,6 +25,7 @@ from skyledger.operators import serving as V
 from skyledger.operators.cleaning import numeric_columns
 
 FEATURES = "__features"
+FILLED = "__filled_"
 SEED = 42
 # Last year of the training and of the validation rows.
 TRAIN_UNTIL, VALIDATE_UNTIL = 2020, 2022
@@ -63,8 +64,25 @@ def balanced_weights(df: DataFrame, label: str, classes: Sequence[str] = K.RISK_
     return df.withColumn("weight", X.encode(label, {c: total / (len(present) * n) for c, n in present.items()}))
 
 
-def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="skip")
+def assembler(df: DataFrame, features: Sequence[str]) -> Pipeline:
+    """Stages that fill missing values with the means of ``df`` and assemble the vector; no row is dropped.
+
+    A feature without any value is 0. One line of means reaches the driver.
+    """
+    means = df.agg(*[F.coalesce(F.avg(X.finite(F.col(f).cast("double"))), F.lit(0.0)).alias(f"m{i}") for i, f in enumerate(features)]).head()
+    filled = ", ".join(
+        f"CASE WHEN isnan(CAST(`{f}` AS DOUBLE)) OR abs(CAST(`{f}` AS DOUBLE)) = double('infinity') THEN CAST({means[i]!r} AS DOUBLE)"
+        f" ELSE coalesce(CAST(`{f}` AS DOUBLE), CAST({means[i]!r} AS DOUBLE)) END AS `{FILLED}{i}`"
+        for i, f in enumerate(features)
+    )
+    fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    vector = VectorAssembler(inputCols=[f"{FILLED}{i}" for i in range(len(features))], outputCol=FEATURES)
+    return Pipeline(stages=[fill, vector])
+
+
+def _helpers(df: DataFrame) -> list[str]:
+    """Columns that the stages of :func:`assembler` add."""
+    return [c for c in df.columns if c.startswith(FILLED)]
 
 
 def classifiers(label: str = "label", weight: str | None = "weight") -> dict[str, Estimator]:
@@ -96,7 +114,7 @@ class Result:
 
 
 def fit(df: DataFrame, features: Sequence[str], estimator: Estimator) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), estimator]).fit(df)
+    return Pipeline(stages=[*assembler(df, features).getStages(), estimator]).fit(df)
 
 
 def score_classes(model: PipelineModel, df: DataFrame, classes: Sequence[str] = K.RISK_CLASSES) -> DataFrame:
@@ -111,11 +129,12 @@ def score_classes(model: PipelineModel, df: DataFrame, classes: Sequence[str] =
         probs = F.transform(squashed, lambda x: x / total)
     padded = F.array(*[F.coalesce(F.get(probs, F.lit(i)), F.lit(0.0)) for i in range(len(classes))])
     drop = [c for c in (FEATURES, "rawPrediction", "probability", "prediction") if c in out.columns]
-    return out.withColumns({"pred": X.decode_class("prediction", classes), "probs": padded}).drop(*drop)
+    return out.withColumns({"pred": X.decode_class("prediction", classes), "probs": padded}).drop(*drop, *_helpers(out))
 
 
 def score_numbers(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
-    return model.transform(df).withColumn(out, F.col("prediction")).drop(FEATURES, "prediction")
+    scored = model.transform(df)
+    return scored.withColumn(out, F.col("prediction")).drop(FEATURES, "prediction", *_helpers(scored))
 
 
 def race_classifiers(
@@ -179,7 +198,7 @@ def random_search(
         if regression
         else MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
     )
-    with_fold = assembler(features).transform(df).withColumn("fold", F.pmod(F.col("year"), F.lit(folds)).cast("int"))
+    with_fold = assembler(df, features).fit(df).transform(df).withColumn("fold", F.pmod(F.col("year"), F.lit(folds)).cast("int"))
     return CrossValidator(
         estimator=estimator, estimatorParamMaps=picked, evaluator=evaluator, numFolds=folds, foldCol="fold",
         parallelism=parallelism, seed=SEED,

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import exprs as X
 from skyledger.operators.baselines import global_stats
 from skyledger.operators.ordering import exact_percentiles, value_ranks
-from skyledger.operators.skew import attach_by_key
+from skyledger.session import materialize
 
 # Lower bounds of the feature tiers (mandatory, useful) per feature set.
 TIERS = {"rainfall": (0.3, 0.1), "drought": (0.5, 0.2), "extreme": (0.4, 0.2)}
@@ -111,25 +109,38 @@ def mean_by(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of columns (average ranks on ties)."""
-    ranks = value_ranks(df, columns)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    for c in columns:
-        lookup = ranks.filter(F.col("name") == c).select(
-            F.col("value").alias(c),
-            (F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias(f"rank_{c}"),
-            F.col("n").alias("__n"),
-        )
-        rows = attach_by_key(rows, lookup, [c], "__n")
+    """Rank correlation of every pair of columns over the rows that have both (average ranks on ties).
+
+    Equal value pairs collapse first; each side's ranks come from one join for all
+    pairs, so the number of shuffles does not depend on the number of columns.
+    """
     pairs = list(combinations(columns, 2))
-    wide = rows.agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return _lines(
-        wide,
-        [
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("spearman"))
-            for i, (a, b) in enumerate(pairs)
-        ],
+    number = {c: X.finite(F.col(c).cast("double")) for c in columns}
+    both = {(a, b): number[a].isNotNull() & number[b].isNotNull() for a, b in pairs}
+    wide = df.select(
+        *[F.when(both[p], number[p[side]]).alias(f"{side}_{i}") for i, p in enumerate(pairs) for side in (0, 1)]
     )
+    ranks = value_ranks(wide, wide.columns).select(
+        "name", "value", "n", (F.col("below") + (F.col("n") - F.col("total")) / F.lit(2.0)).alias("centred")
+    )
+    ranks = materialize(ranks, "pair-ranks")
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(f"0_{i}").alias("x"), F.col(f"1_{i}").alias("y")) for i in range(len(pairs))]))
+    counts = wide.select(points.alias("p")).select("p.*").filter("x IS NOT NULL").groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
+
+    def side(k: int, value: str) -> DataFrame:
+        return ranks.filter(F.col("name").startswith(f"{k}_")).select(
+            F.substring("name", 3, 9).cast("int").alias("pair"), F.col("value").alias(value), F.col("centred").alias(f"r{value}")
+        )
+
+    ranked = counts.join(side(0, "x"), ["pair", "x"]).join(side(1, "y"), ["pair", "y"])
+    sums = ranked.groupBy("pair").agg(
+        F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("xy"),
+        F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("xx"),
+        F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("yy"),
+    )
+    value = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, left string, right string")
+    return names.join(sums, "pair", "left").select("left", "right", value.alias("spearman"))
 
 
 def feature_quality(df: DataFrame, features: Sequence[str], target: str, tiers: tuple[float, float]) -> DataFrame:
@@ -154,17 +165,20 @@ def feature_quality(df: DataFrame, features: Sequence[str], target: str, tiers:
 def collinear_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> DataFrame:
     """Feature pairs with absolute correlation above the threshold.
 
-    Only the features-by-features matrix reaches the driver.
+    Each pair uses the rows that have both values. One pass over the table; the
+    correlations are one line.
     """
-    features = list(features)
-    vectors = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(df).select("v")
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-    pairs = [
-        (features[i], features[j], float(abs(matrix[i, j])))
-        for i, j in combinations(range(len(features)), 2)
-        if abs(matrix[i, j]) > threshold
-    ]
-    return df.sparkSession.createDataFrame(pairs, "left string, right string, abs_corr double")
+    pairs = list(combinations(features, 2))
+    number = {f: X.finite(F.col(f).cast("double")) for f in features}
+    wide = df.agg(*[F.abs(F.corr(number[a], number[b])).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    lines = _lines(
+        wide,
+        [
+            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("abs_corr"))
+            for i, (a, b) in enumerate(pairs)
+        ],
+    )
+    return lines.filter(F.col("abs_corr") > threshold)
 
 
 def data_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:

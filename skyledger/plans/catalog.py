@@ -554,7 +554,7 @@ register(
     ),
 )(lambda t: out(Q.collinear_pairs(t.panel, COLLINEAR, 0.5)))
 QUALITY_COLUMNS = ["temperature_prev_3", "rolling_rainfall_6m", "target_rainfall_next_month", "soil_moisture", "evabs"]
-register(
+@register(
     "data_quality",
     q.query(
         ("hist",),
@@ -1433,7 +1433,8 @@ def batch_score(t: Tables) -> DataFrame:
 
 def _event_stream(t: Tables) -> DataFrame:
     schema = t.read("events").schema
-    events = ST.read_stream(t.spark, t.folder, schema, "events.parquet")
+    # The table may be one file or a folder of files; a pattern stands for either.
+    events = ST.read_stream(t.spark, f"{t.folder}/events.parque[t]", schema)
     humidity = F.get_json_object("props", "$.k").cast("double")
     return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("district_id"),

@@ -5,20 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import exprs as X
 from skyledger.operators.skew import attach_by_key
+from skyledger.session import materialize
 
 ACCEPTED, DUPLICATE, FAILED = "accepted", "duplicate", "failed"
 KEY = ("district_id", "observation_date")
+# Bits of a row number that count rows inside a partition, as in Spark's increasing ids.
+ROW_BITS = 33
 MEASURES = ("rainfall", "temperature", "humidity")
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """An increasing ``row`` in file and line order, without sorting: gaps are possible."""
-    return df.withColumn("row", F.monotonically_increasing_id())
+    """An increasing ``row`` by file name, then place in the file; gaps are possible.
+
+    Spark packs large files first, so the parts of the files are ranked by name
+    and offset (one short row each); inside a part the reading order counts. Rows
+    that come from no file are numbered in the order of their partitions.
+    """
+    marked = df.withColumns(
+        {"__file": F.input_file_name(), "__start": F.input_file_block_start(), "__read": F.monotonically_increasing_id()}
+    )
+    parts = marked.filter("__file <> ''").select("__file", "__start").distinct()
+    parts = materialize(parts.select("__file", "__start", F.rank().over(Window.orderBy("__file", "__start")).alias("__part")), "file-parts")
+    placed = marked.join(parts, ["__file", "__start"], "left")
+    row = F.when(F.col("__part").isNull(), F.col("__read")).otherwise(
+        F.shiftleft(F.col("__part").cast("long"), ROW_BITS) + F.col("__read").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    )
+    return placed.withColumn("row", row).select(*df.columns, "row")
 
 
 def _present(c: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,35 +40,48 @@ def ingest_stream(
     """Append the first observation of every (district, date) to the stored table.
 
     Repeats inside the watermark are dropped from the stream's own state;
-    anything older, and anything stored before, is dropped against the table.
-    A batch that is run again after a failure finds its own rows by batch id
-    and replaces them.
+    anything older, and anything stored before by any run or import, is dropped
+    against the table. Each batch writes to a folder named by its checkpoint and
+    number, so a batch that is run again replaces its own rows and no others.
     """
     spark = observations.sparkSession
+    checkpoint = _checkpoint(spark, "ingest", checkpoint)
+    run = _run_name(checkpoint)
     fresh = observations.withWatermark(event_time, late).dropDuplicatesWithinWatermark(list(KEYS))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # Only the stored days that the batch touches are read.
-        days = batch.agg(F.min(KEYS[1]).alias("first"), F.max(KEYS[1]).alias("last")).head()
-        earlier = _stored(spark, store, batch_id, batch).filter(F.col(KEYS[1]).between(days["first"], days["last"]))
-        fresh_rows = new_rows(batch, earlier, KEYS, [event_time, "id"])
-        fresh_rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        own = f"run={run}/batch={batch_id}"
+        batch.persist()
+        try:
+            # Only the stored days that the batch touches are read.
+            days = batch.agg(F.min(KEYS[1]).alias("first"), F.max(KEYS[1]).alias("last")).head()
+            earlier = _stored(spark, store, own, batch).filter(F.col(KEYS[1]).between(days["first"], days["last"]))
+            fresh_rows = new_rows(batch, earlier, KEYS, [event_time, "id"])
+            fresh_rows.write.mode("overwrite").parquet(f"{store}/{own}")
+        finally:
+            batch.unpersist()
 
     return (
         fresh.writeStream.foreachBatch(append)
-        .option("checkpointLocation", _checkpoint(spark, "ingest", checkpoint))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _stored(spark: SparkSession, store: str, before: int, like: DataFrame) -> DataFrame:
-    """Stored rows of the batches before ``before``; empty when there are none."""
+def _run_name(checkpoint: str) -> str:
+    """The same name for every start from one checkpoint."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()
+
+
+def _stored(spark: SparkSession, store: str, own: str, like: DataFrame) -> DataFrame:
+    """All stored rows but those below the folder ``own``, whoever wrote them; empty without a store."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path) or before == 0:
+    if not files.exists(path):
         return like.limit(0)
-    return spark.read.schema(like.schema).parquet(store).filter(F.col("batch") < before).select(*like.columns)
+    stored = spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(store)
+    return stored.filter(~F.col("_metadata.file_path").contains(f"/{own}/")).select(*like.columns)
 
 
 def trend_stream(
@@ -98,31 +113,32 @@ def trend_stream(
 def latest_stream(observations: DataFrame, out: str, checkpoint: str | None = None) -> StreamingQuery:
     """Keep the newest observation of every district in a table, updated per batch.
 
-    Each batch writes only the districts it touched, as one version of the
-    table; the newest version of a district is its current state.
+    Each batch writes only the districts it touched, to a folder named by its
+    checkpoint and number; :func:`latest_state` takes the newest observation.
     """
     spark = observations.sparkSession
+    checkpoint = _checkpoint(spark, "latest", checkpoint)
+    run = _run_name(checkpoint)
     columns = [c for c in observations.columns if c != "district_id"]
     newest = observations.groupBy("district_id").agg(
         F.max_by(F.struct(*columns), F.struct("observation_date", "id")).alias("row")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("district_id", "row.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.select("district_id", "row.*").write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     return (
         newest.writeStream.outputMode("update")
         .foreachBatch(write)
-        .option("checkpointLocation", _checkpoint(spark, "latest", checkpoint))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
 def latest_state(spark: SparkSession, out: str) -> DataFrame:
-    """Current row of every district from the versions written by :func:`latest_stream`."""
-    versions = spark.read.parquet(out)
-    columns = [c for c in versions.columns if c not in ("district_id", "batch")]
-    return versions.groupBy("district_id").agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(
-        "district_id", "row.*"
-    )
+    """Newest observation of every district over all runs and batches of :func:`latest_stream`."""
+    versions = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    columns = [c for c in versions.columns if c != "district_id"]
+    newest = F.max_by(F.struct(*columns), F.struct("observation_date", "id"))
+    return versions.groupBy("district_id").agg(newest.alias("row")).select("district_id", "row.*")

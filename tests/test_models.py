@@ -105,3 +105,32 @@ def test_trained_model_takes_the_place_of_the_stand_in(panel, tables):
     both = plain.join(learned, "district_id").toPandas()
     assert len(both) == 20 and both["t"].notna().all()
     assert (both["t"] != both["predicted_temperature_c"]).any()
+
+
+def test_scoring_keeps_rows_with_missing_features(spark):
+    from skyledger.models import training as T
+
+    rows = [(float(i), None if i % 5 == 0 else float(i % 7), None, float(2 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    model = T.fit(df, ["a", "b", "c"], T.regressors("y")["LinearRegression"])
+    scored = T.score_numbers(model, df)
+    assert scored.count() == 60 and scored.where("predicted IS NULL OR isnan(predicted)").count() == 0
+    assert scored.columns == ["a", "b", "c", "y", "predicted"]
+
+
+def test_correlations_use_pairwise_complete_rows(spark):
+    import random
+
+    import pandas as pd
+
+    from skyledger.operators import quality as Q
+
+    rng = random.Random(4)
+    rows = [tuple(None if rng.random() < 0.2 else float(rng.randint(0, 9)) for _ in range(3)) for _ in range(80)]
+    frame, df = pd.DataFrame(rows, columns=list("abc"), dtype=float), spark.createDataFrame(rows, "a double, b double, c double")
+    ranks = frame.corr(method=lambda x, y: pd.Series(x).rank().corr(pd.Series(y).rank()))
+    for r in Q.spearman(df, ["a", "b", "c"]).collect():
+        assert abs(r.spearman - ranks.loc[r.left, r.right]) < 1e-12
+    got = {(r.left, r.right): r.abs_corr for r in Q.collinear_pairs(df, ["a", "b", "c"], 0.0).collect()}
+    plain = frame.corr().abs()
+    assert len(got) == 3 and all(abs(v - plain.loc[k]) < 1e-9 for k, v in got.items())

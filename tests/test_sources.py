@@ -141,3 +141,39 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_schemas_are_complete():
     assert len(S.PANEL) == 28 and S.RAW_PANEL.names == [
         "city", "climate_zone", "latitude", "longitude", "date", "t2m", "tp", "swvl1", "swvl2", "evabs", "sro"]
+
+
+def test_ingest_keeps_rows_of_other_runs_and_imports(spark, tmp_path):
+    """Two runs with their own checkpoints and a batch import share one store."""
+    from skyledger.streaming import jobs as ST
+
+    schema = "id long, district_id long, temperature double, observation_date date, ts timestamp"
+    store = str(tmp_path / "store")
+
+    def put(name, rows):
+        day = "2024-01-0{}"
+        data = [(i, d, float(i), day.format(n), f"{day.format(n)} 00:00:00") for i, d, n in rows]
+        df = spark.createDataFrame(data, "id long, district_id long, temperature double, day string, at string")
+        df = df.selectExpr("id", "district_id", "temperature", "date(day) observation_date", "timestamp(at) ts")
+        df.repartition(2).write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    imported = put("first", [(1, 10, 1)])
+    spark.read.parquet(imported).write.parquet(store)
+    for folder in (put("a", [(2, 10, 1), (3, 11, 1)]), put("b", [(4, 11, 1), (5, 12, 2)])):
+        stream = ST.read_stream(spark, folder, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+        ST.ingest_stream(stream, store).awaitTermination()
+    kept = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store)
+    assert sorted((r.id, r.district_id) for r in kept.collect()) == [(1, 10), (3, 11), (5, 12)]
+
+
+def test_rows_are_numbered_by_file_then_line(spark, tmp_path):
+    """The second file is larger, so Spark reads it first."""
+    from skyledger.sources.ingest import number_rows
+
+    (tmp_path / "part-1.csv").write_text("v\na1\na2\n")
+    (tmp_path / "part-2.csv").write_text("v\n" + "".join(f"b{i:05}\n" for i in range(5000)))
+    rows = number_rows(spark.read.option("header", True).csv(str(tmp_path))).orderBy("row").collect()
+    values = [r.v for r in rows]
+    assert values == ["a1", "a2", *(f"b{i:05}" for i in range(5000))]
+    assert len({r.row for r in rows}) == 5002
