@@ -2,8 +2,8 @@
 
 Two fixed permutations make all coordinates of a signature: the first scatters the
 shingles, the second is read at K circular shifts, so one shingle's K values are K
-neighbours in memory. Equal shingle sets are one class from the start. Band buckets
-propose links to their smallest member. The members of buckets that still hold several
+neighbours in memory. Equal shingle sets are one class from the start. In a few rounds
+each band bucket proposes its members to one of them. The members of buckets that still hold several
 components then meet over their rarest shingles, which every similar pair shares some
 of, so no bucket is expanded into its pairs. Every link is decided on the full sets.
 
@@ -31,6 +31,7 @@ BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20  # values the shingles are scattered over
 SEED = 20
 LEAST_ESTIMATE = 0.5
+ROUNDS = 3  # rounds of proposals to one member per bucket
 # Bits of the map of documents whose sets are needed: 2 MB, whatever the corpus holds.
 MAP_BITS = 1 << 24
 # Numbers of documents from which a shingle counts as more and more frequent.
@@ -125,23 +126,23 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
         "classes",
     )
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("shared"), "leader")
-    members = materialize(buckets.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "rep", "leader"), "buckets")
-
-    first = materialize(_links(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")), classes, rows, doc_sets), "first-links")
-    linked = components(first)
-    placed = materialize(
-        members.join(linked, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "leader", F.coalesce("component", "rep").alias("part")),
-        "placed",
-    )
-    mixed = (
-        placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-        .groupBy("bucket").agg(F.count("*").alias("parts"))
-        .where("parts > 1").select(F.col("bucket").alias("mixed"))
-    )
-    met = placed.join(mixed, F.col("bucket") == F.col("mixed")).select("rep", "part").distinct()
-    second = materialize(_rest_links(materialize(met, "unsettled"), classes, rows, doc_sets), "second-links")
-    final = components(first.union(second))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("shared"))
+    members = materialize(buckets.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "rep"), "buckets")
+
+    open_members = members.withColumn("part", F.col("rep"))
+    links = None
+    for number in range(ROUNDS):
+        # Every bucket proposes its members to one of them, another one in each bucket and round.
+        lead = F.min_by(F.struct("rep", "part"), F.xxhash64(F.lit(number), "bucket", "rep")).alias("lead")
+        leaders = open_members.groupBy("bucket").agg(lead).select(F.col("bucket").alias("led"), F.col("lead.rep").alias("leader"), F.col("lead.part").alias("led_part"))
+        pairs = open_members.join(leaders, F.col("bucket") == F.col("led")).where("part <> led_part")
+        found = materialize(_links(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")), classes, rows, doc_sets), "links")
+        links = found if links is None else links.union(found)
+        parted = members.join(components(links), F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
+        mixed = parted.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(F.col("bucket").alias("mixed"))
+        open_members = materialize(parted.join(mixed, F.col("bucket") == F.col("mixed")).select("bucket", "rep", "part"), "open-buckets")
+    met = materialize(open_members.select("rep", "part").distinct(), "unsettled")
+    final = components(links.union(_rest_links(met, classes, rows, doc_sets)))
 
     named = classes.select(F.col("digest").alias("c_digest"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("c_digest", F.coalesce("component", "rep").alias("component"))
     out = signed_docs.select("doc", "n", "digest").join(named, F.col("digest") == F.col("c_digest"), "left")
