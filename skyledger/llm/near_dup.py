@@ -9,7 +9,9 @@ of, so no bucket is expanded into its pairs. Every link is decided on the full s
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares a bucket with probability
 1 - 5e-6, at 0.8 with 1 - 5e-8. The 128 coordinates also drop proposals whose
-estimate is below 0.5, more than six standard errors under the threshold.
+estimate is below 0.5, more than six standard errors under the threshold. A bit per
+shingle, summed modulo 2, bounds the intersection from above and drops others without
+loss: two such maps differ in no more bits than the sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ LEAST_ESTIMATE = 0.5
 ROUNDS = 3  # rounds of proposals to one member per bucket
 # Bits of the map of documents whose sets are needed: 2 MB, whatever the corpus holds.
 MAP_BITS = 1 << 24
-# Numbers of documents from which a shingle counts as more and more frequent.
-LEVELS = (8, 64, 512, 4096)
+PARITY_BITS = 512
+# A shingle's level is 0 below 8 documents, then 1, and one more at each doubling.
+FREQUENT = 8
+LEVEL_BITS = 4
 
 
 def shingle_set(text: bytes, cache: WordHashes) -> np.ndarray:
@@ -80,6 +84,19 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit map (bytes) of the places that an odd number of the shingles fall on."""
+    places = (shingles >> np.uint64(40)).astype(np.int64) % PARITY_BITS
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(bool))
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, with these rows of parity maps, can be similar enough."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+    total = n_a + n_b
+    return (100 + SIMILARITY) * ((total - apart) // 2) >= SIMILARITY * total
+
+
 def _similar(both: str, a: str, b: str) -> F.Column:
     return F.expr(f"100 * {both} >= {SIMILARITY} * ({a} + {b} - {both})")
 
@@ -113,7 +130,7 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
             out["digest"].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             signature = circulant.value.signature(found) if len(found) else None
             out["bands"].append(None if signature is None else signed(band_hashes(signature)).tolist())
-            out["small"].append(None if signature is None else signature.astype(np.uint8).tobytes())
+            out["small"].append(None if signature is None else signature.astype(np.uint8).tobytes() + parity(found).tobytes())
         return out
 
     signed_docs = materialize(map_rows(rows, sign, "doc bigint, n bigint, digest binary, bands array<bigint>, small binary"), "signatures")
@@ -163,38 +180,46 @@ def _rest_links(met: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: i
     Similar sets share one of their 25 % rarest shingles under any one order of the
     shingles. The order puts frequent ones last, so passages that many documents share
     propose nothing. Where a rare shingle meets several parts, the members outside the
-    largest part are proposed to the members of the other parts.
+    largest part are proposed to the members of the other parts, if what follows their
+    first common shingle in either set can still make them similar. A later common
+    shingle of the pair may fail that test; the first one of similar sets never does.
     """
     sets = _sets(met.select(F.col("rep").alias("id")), classes, rows, map_bits)
-    counts = materialize(sets.select(F.explode("shingles").alias("hash")).groupBy("hash").count().where(F.col("count") >= LEVELS[0]), "frequent-shingles")
-    levels = rows.sparkSession.sparkContext.broadcast([bit_map(counts.where(F.col("count") >= n), map_bits) for n in LEVELS])
+    counts = materialize(sets.select(F.explode("shingles").alias("hash")).groupBy("hash").count().where(F.col("count") >= FREQUENT), "frequent-shingles")
+    # The level's binary digits, a map each. Any function of the shingle is a right order,
+    # so shingles that meet in the maps cost time only.
+    level = F.least(F.floor(F.log2(F.col("count") / FREQUENT)) + 1, F.lit(2**LEVEL_BITS - 1)).cast("int")
+    levels = rows.sparkSession.sparkContext.broadcast([bit_map(counts.where(F.getbit(level, F.lit(k)) == 1), map_bits) for k in range(LEVEL_BITS)])
 
     def prefix(batch: pa.RecordBatch) -> dict:
-        ids, parts = [], []
+        ids, parts, at, sizes = [], [], [], []
         for doc, shingles in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
             values = shingles.values.to_numpy(zero_copy_only=False)
             place = values % np.int64(len(levels.value[0]) * 64)
-            level = sum((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) for bits in levels.value)
+            level = sum(((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)) << np.uint64(k) for k, bits in enumerate(levels.value))
             first = np.lexsort((values, level))[: len(values) - -(-SIMILARITY * len(values) // 100) + 1]
             parts.append(values[first])
             ids += [doc] * len(first)
-        return {"id": ids, "shingle": np.concatenate(parts) if parts else []}
+            at += range(len(first))
+            sizes += [len(values)] * len(first)
+        return {"id": ids, "shingle": np.concatenate(parts) if parts else [], "at": at, "n": sizes}
 
-    rare = map_rows(sets, prefix, "id bigint, shingle bigint").join(met, F.col("id") == F.col("rep")).select("shingle", "id", "part")
+    rare = map_rows(sets, prefix, "id bigint, shingle bigint, at bigint, n bigint").join(met, F.col("id") == F.col("rep")).select("shingle", "id", "at", "n", "part")
     rare = materialize(rare, "rare-shingles")
     mixed = (
         rare.groupBy("shingle", "part").agg(F.count("*").alias("size"))
         .groupBy("shingle").agg(F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts"))
         .where("parts > 1").select(F.col("shingle").alias("mixed"), "major")
     )
-    minor = rare.join(mixed, F.col("shingle") == F.col("mixed")).where("part <> major").select("mixed", F.col("id").alias("b"), F.col("part").alias("b_part"), "major")
-    rest = minor.join(rare, F.col("mixed") == F.col("shingle")).where("part <> b_part and (part = major or id < b)")
+    minor = rare.join(mixed, F.col("shingle") == F.col("mixed")).where("part <> major").select("mixed", F.col("id").alias("b"), F.col("part").alias("b_part"), F.col("at").alias("b_at"), F.col("n").alias("b_n"), "major")
+    able = F.expr(f"100 * least(n, b_n) >= {SIMILARITY} * greatest(n, b_n) and {100 + SIMILARITY} * least(n - at, b_n - b_at) >= {SIMILARITY} * (n + b_n)")
+    rest = minor.join(rare, F.col("mixed") == F.col("shingle")).where("part <> b_part and (part = major or id < b)").where(able)
     pairs = rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     return _verified(_proposals(pairs, classes), sets)
 
 
 def _proposals(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs whose sizes and signatures allow the similarity."""
+    """Distinct pairs whose sizes, signatures and parity maps allow the similarity."""
     size_a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("small").alias("small_a"))
     size_b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("small").alias("small_b"))
     sized = (
@@ -203,9 +228,11 @@ def _proposals(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
     def likely(batch: pa.RecordBatch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("small_a", "small_b"))
-        estimate = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        at = pa.array(np.flatnonzero(estimate >= LEAST_ESTIMATE))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS + PARITY_BITS // 8) for c in ("small_a", "small_b"))
+        n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+        estimate = ((a == b)[:, : BANDS * ROWS].mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        able = may_be_similar(a[:, BANDS * ROWS :], b[:, BANDS * ROWS :], n_a, n_b)
+        at = pa.array(np.flatnonzero((estimate >= LEAST_ESTIMATE) & able))
         return {c: batch.column(c).take(at) for c in ("a", "n_a", "b", "n_b")}
 
     return materialize(map_rows(sized, likely, "a bigint, n_a bigint, b bigint, n_b bigint"), "proposals")

@@ -235,6 +235,19 @@ def test_signature_estimates_similarity():
     assert abs(same.mean() - 900 / 1100) < 0.12
 
 
+def test_parity_maps_never_rule_out_similar_sets():
+    rng = np.random.default_rng(2)
+    ruled_out = 0
+    for _ in range(400):
+        n, extra_a, extra_b = rng.integers(1, 400), *rng.integers(0, 120, 2)
+        shared, a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, extra_a, extra_b))
+        maps = [near_dup.parity(np.concatenate([shared, x]))[None] for x in (a, b)]
+        able = near_dup.may_be_similar(*maps, np.array([n + extra_a]), np.array([n + extra_b]))[0]
+        assert able or 100 * n < 75 * (n + extra_a + extra_b)
+        ruled_out += not able
+    assert ruled_out > 100
+
+
 # Shards ----------------------------------------------------------------------
 
 
