@@ -27,3 +27,20 @@ def components(links: DataFrame) -> DataFrame:
         if not after.where("component < old").limit(1).count():
             return after.select("node", "component")
         labels = after.select("node", "component")
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) as :func:`components` gives them, after more ``links`` (a, b).
+
+    Only links between different parts are spread, so the work follows the new links
+    and not those that made the parts.
+    """
+    part_a = parts.select(F.col("node").alias("node_a"), F.col("component").alias("part_a"))
+    part_b = parts.select(F.col("node").alias("node_b"), F.col("component").alias("part_b"))
+    placed = links.join(part_a, F.col("a") == F.col("node_a"), "left").join(part_b, F.col("b") == F.col("node_b"), "left")
+    between = placed.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")).where("a <> b").distinct()
+    joined = components(materialize(between, "part-links")).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    moved = parts.join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
+    # Nodes that no link had before.
+    new = joined.join(parts, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component"))
+    return materialize(moved.union(new), "parts")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import WordHashes, gram_hashes, map_rows, mix, signed, text_bytes
-from skyledger.llm.components import components
+from skyledger.llm.components import components, merged
 from skyledger.llm.decontam import bit_map
 from skyledger.session import materialize
 
@@ -147,19 +147,19 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
     members = materialize(buckets.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "rep"), "buckets")
 
     open_members = members.withColumn("part", F.col("rep"))
-    links = None
+    parts = None
     for number in range(ROUNDS):
         # Every bucket proposes its members to one of them, another one in each bucket and round.
         lead = F.min_by(F.struct("rep", "part"), F.xxhash64(F.lit(number), "bucket", "rep")).alias("lead")
         leaders = open_members.groupBy("bucket").agg(lead).select(F.col("bucket").alias("led"), F.col("lead.rep").alias("leader"), F.col("lead.part").alias("led_part"))
         pairs = open_members.join(leaders, F.col("bucket") == F.col("led")).where("part <> led_part")
         found = materialize(_links(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")), classes, rows, doc_sets), "links")
-        links = found if links is None else links.union(found)
-        parted = members.join(components(links), F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
+        parts = components(found) if parts is None else merged(parts, found)
+        parted = members.join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
         mixed = parted.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(F.col("bucket").alias("mixed"))
         open_members = materialize(parted.join(mixed, F.col("bucket") == F.col("mixed")).select("bucket", "rep", "part"), "open-buckets")
     met = materialize(open_members.select("rep", "part").distinct(), "unsettled")
-    final = components(links.union(_rest_links(met, classes, rows, doc_sets)))
+    final = merged(parts, _rest_links(met, classes, rows, doc_sets))
 
     named = classes.select(F.col("digest").alias("c_digest"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("c_digest", F.coalesce("component", "rep").alias("component"))
     out = signed_docs.select("doc", "n", "digest").join(named, F.col("digest") == F.col("c_digest"), "left")

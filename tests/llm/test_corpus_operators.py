@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import line_dedup, near_dup, queries, sharding
 from skyledger.llm.common import table
-from skyledger.llm.components import components
+from skyledger.llm.components import components, merged
 from skyledger.llm.decontam import decontaminate
 from skyledger.llm.line_dedup import TwiceFilter, segment_filter
 from tests.conftest import SMALL
@@ -224,7 +224,11 @@ def test_components_equal_union_find(spark):
         up[y] = x
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: root(i) for i in up}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    frames = [spark.createDataFrame(part, "a bigint, b bigint") for part in (links[::3], links[1::3], links[2::3])]
+    parts = merged(merged(components(frames[0]), frames[1]), frames[2])
+    assert {r.node: r.component for r in parts.collect()} == got and parts.count() == len(got)
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    assert components(none).count() == 0 and merged(components(none), none).count() == 0
 
 
 def test_signature_estimates_similarity():
