@@ -185,36 +185,43 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, float]) -> DataFrame:
     )
 
 
-def exact_parts(c: ColumnLike) -> tuple[Column, Column]:
-    """Whole part and millionths of a number, as long integers.
+# Names of the parts of a number, for columns that hold their sums.
+PARTS = ("whole", "millionths", "rest")
+
+
+def exact_parts(c: ColumnLike) -> tuple[Column, Column, Column]:
+    """Whole part, millionths and what is left in units of 1e-15, as long integers.
 
     Their sums are exact, so the order of the rows cannot change them, and they
-    cost no more than a sum of doubles.
+    cost little more than a sum of doubles. What is left counts where it is more
+    than the binary error of the number itself; parts below 1e-15 are lost.
     """
     c = col(c)
-    return F.floor(c), F.rint((c - F.floor(c)) * F.lit(1e6)).cast("long")
+    millionths = F.rint((c - F.floor(c)) * F.lit(1e6))
+    rest = (c - F.floor(c)) - millionths / F.lit(1e6)
+    real = F.abs(rest) > F.greatest(F.abs(c), F.lit(1e-6)) * F.lit(1e-15)
+    return F.floor(c), millionths.cast("long"), F.when(real, F.rint(rest * F.lit(1e15))).otherwise(F.when(c.isNotNull(), F.lit(0))).cast("long")
 
 
-def exact_total(whole: ColumnLike, millionths: ColumnLike) -> Column:
+def exact_total(whole: ColumnLike, millionths: ColumnLike, rest: ColumnLike) -> Column:
     """The number that summed parts stand for."""
     units = col(whole).cast("decimal(20,0)") * F.lit(1_000_000) + col(millionths)
-    return units.cast("double") / F.lit(1e6)
+    return units.cast("double") / F.lit(1e6) + col(rest).cast("double") / F.lit(1e15)
 
 
 def exact_mean(c: ColumnLike) -> Column:
     """Average that does not depend on the order of the rows."""
-    whole, millionths = exact_parts(c)
-    return F.try_divide(exact_total(F.sum(whole), F.sum(millionths)), F.count(col(c)).cast("double"))
+    return F.try_divide(exact_total(*map(F.sum, exact_parts(c))), F.count(col(c)).cast("double"))
 
 
 def round_to(c: ColumnLike, digits: int) -> Column:
     """Round halves away from zero.
 
-    A value that binary arithmetic left a hair below the half counts as the
-    half, so the result does not depend on the order in which sums were added.
+    A value that binary arithmetic left below the half, by no more than 1e-9 of the
+    last digit kept, counts as the half: 1.005 gives 1.01.
     """
     c, unit = col(c), F.lit(float(10**digits))
-    return F.signum(c) * F.floor(F.abs(c) * unit + F.lit(0.500001)) / unit + F.lit(0.0)
+    return F.signum(c) * F.floor(F.abs(c) * unit + F.lit(0.500000001)) / unit + F.lit(0.0)
 
 
 def rounded(c: ColumnLike, digits: int = 2) -> Column:

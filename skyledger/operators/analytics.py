@@ -27,7 +27,7 @@ def _sums(measures: Sequence[str]) -> list[Column]:
     """Partial sums that can be added up again at a coarser grain."""
     parts = {m: X.exact_parts(m) for m in measures}
     return [
-        *[F.sum(p).alias(f"{m}__{part}") for m in measures for part, p in zip(("whole", "millionths"), parts[m])],
+        *[F.sum(p).alias(f"{m}__{part}") for m in measures for part, p in zip(X.PARTS, parts[m])],
         *[F.count(m).alias(f"{m}__n") for m in measures],
         F.count("*").alias("__rows"),
     ]
@@ -35,14 +35,14 @@ def _sums(measures: Sequence[str]) -> list[Column]:
 
 def _resummed(measures: Sequence[str]) -> list[Column]:
     return [
-        *[F.sum(f"{m}__{p}").alias(f"{m}__{p}") for m in measures for p in ("whole", "millionths")],
+        *[F.sum(f"{m}__{p}").alias(f"{m}__{p}") for m in measures for p in X.PARTS],
         *[F.coalesce(F.sum(f"{m}__n"), F.lit(0)).alias(f"{m}__n") for m in measures],
         F.coalesce(F.sum("__rows"), F.lit(0)).alias("__rows"),
     ]
 
 
 def _mean(measure: str) -> Column:
-    total = X.exact_total(f"{measure}__whole", f"{measure}__millionths")
+    total = X.exact_total(*[f"{measure}__{p}" for p in X.PARTS])
     return F.try_divide(total, F.col(f"{measure}__n").cast("double"))
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from skyledger.operators.skew import attach_by_key
 from skyledger.session import materialize
 
-# Up to this many places are held in the plan as one array.
+# Up to this many places are held in the plan as one array; both ways give the same places.
 SMALL = 1024
-# Cell widths in degrees. Powers of two, so that cell borders nest exactly.
+# Cell widths in degrees; wider ones are put in front where the places spread further.
+# Powers of two, so that cell borders nest exactly.
 WIDTHS = (64.0, 16.0, 4.0, 1.0, 1 / 4, 1 / 16, 1 / 64, 1 / 256)
+# Places spread over at most this many cells of the coarsest width, each way.
+TOP_CELLS = 6
 
 Prefer = Callable[[Column, Column], list[Column]]
 
@@ -90,11 +93,15 @@ def _by_cells(spots: DataFrame, index: DataFrame, prefer: Prefer) -> DataFrame:
         coarse = [F.floor(F.col(c) / step).cast("long").alias(c) for c in ("cx", "cy")]
         return cells.groupBy(*coarse).agg(F.min("s").alias("s"))
 
-    # The globe has at most 6 x 3 cells of the coarsest width, so this array is small.
-    top = level(WIDTHS[0]).agg(F.collect_list(F.struct("cx", "cy", "s"))).scalar()
+    span = cells.agg(F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"))).head()[0] * finest
+    widths = list(WIDTHS)
+    while span > TOP_CELLS * widths[0]:
+        widths.insert(0, 4 * widths[0])
+    # At most (TOP_CELLS + 2) squared cells of the coarsest width, in whatever unit the axes are.
+    top = level(widths[0]).agg(F.collect_list(F.struct("cx", "cy", "s"))).scalar()
     front = spots.select("__x", "__y", F.explode(top).alias("c")).select("__x", "__y", "c.*")
-    front = _prune(front, WIDTHS[0])
-    for width, wider in zip(WIDTHS[1:], WIDTHS):
+    front = _prune(front, widths[0])
+    for width, wider in zip(widths[1:], widths):
         step = F.lit(round(wider / width))
         parents = [F.floor(F.col(c) / step).cast("long").alias(u) for c, u in (("cx", "ux"), ("cy", "uy"))]
         children = level(width).select(*parents, "cx", "cy", "s")

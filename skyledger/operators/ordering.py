@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +12,6 @@ from skyledger.session import materialize
 
 # A column is cut into value ranges of about this many distinct values, one task each.
 VALUES_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
-# Cuts are searched in two steps: every STEP-th cut first, then the cuts in between.
-STEP = 64
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,17 +28,20 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _with_range(counts: DataFrame, cuts: DataFrame) -> DataFrame:
+def _with_range(counts: DataFrame, cuts: DataFrame, ranges: int) -> DataFrame:
     """Add the number of the value's range: how many cuts of its column are not above it.
 
-    ``cuts`` has one line per column with at most MAX_RANGES numbers; it is held
-    in the plan as one scalar.
+    ``cuts`` has one line per column with a number for each VALUES_PER_RANGE distinct
+    values; it is held in the plan as one scalar, 8 MB for a million million values.
+    Cuts are searched in two steps: every n-th cut first, then the cuts in between,
+    with n near the root of their number.
     """
-    coarse = F.filter("cuts", lambda c, i: i % STEP == STEP - 1)
+    every = max(2, math.isqrt(ranges))
+    coarse = F.filter("cuts", lambda c, i: i % every == every - 1)
     entry = F.struct("name", F.struct("cuts", coarse.alias("coarse")))
     by_name = cuts.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    skipped = _count_up_to(F.col("__cuts.coarse")) * STEP
-    between = F.slice(F.col("__cuts.cuts"), F.col("__skipped") + 1, STEP - 1)
+    skipped = _count_up_to(F.col("__cuts.coarse")) * every
+    between = F.slice(F.col("__cuts.cuts"), F.col("__skipped") + 1, every - 1)
     return (
         counts.withColumn("__cuts", F.try_element_at(by_name, F.col("name")))
         .withColumn("__skipped", skipped)
@@ -63,12 +64,12 @@ def value_ranks(df: DataFrame, columns: Sequence[str], ranges: int | None = None
     """
     counts = materialize(value_counts(df, columns), "value-counts")
     if ranges is None:
-        ranges = min(MAX_RANGES, 1 + counts.count() // VALUES_PER_RANGE)
+        ranges = 1 + counts.count() // VALUES_PER_RANGE
     if ranges > 1:
         cuts = counts.groupBy("name").agg(
             F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts")
         )
-        ranged = _with_range(counts, cuts)
+        ranged = _with_range(counts, cuts, ranges)
     else:
         ranged = counts.withColumn("range", F.lit(0))
     ranged = materialize(ranged, "value-ranges") if ranges > 1 else ranged

@@ -182,7 +182,7 @@ EVALUATED_COLUMNS = (
 )
 
 
-def evaluate_districts(
+def evaluate_all(
     districts: DataFrame,
     panel: DataFrame,
     years: Sequence[int],
@@ -191,9 +191,10 @@ def evaluate_districts(
     features: DataFrame | None = None,
     scorer: Scorer = STAND_IN,
 ) -> DataFrame:
-    """One scored row per district, year and scenario, stored for the rankings that read it several times.
+    """One row per district, year and scenario, stored for the rankings that read it several times.
 
-    Districts whose data gives no score are left out.
+    A district whose data gives no score is kept with a NULL ``hotspot_score``;
+    :func:`scored` and :func:`unscored` split the rows.
     """
     requests = for_periods(place_requests(unique_districts(districts), panel), years, month)
     requests = scenario_grid(requests, scenarios or {"baseline": (0.0, 0.0, 0.0)})
@@ -206,8 +207,34 @@ def evaluate_districts(
             "drought_severity_score": X.round_to("drought_severity_score", 4),
         }
     )
-    # Filtered after writing: pushed into the long expression chain, the filter would copy it.
-    return materialize(df.select(*EVALUATED_COLUMNS, "scenario"), "evaluated").na.drop(subset=["hotspot_score"])
+    # Written before it is split: pushed into the long expression chain, a filter would copy it.
+    return materialize(df.select(*EVALUATED_COLUMNS, "scenario"), "evaluated")
+
+
+def scored(evaluated: DataFrame) -> DataFrame:
+    """The rows of :func:`evaluate_all` that rankings use."""
+    return evaluated.na.drop(subset=["hotspot_score"])
+
+
+def unscored(evaluated: DataFrame) -> DataFrame:
+    """The other rows of :func:`evaluate_all`: district, year, scenario and the names of the values that are missing."""
+    values = [c for c in EVALUATED_COLUMNS if c not in ("district_id", "year")]
+    missing = F.filter(F.array(*[F.when(F.isnull(c), F.lit(c)) for c in values]), lambda c: c.isNotNull())
+    rows = evaluated.filter(F.isnull("hotspot_score") | F.isnan("hotspot_score"))
+    return rows.select("district_id", "year", "scenario", missing.alias("missing"))
+
+
+def evaluate_districts(
+    districts: DataFrame,
+    panel: DataFrame,
+    years: Sequence[int],
+    month: int,
+    scenarios: Mapping[str, Sequence[float]] | None = None,
+    features: DataFrame | None = None,
+    scorer: Scorer = STAND_IN,
+) -> DataFrame:
+    """The scored rows of :func:`evaluate_all`, for callers that need no quarantine."""
+    return scored(evaluate_all(districts, panel, years, month, scenarios, features, scorer))
 
 
 def target_dates(base: Column, timeframe: str) -> Column:

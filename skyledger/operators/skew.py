@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skyledger.session import materialize
 
-# A key with more rows than this counts as hot. There can be at most
-# (total rows / HOT_ROWS) hot keys, which bounds what is broadcast.
+# A key with more rows than this counts as hot; there can be at most
+# (total rows / HOT_ROWS) of them.
 HOT_ROWS = 5_000_000
 
 
@@ -19,8 +19,10 @@ def attach_by_key(
 ) -> DataFrame:
     """Left join of ``rows`` to ``lookup``, which has one line per key and the key's number of rows.
 
-    Lines of hot keys are broadcast, so their rows are joined where they lie;
-    the other keys take an ordinary shuffled join. ``count_column`` is dropped.
+    Lines of hot keys are stored, so the planner knows their bytes: below its broadcast
+    threshold their rows are joined where they lie, beyond it by a shuffle whose skewed
+    partitions are split. The other keys take an ordinary join. Every row is kept either
+    way. ``count_column`` is dropped.
     """
     keys = list(keys)
     lookup = materialize(lookup, "lookup")
@@ -28,7 +30,7 @@ def attach_by_key(
     if hot.isEmpty():
         return rows.join(lookup.drop(count_column), keys, "left")
     cold = lookup.filter(F.col(count_column) <= hot_rows)
-    hot_keys = F.broadcast(hot.select(*keys))
-    on_hot = rows.join(F.broadcast(hot.drop(count_column)), keys, "inner")
-    on_cold = rows.join(hot_keys, keys, "left_anti").join(cold.drop(count_column), keys, "left")
+    hot = materialize(hot.drop(count_column), "hot-keys")
+    on_hot = rows.join(hot, keys, "inner")
+    on_cold = rows.join(hot.select(*keys), keys, "left_anti").join(cold.drop(count_column), keys, "left")
     return on_hot.unionByName(on_cold)

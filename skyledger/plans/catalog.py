@@ -1056,8 +1056,8 @@ register(
 )
 
 
-def _evaluated(t: Tables) -> DataFrame:
-    return S.evaluate_districts(t.districts, t.panel, [BASE, TARGET], MONTH)
+def _evaluated(t: Tables, *years: int) -> DataFrame:
+    return S.evaluate_districts(t.districts, t.panel, years or (BASE, TARGET), MONTH)
 
 
 def _top_sql(source: str, name: str, order: str, n: int) -> str:
@@ -1076,7 +1076,7 @@ register(
     ),
 )(
     lambda t: out(
-        RK.hotspot_ranking(_evaluated(t), BASE),
+        RK.hotspot_ranking(_evaluated(t, BASE), BASE),
         [*LIST_COLUMNS, "hotspot_score", "hotspot_risk_band", "drought_category", "overall_risk_category",
          "predicted_temperature_c", "predicted_rainfall_mm"],
     )
@@ -1089,7 +1089,7 @@ register(
         SELECT * FROM {_top_sql(f"(SELECT * FROM ev WHERE year = {BASE} AND hotspot_risk_band IN ('Critical', 'High'))", "vulnerable_hotspots", "hotspot_score DESC", 10)} UNION ALL
         SELECT * FROM {_top_sql(f"(SELECT * FROM ev WHERE year = {BASE} AND hotspot_risk_band = 'Moderate')", "emerging_hotspots", "hotspot_score DESC", 10)})""",
     ),
-)(lambda t: out(RK.hotspots(_evaluated(t), BASE), [*LIST_COLUMNS, "hotspot_score", "hotspot_risk_band"]))
+)(lambda t: out(RK.hotspots(_evaluated(t, BASE), BASE), [*LIST_COLUMNS, "hotspot_score", "hotspot_risk_band"]))
 EVAL_OUT = (
     "predicted_temperature_c predicted_rainfall_mm soil_moisture drought_severity_score drought_confidence heatwave_severity "
     "extreme_rainfall_severity overall_risk_score water_stress_index crop_stress_index hotspot_score"
@@ -1467,7 +1467,7 @@ def stream_trend(t: Tables) -> DataFrame:
     return out(
         t.spark.read.parquet(path).select(
             "district_id", "period",
-            (X.exact_total("whole", "millionths") / F.col("n").cast("double")).alias("average_temperature"), "n",
+            (X.exact_total(*X.PARTS) / F.col("n").cast("double")).alias("average_temperature"), "n",
         )
     )
 

@@ -44,7 +44,7 @@ def half_away(sql: str) -> str:
                 comma = i
             i += 1
         x, unit = sql[start + 6 : comma], f"{10.0 ** int(sql[comma + 1 : i - 1])}::DOUBLE"
-        sql = f"{sql[:start]}(sign({x}) * floor(abs({x}) * {unit} + 0.500001::DOUBLE) / {unit} + 0.0::DOUBLE){sql[i:]}"
+        sql = f"{sql[:start]}(sign({x}) * floor(abs({x}) * {unit} + 0.500000001::DOUBLE) / {unit} + 0.0::DOUBLE){sql[i:]}"
         start = sql.find("round(")
     return sql
 

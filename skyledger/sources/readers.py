@@ -80,7 +80,7 @@ def daily_rows(payloads: DataFrame, as_of: Column | None = None) -> DataFrame:
 
     The parallel arrays are matched by position; a missing or short array takes
     the default measure. Days from ``as_of`` on are left out, and so are days
-    that are not dates.
+    that are not dates; :func:`failed_payloads` reports those.
     """
     daily = F.col("p.daily")
     defaults = K.INGEST_DEFAULTS
@@ -104,6 +104,18 @@ def daily_rows(payloads: DataFrame, as_of: Column | None = None) -> DataFrame:
     return rows if as_of is None else rows.filter(F.col("observation_date") < as_of)
 
 
+def failed_payloads(payloads: DataFrame) -> DataFrame:
+    """Payloads that :func:`daily_rows` cannot read in full: district_id, failed_days, error.
+
+    Without a list of days the whole payload fails and ``failed_days`` is 0.
+    """
+    days = F.from_json("payload", S.DAILY_PAYLOAD)["daily"]["time"]
+    bad = F.size(F.filter("days", lambda d: F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNull()))
+    error = F.when(F.isnull("days"), F.lit("no days")).when(F.col("failed_days") > 0, F.lit("not a date"))
+    read = payloads.select("district_id", days.alias("days")).withColumn("failed_days", F.coalesce(F.when(F.col("days").isNotNull(), bad), F.lit(0)).cast("long"))
+    return read.select("district_id", "failed_days", error.alias("error")).filter(F.col("error").isNotNull())
+
+
 def live_rows(payloads: DataFrame) -> DataFrame:
     """Current conditions from live payloads (column ``payload``: JSON text); other columns are kept."""
     current = F.col("p.current")

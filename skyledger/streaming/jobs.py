@@ -89,16 +89,12 @@ def trend_stream(
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Exact temperature sums and counts per district and week; a window is written once it is complete."""
-    whole, millionths = X.exact_parts("temperature")
+    sums = [F.sum(part).alias(name) for name, part in zip(X.PARTS, X.exact_parts("temperature"))]
     weekly = (
         observations.withWatermark(event_time, late)
         .groupBy(F.window(event_time, window, window, WEEK_START), "district_id")
-        .agg(
-            F.sum(whole).alias("whole"),
-            F.sum(millionths).alias("millionths"),
-            F.count("temperature").alias("n"),
-        )
-        .select(F.col("window.start").cast("date").alias("period"), "district_id", "whole", "millionths", "n")
+        .agg(*sums, F.count("temperature").alias("n"))
+        .select(F.col("window.start").cast("date").alias("period"), "district_id", *X.PARTS, "n")
     )
     return (
         weekly.writeStream.outputMode("append")

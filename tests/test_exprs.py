@@ -87,6 +87,19 @@ def test_exact_mean_does_not_depend_on_order(spark):
     assert results == {(0.6 + 1e9) / 4}
 
 
+def test_exact_mean_keeps_small_values(spark):
+    rows = [(3e-7, 0.1234567891, 5e-10), (4e-7, 0.1234567893, -5e-10), (None, None, None)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    got = df.agg(*[X.exact_mean(c) for c in "xyz"]).head()
+    assert got[0] == pytest.approx(3.5e-7, rel=1e-9) and got[1] == pytest.approx(0.1234567892, rel=1e-14) and got[2] == 0.0
+    assert df.filter("x is null").agg(X.exact_mean("x")).head()[0] is None
+
+
+def test_rounding_leaves_values_below_the_half(spark):
+    rows = [(0.4999995, 24.994999995, 1.005)]
+    assert values(spark, "a double, b double, c double", rows, X.round_to("a", 0), X.round_to("b", 2), X.round_to("c", 2)) == [(0.0, 24.99, 1.01)]
+
+
 def test_names_ignore_case_and_blanks(spark):
     rows = [(" Pune ", "pune"), ("PUNE", "Pune")]
     got = values(spark, "a string, b string", rows, X.match_key("a") == X.match_key("b"), X.contains_ignoring_case("a", "uN"))

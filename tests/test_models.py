@@ -107,6 +107,15 @@ def test_trained_model_takes_the_place_of_the_stand_in(panel, tables):
     assert (both["t"] != both["predicted_temperature_c"]).any()
 
 
+def test_districts_without_a_score_are_reported(panel, tables):
+    rows = S.evaluate_all(tables.districts.filter("district_id < 12"), panel, [2000], 6)
+    rows = rows.withColumns({c: F.when(F.col("district_id") > 2, F.col(c)) for c in ("hotspot_score", "soil_moisture")})
+    good, bad = S.scored(rows), S.unscored(rows)
+    low = {r["district_id"] for r in rows.filter("district_id <= 2").collect()}
+    assert {r["district_id"] for r in bad.collect()} == low and good.count() + len(low) == rows.count()
+    assert all(set(r["missing"]) == {"hotspot_score", "soil_moisture"} for r in bad.collect())
+
+
 def test_scoring_keeps_rows_with_missing_features(spark):
     from skyledger.models import training as T
 

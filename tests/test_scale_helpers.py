@@ -90,6 +90,16 @@ def test_nearest_grid_line_halfway_takes_the_larger(spark):
     assert got == {9.0: 10.0, 10.4: 10.0, 10.5: 11.0, 11.51: 12.0, 20.0: 12.0}
 
 
+def test_nearest_place_on_wide_axes(spark):
+    """Coordinates in metres: the cells start as wide as the places spread."""
+    rng = np.random.default_rng(4)
+    xy, at = rng.integers(-10**6, 10**6, (60, 2)).astype(float), rng.integers(-10**6, 10**6, (25, 2)).astype(float)
+    places = spark.createDataFrame([(f"p{i:02}", *map(float, p)) for i, p in enumerate(xy)], "city string, latitude double, longitude double")
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "id int, latitude double, longitude double")
+    got = {r["id"]: r["nearest"] for r in nearest_place(points, places, small=0).collect()}
+    assert got == {i: f"p{int(((xy - p) ** 2).sum(axis=1).argmin()):02}" for i, p in enumerate(at)}
+
+
 @pytest.mark.parametrize("hot_rows", [1, 50, 10**6])
 def test_hot_keys_change_nothing(spark, hot_rows):
     rows = spark.createDataFrame([("hot", i) for i in range(100)] + [("b", 100), (None, 101), ("c", 102)], "k string, i int")

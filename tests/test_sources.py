@@ -38,6 +38,8 @@ def test_payload_short_null_and_future_days(spark):
     got = [(r["observation_date"].day, r["rainfall"], r["temperature"], r["humidity"])
            for r in RD.daily_rows(df, F.lit(date(2024, 1, 4))).collect()]
     assert got == [(1, 1.5, 30.0, 50.0), (2, 0.0, 31.0, 50.0)]
+    failed = {tuple(r) for r in RD.failed_payloads(df).collect()}
+    assert failed == {(7, 1, "not a date"), (8, 0, "no days")}
 
 
 ROWS = [
