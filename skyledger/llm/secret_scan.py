@@ -2,7 +2,8 @@
 
 Prose and identifiers cost few tokens for their length; random strings cost many.
 A run of token signs with few characters per token is reported as ``random`` unless
-it is a digest, a UUID, a number or an identifier made of words.
+it is a digest, a UUID, a number or an identifier whose words cost few tokens. Where a
+fixed pattern covers part of a run, the rest of the run is tested by itself.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Strings that the token test looks at, and the most characters per token of a random one.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 MOST_PER_TOKEN = 2.2
 
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
@@ -72,14 +74,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def known_string(run: str) -> bool:
-    """True for digests, UUIDs, numbers and identifiers, which are no secrets by themselves."""
+def known_string(run: str, vocabulary: Vocabulary, most: float = MOST_PER_TOKEN) -> bool:
+    """True for digests, UUIDs, numbers and identifiers, which are no secrets by themselves.
+
+    An identifier's parts look like words and have more than ``most`` letters per token together;
+    the signs and digits between them don't count.
+    """
     if _HEXES.fullmatch(run) and len(run) in _DIGEST_SIZES:
         return True
     if _UUID.fullmatch(run) or _NUMBER.fullmatch(run):
         return True
-    parts = re.split(r"[/_=+-]+", run)
-    return bool(_IDENTIFIER.fullmatch(run)) and all(_is_word(p.rstrip("0123456789")) for p in parts if p)
+    if not _IDENTIFIER.fullmatch(run):
+        return False
+    parts = [p.rstrip("0123456789") for p in re.split(r"[/_=+-]+", run) if p]
+    return all(map(_is_word, parts)) and sum(map(len, parts)) / sum(map(vocabulary.tokens, parts)) > most
 
 
 def _is_word(part: str) -> bool:
@@ -99,15 +107,19 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: Vocab
             ends.append(end)
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        at = bisect_right(starts, m.end() - 1) - 1
-        if at >= 0 and ends[at] > m.start():
-            continue
-        # Words of one case carry no entropy of mixed alphabets.
-        if run.isalpha() and (run.islower() or run.isupper()) or known_string(run):
-            continue
-        if len(run) / max(1, vocabulary.tokens(run)) <= most:
-            out.append((m.start(), 3, m.end()))
+        # What the taken spans leave of the run.
+        start, at = m.start(), bisect_right(ends, m.start())
+        rests = []
+        while at < len(starts) and starts[at] < m.end():
+            rests.append((start, starts[at]))
+            start, at = ends[at], at + 1
+        rests.append((start, m.end()))
+        for start, end in rests:
+            run = text[start:end]
+            if end - start < LEAST_RUN or len(run) / max(1, vocabulary.tokens(run)) > most:
+                continue
+            if not known_string(run, vocabulary, most):
+                out.append((start, 3, end))
     return out
 
 
@@ -120,7 +132,8 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, most: float = MO
 
     Spans are ``kind:start:end`` over the whole text in code points, end exclusive,
     by start and then kind (assign, access, hex, random), joined by commas. Matches of a
-    kind are leftmost and do not overlap; kinds may. Null and empty texts have none.
+    kind are leftmost and do not overlap; kinds may, but random is only looked for outside
+    the others. Null and empty texts have none.
     Repeated rows give equal results; only doc_id and text are read.
     """
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))

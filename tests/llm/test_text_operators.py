@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -63,6 +64,24 @@ def test_random_spans_keep_out_of_base_spans():
     assert len(base) == 1 and [text[a:b] for a, _, b in more] == ["Zq8rT2vXw9LmN4pBs7KdYh3D"]
 
 
+def test_one_case_strings_and_rests_of_runs_are_tested():
+    vocabulary = secret_scan.Vocabulary()
+
+    def found(text):
+        return [text[a:b] for a, _, b in secret_scan.random_spans(text, secret_scan.base_spans(text), vocabulary)]
+
+    rng = random.Random(7)
+    strings = ["".join(rng.choices(letters, k=32)) for letters in (string.ascii_lowercase, string.ascii_uppercase) for _ in range(100)]
+    for secret in ["zqxjkvbwpfmghtyrlsnd", "QZXJ-KVBW-PFMG-HTYR-LSND-AKQW", *strings]:
+        assert found(f"key {secret} end") == [secret]
+    for known in ["some_long_identifier_name_here", "getUserNameFromTheDatabase", "internationalization", "MAX_NUM_OF_ROWS_PER_KEY", "a" * 40]:
+        assert found(f"key {known} end") == []
+    rest, other = "-Zq8rT2vXw9LmN4pBs7KdYh3C", "Kd7YhZq3CrT8vXwL2mN9pBs4-"
+    assert found("0a1b2c3d" * 4 + rest) == [rest]
+    assert found(other + "0a1b2c3d" * 4 + rest + " " + "f" * 40) == [other, rest]
+    assert found("0a1b2c3d" * 4 + rest[:19]) == []
+
+
 # Pieces ----------------------------------------------------------------------
 
 
