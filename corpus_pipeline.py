@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage works on all rows that the stage before kept, written as Parquet and read
-again. A stage that drops documents returns the columns of ``documents``.
+again. A stage that drops documents returns the columns of ``documents``. Near duplicates
+and contamination are decided per row: every row is a document of its own there,
+whether its doc_id is null, shared or neither.
 """
 
 from __future__ import annotations
@@ -34,13 +36,33 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near duplicates, and those without one."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    """One row of each group of near duplicates, and the rows without a group.
+
+    Rows are grouped by their texts only. The row with the smallest doc_id stays, null last;
+    of several with that doc_id the one with the smallest text digest. Rows with a null or shared
+    doc_id are linked like others; different texts under one doc_id are different documents.
+    Texts without words are linked with nothing, but equal ones under one doc_id are one document.
+    """
+    rows = _with_row(docs)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("found_row"), "component_id", (F.col("n_shingles") == 0).alias("bare"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("digest"), "lang", "source", "n_chars", "row")
+    grouped = rows.select("row", order.alias("first")).join(found, F.col("row") == F.col("found_row"))
+    named_bare = F.col("bare") & ~F.col("first.unnamed")
+    group = F.struct(
+        F.when(~named_bare, F.col("component_id")).alias("component"),
+        *[F.when(named_bare, F.col(f"first.{c}")).alias(c) for c in ("doc_id", "digest")],
+    )
+    stay = materialize(grouped.groupBy(group.alias("group")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("stay")), "stay")
+    return rows.join(stay, F.col("row") == F.col("stay"), "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Rows whose own text holds no window of a benchmark item, whatever other rows share their doc_id."""
+    rows = _with_row(docs)
+    found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialize(found.where("contaminated").select(F.col("doc_id").alias("gone")), "gone")
+    return rows.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +70,9 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return encode_texts(docs)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids of ``gone``; their ids are written first, so the planner knows their size."""
-    ids = materialize(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(ids, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+def _with_row(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents`` and ``row``, a number of its own for each row; written, so it stays the same."""
+    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 STAGES = [

@@ -312,3 +312,32 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     last = pipeline.run(spark, SMALL)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in clean.collect()}
     assert last.where(~F.col("round_trip")).count() == 0
+
+
+def test_pipeline_decides_per_row(spark):
+    import corpus_pipeline as pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    a, near_a, b, c = " ".join(words), " ".join([*words[:39], "x"]), "six other words stand in here", "one more text of eight words to keep"
+    item = table(spark, SMALL, "benchmark").where("length(text) > 200").first().text
+    leak = f"before {item} after"
+
+    def through(stage, rows):
+        given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        got = stage(spark, given, SMALL)
+        assert tuple(got.columns) == pipeline.COLUMNS
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+    def expect(rows):
+        return sorted(rows, key=str)
+
+    near = pipeline.near_duplicate_stage
+    # A null id: a copy and a near copy of a named text go, of those among themselves one stays.
+    assert through(near, [(5, a), (None, a), (None, near_a), (None, b), (None, b), (None, c)]) == expect([(5, a), (None, b), (None, c)])
+    assert through(near, [(None, a), (None, near_a)]) in ([(None, a)], [(None, near_a)])
+    # Repeated rows are one document; other texts under their id are other documents.
+    assert through(near, [(7, a), (7, a), (7, a), (7, b), (8, b), (6, c), (9, near_a)]) == expect([(7, a), (7, b), (6, c)])
+    assert through(near, [(1, None), (1, None), (2, ""), (None, ""), (None, "")]) == expect([(1, None), (2, ""), (None, ""), (None, "")])
+    clean = pipeline.decontamination_stage
+    rows = [(None, leak), (None, b), (7, leak), (7, c), (7, c), (8, None), (None, None), (9, a)]
+    assert through(clean, rows) == expect([r for r in rows if r[1] != leak])
