@@ -143,3 +143,17 @@ def test_correlations_use_pairwise_complete_rows(spark):
     got = {(r.left, r.right): r.abs_corr for r in Q.collinear_pairs(df, ["a", "b", "c"], 0.0).collect()}
     plain = frame.corr().abs()
     assert len(got) == 3 and all(abs(v - plain.loc[k]) < 1e-9 for k, v in got.items())
+
+
+def test_registered_races_have_all_candidates_and_the_winner_is_refitted(tables, monkeypatch):
+    from skyledger.plans import catalog
+
+    classes = {r.name for r in catalog.train_classifiers(tables).collect()}
+    assert classes == set(T.classifiers())
+    assert {r.name for r in catalog.train_regressors(tables).collect()} == set(T.regressors("x"))
+    race, refitted = T.Result("LogisticRegression", None, {}), []
+    monkeypatch.setattr(T, "race_classifiers", lambda *given: [race])
+    refit = T.refit
+    monkeypatch.setattr(T, "refit", lambda *given: refitted.append(given[-1]) or refit(*given))
+    assert catalog.batch_score(tables).count() > 0
+    assert [type(e).__name__ for e in refitted] == ["LogisticRegression"]
