@@ -201,7 +201,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """Fit on at most ``sample_rows`` labelled rows outside the held-out fold.
 
     Labels are (doc_id, toxic); null ones and ids without a document are skipped, and
-    of several labels of an id the largest counts. Without both classes in each part the trees or the calibration
+    of several labels of an id the largest counts, of several rows of an id the one with
+    the smallest text digest. Without both classes in each part the trees or the calibration
     stay out, see ``score_toxicity``.
     """
     chosen = (
@@ -212,7 +213,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     chosen = materialize(chosen.select("id", "label", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(4)).alias("part")), "toxic-labels")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
     # At most sample_rows short rows are broadcast.
-    sample = materialize(texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("text", "label", "part"), "toxic-sample")
+    sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    # One row an id, so that the sample is no larger than the labels.
+    sample = sample.groupBy("id", "label", "part").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("m"))
+    sample = materialize(sample.select("m.text", "label", "part"), "toxic-sample")
     lexicon = learn_lexicon(sample.where("part < 2"))
     rows = materialize(_with_features(sample.where("part >= 2"), lexicon).select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("vector")), "toxic-features")
 

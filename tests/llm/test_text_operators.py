@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyledger.llm import html_text, pieces, quality, secret_scan, toxicity, url_filter
 from skyledger.llm.common import table
 from skyledger.llm.queries import URL_RULES
+from skyledger.session import materialize
 from tests.conftest import SMALL
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, kept boolean, row string"
@@ -207,6 +208,28 @@ def test_held_out_accuracy(spark):
     assert right >= 0.98 and caught >= 0.9
 
 
+def test_repeated_rows_of_a_labelled_id_count_once(spark, monkeypatch):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    many = docs.where(F.col("doc_id") == labels.where("quality = 1 and toxic = 0").agg(F.min("doc_id")).first()[0])
+    more = docs.union(many.crossJoin(spark.range(300)).select(*docs.columns))
+    sizes = []
+
+    class Forest(quality.IsolationForest):
+        def __init__(self, rows):
+            sizes.append(len(rows))
+            super().__init__(rows)
+
+    monkeypatch.setattr(quality, "IsolationForest", Forest)
+    once, often = quality.fit_quality(docs, labels), quality.fit_quality(more, labels)
+    assert sizes[0] == sizes[1] <= labels.count() and once.threshold == often.threshold
+    held = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: held.append((name, df.count())) or materialize(df, name))
+    for given in (docs, more):
+        toxicity.fit_toxicity(given, labels)
+    counts = [n for name, n in held if name == "toxic-sample"]
+    assert counts[0] == counts[1] <= labels.count()
+
+
 def test_scores_of_odd_texts_and_without_labels(spark):
     docs = docs_of(spark, [*ODD, "you idiot", "you 1d10t"])
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
