@@ -20,6 +20,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16kb",
 }
 
+# Temporary folder of each application with a local master. Spark fixes
+# spark.checkpoint.dir when it starts, so the folder cannot be kept there.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -50,17 +54,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is made only for a local master, where driver and
-    executors share one machine.
+    A temporary folder, one for each application, is made only where that is unset and
+    the master is local, so driver and executors share one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="skyledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="skyledger-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
