@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.llm.centroids import cluster_vectors
 from skyledger.llm.common import table
 from skyledger.llm.decontam import decontaminate
 from skyledger.llm.html_text import extract_text
 from skyledger.llm.line_dedup import line_dedup
+from skyledger.llm.merkle import audit_documents
 from skyledger.llm.near_dup import near_duplicates
+from skyledger.llm.packing import pack_documents
 from skyledger.llm.pieces import encode_texts
 from skyledger.llm.quality import fit_quality, quality_rules
 from skyledger.llm.secret_scan import scan_secrets
@@ -76,9 +79,24 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_documents(table(spark, folder, "documents"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_line_dedup, op3_html_text, op4_decontamination, op5_near_duplicates, op6_sentencepiece, op7_secrets, op8_quality, op9_sharding, op10_url_filter)
+    for f in (
+        op1_toxicity, op2_line_dedup, op3_html_text, op4_decontamination, op5_near_duplicates, op6_sentencepiece, op7_secrets,
+        op8_quality, op9_sharding, op10_url_filter, op11_packing, op12_merkle_manifest, op13_centroids,
+    )
 }
 
 _WHITE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
