@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,47 +30,58 @@ from skyledger.session import materialize
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 500_000  # words whose ids a task remembers
+CACHED_WORDS = 400_000  # words in one of a task's two generations of remembered words
 LONG_WORD = 64  # bytes; longer words are not remembered
 ROWS_OUT = 4096  # pieces in an output batch
 
-# ASCII words are cut as the vocabulary's own pattern cuts them.
-_PLAIN = re.compile(rb"[!-~]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Words of printable ASCII signs and western letters, which lower-casing changes sign by sign, and
+# their parts, as the vocabulary's own pattern cuts them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# The vocabulary's sign for each byte: a byte that is no visible sign stands as a letter from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_SIGNS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class WordIds(dict):
     """Token ids of a word (UTF-8 bytes without ASCII white space) as little-endian 32-bit numbers.
 
     The vocabulary never joins signs across white space, so a text's ids are its words' ids in order.
-    Plain ASCII words go part by part to the model; others, and those that may hold a special token,
-    through the whole tokenizer.
+    Plain words go part by part to the model; others, and those that may hold a special token,
+    through the whole tokenizer. When a generation of words is full, the words used since stay.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        self._older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._ids(word)
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self._ids(word)
         if len(word) <= LONG_WORD:
             if len(self) >= CACHED_WORDS:
+                self._older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if b"<|" in word or len(word) > LONG_WORD or not _PLAIN.fullmatch(word):
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = [t.id for part in _PARTS.findall(text.lower()) for t in self._model.tokenize(part)]
-        return np.array(ids, "<u4").tobytes()
+        if len(word) > LONG_WORD or "<|" in text or not _PLAIN.fullmatch(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = []
+        for part in _PARTS.findall(text.lower()):
+            if not part.isascii():
+                part = part.encode("utf-8").decode("latin-1").translate(_SIGNS)
+            ids += [t.id for t in self._model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: bytes) -> bytes:
         """The ids of a whole text."""
-        return b"".join([self[w] for w in text.split()])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, p
 
 ODD_TEXTS = [
     None, "", " \n\t\x0b\x0c\r ", "It's we'll I'D 'S ''s can't", "Ünïcode é à ﬁ Å Ａ", "a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>",
-    "12 345 a1b2 $$$ !?# a.b,c", "\x00\x01 nul \x7f", "İ ß Σας", "日本語テキスト と 한국어", "é ́x", "x" * 5000, "word " * 5000, "a_b-c <| |> <|x", "👩‍👩‍👧 🎉🎉",
+    "12 345 a1b2 $$$ !?# a.b,c", "\x00\x01 nul \x7f", "İ ß Σας", "日本語テキスト と 한국어", "é ́x", "x" * 5000, "word " * 5000, "a_b-c <| |> <|x", "ÀÉß straße ÿ Ÿ ×÷ ñ'S É's ÖÄÜöäü1é2 ¡¿ ªº", "".join(map(chr, range(33, 1500))), " ".join(map(chr, range(33, 1500))), "👩‍👩‍👧 🎉🎉",
 ]
 
 
