@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger import constants as K
+from skyledger.functions import exprs as X
 from skyledger.functions.exprs import ColumnLike, col
 from skyledger.functions.history import group
 from skyledger.session import materialize
@@ -69,16 +71,22 @@ def place_normals(names: Sequence[str], until_year: int | None = None) -> dict[s
     return out
 
 
-def zone_normals(names: Sequence[str]) -> dict[str, Column]:
+def zone_normals(names: Sequence[str], until_year: int | None = None) -> dict[str, Column]:
     """Helper aggregates ``__zone_<name>_mean`` and ``__zone_<name>_std`` for zone and month."""
     out = {}
     for n in names:
-        c = MEASURE[n]
+        c = fit_rows(MEASURE[n], until_year)
         out[f"__zone_{n}_mean"] = F.avg(c)
-        out[f"__zone_{n}_std"] = std_or(F.stddev_samp(c), missing=MISSING_STD[c])
+        out[f"__zone_{n}_std"] = std_or(F.stddev_samp(c), missing=MISSING_STD[MEASURE[n]])
     return out
 
 
+def zone_aridity(until_year: int | None = None) -> Column:
+    """Rain of a zone over its evaporation, both as means."""
+    evaporation = F.avg(F.abs(fit_rows("evabs", until_year))) * F.lit(float(K.EVAPORATION_MM))
+    return X.clip(X.ratio(F.avg(fit_rows("rainfall_mm", until_year)), evaporation, 1.0), 0.0, 20.0)
+
+
 def previous_month_mean(c: str, until_year: int | None = None) -> Column:
     """Mean for the row's city in the calendar month before the row's month."""
     by_month = F.array(
@@ -109,7 +117,10 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, C
 
 
 def place_month_climatology(panel: DataFrame) -> DataFrame:
-    """City by month table of means and deviations; a zero deviation is replaced."""
+    """City by month table of means and deviations; a zero deviation is replaced.
+
+    ``lag1_climatology`` is the mean of the rain one month before.
+    """
     return panel.groupBy("city", "month").agg(
         F.avg("temperature_c").alias("temp_climo_mean"),
         std_or(F.stddev_samp("temperature_c"), zero=ZERO_STD["temperature_c"]).alias("temp_climo_std"),
@@ -117,12 +128,19 @@ def place_month_climatology(panel: DataFrame) -> DataFrame:
         std_or(F.stddev_samp("rainfall_mm"), zero=ZERO_STD["rainfall_mm"]).alias("rain_climo_std"),
         F.avg("soil_moisture").alias("sm_climo_mean"),
         std_or(F.stddev_samp("soil_moisture"), zero=ZERO_STD["soil_moisture"]).alias("sm_climo_std"),
+        F.avg("rainfall_prev_1").alias("lag1_climatology"),
     )
 
 
 def zone_month_climatology(panel: DataFrame) -> DataFrame:
-    """Zone by month table."""
-    return panel.groupBy("climate_zone", "month").agg(*[c.alias(n) for n, c in zone_stats().items()])
+    """Zone by month table, with the normals of the drought bundle under their own names."""
+    drought = {
+        "zone_rain_climatology": F.avg("rainfall_mm"),
+        "zone_rain_climatology_std": std_or(F.stddev_samp("rainfall_mm"), missing=MISSING_STD["rainfall_mm"]),
+        "zone_sm_climatology": F.avg("soil_moisture"),
+        "zone_sm_climatology_std": std_or(F.stddev_samp("soil_moisture"), missing=MISSING_STD["soil_moisture"]),
+    }
+    return panel.groupBy("climate_zone", "month").agg(*[c.alias(n) for n, c in (zone_stats() | drought).items()])
 
 
 def zone_stats() -> dict[str, Column]:

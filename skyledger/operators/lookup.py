@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyledger import constants as K
 from skyledger.functions import exprs as X
 from skyledger.operators import baselines as B
+from skyledger.operators import carry as CY
 from skyledger.operators.cleaning import last_per_key
 from skyledger.operators.skew import attach_by_key
 from skyledger.session import materialize
@@ -105,10 +106,15 @@ def with_normals(requests: DataFrame, panel: DataFrame) -> DataFrame:
     """Add the normals of the city and month, the zone and month, the month, and overall."""
     place = B.place_month_climatology(panel)
     zone = materialize(B.zone_month_climatology(panel), "zone-normals")
+    arid = B.group_stats(panel, ["climate_zone"], {"zone_aridity_index": B.zone_aridity()})
     overall = B.global_stats(panel, {"rain": F.avg("rainfall_mm"), "low": F.min("temperature_c")})
+    # Normals of the request's own month, not those that a record of another month brought along.
+    normals = {c for t in (place, zone, arid) for c in t.columns} - {"city", "month", "climate_zone"}
     joined = (
-        requests.join(place, ["city", "month"], "left")
+        requests.drop(*normals)
+        .join(place, ["city", "month"], "left")
         .join(zone, ["climate_zone", "month"], "left")
+        .join(arid, "climate_zone", "left")
     )
     return joined.withColumns(
         B.month_lookups(panel) | {"overall_rain_mean": overall["rain"], "coldest_c": overall["low"]}
@@ -140,13 +146,15 @@ def state_rows(
     panel: DataFrame,
     features: DataFrame | None = None,
     given: Mapping[str, str] | None = None,
+    max_age: int = CY.MAX_AGE,
 ) -> DataFrame:
     """One wide state row per request (city, climate_zone, year, month, ...).
 
-    ``features`` is the record table; the panel itself by default. Pass the
-    full feature table to carry streaks and accumulated deficits along instead
-    of their defaults. Year and month are cleaned: text is read as a number,
-    the month is limited to 1 to 12.
+    ``features`` is the record table, one row per city and month; by default the panel with what
+    :func:`carry.carried_history` adds. The record gives the measures. Streaks, deficits and momentum come
+    from the last row at or before the month asked for, up to ``max_age`` months old, else from the
+    record; the default constants stand only where neither knows a value. Year and month are cleaned: text is read as a
+    number, the month is limited to 1 to 12.
 
     The state depends on city, year and month only, so it is built once per
     distinct combination and attached to the requests in one join, in which a
@@ -157,9 +165,10 @@ def state_rows(
     cleaned = requests.withColumns({"year": X.as_int("year", 2024), "month": X.valid_month("month")})
     cleaned = X.with_defaults(cleaned, {c: K.STATE_DEFAULTS[c] for c in place}) if place else cleaned
     asked = cleaned.groupBy(*keys).agg(F.max("climate_zone").alias("climate_zone"), F.count("*").alias("__n"))
-    state = with_history(asked, panel if features is None else features)
-    state = drift(X.with_defaults(state, K.STATE_DEFAULTS))
-    state = X.with_defaults(with_normals(state, panel), K.CLIMATOLOGY_DEFAULTS)
+    records = materialize(CY.carried_history(panel), "carried-history") if features is None else features
+    state = CY.with_carried(with_history(asked, records), records, max_age)
+    state = with_normals(state, panel)
+    state = drift(X.with_defaults(state, K.STATE_DEFAULTS | K.CLIMATOLOGY_DEFAULTS))
     own = set(cleaned.columns) - set(keys)
     df = attach_by_key(cleaned, state.select(*[c for c in state.columns if c not in own]), keys, "__n")
     return override(df, given) if given else df

@@ -224,6 +224,20 @@ def unscored(evaluated: DataFrame) -> DataFrame:
     return rows.select("district_id", "year", "scenario", missing.alias("missing"))
 
 
+def coverage(evaluated: DataFrame) -> DataFrame:
+    """Rows asked for, scored and unscored per year and scenario, and which values the unscored ones miss."""
+    keys = ["year", "scenario"]
+    counts = evaluated.groupBy(*keys).agg(F.count("*").alias("asked"))
+    gaps = unscored(evaluated).groupBy(*keys).agg(
+        F.count("*").alias("unscored"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing")
+    )
+    df = counts.join(gaps, keys, "left").withColumn("unscored", F.coalesce("unscored", F.lit(0)))
+    return df.select(
+        *keys, "asked", (F.col("asked") - F.col("unscored")).alias("scored"), "unscored",
+        F.coalesce(F.array_join("missing", "|"), F.lit("")).alias("missing"),
+    )
+
+
 def evaluate_districts(
     districts: DataFrame,
     panel: DataFrame,
@@ -297,14 +311,19 @@ def projections(
 
 
 def generate_forecasts(
-    districts: DataFrame, panel: DataFrame, first_day: Column, days: int = 7, scorer: Scorer = STAND_IN
+    districts: DataFrame,
+    panel: DataFrame,
+    first_day: Column,
+    days: int = 7,
+    scorer: Scorer = STAND_IN,
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """Forecast rows (district_id, forecast_date, predicted measures) for consecutive days; feed them to ``upsert``."""
     dated = districts.withColumn(
         "forecast_date", F.explode(F.sequence(first_day, F.date_add(first_day, days - 1)))
     ).withColumns({"year": F.year("forecast_date"), "month": F.month("forecast_date")})
     months = place_requests(dated.drop("forecast_date").distinct(), panel)
-    state = state_rows(months, panel)
+    state = state_rows(months, panel, features)
     scored = scorer.temperature(state).withColumn("temperature_c", F.col("predicted_temperature_c"))
     scored = scorer.rainfall(scored).select(
         "district_id", "year", "month",

@@ -554,6 +554,8 @@ register(
     ),
 )(lambda t: out(Q.collinear_pairs(t.panel, COLLINEAR, 0.5)))
 QUALITY_COLUMNS = ["temperature_prev_3", "rolling_rainfall_6m", "target_rainfall_next_month", "soil_moisture", "evabs"]
+
+
 @register(
     "data_quality",
     q.query(
@@ -565,7 +567,7 @@ QUALITY_COLUMNS = ["temperature_prev_3", "rolling_rainfall_6m", "target_rainfall
         ),
     ),
 )
-def _unfinished_panel(t: Tables) -> DataFrame:
+def data_quality(t: Tables) -> DataFrame:
     """The panel before incomplete rows are dropped, to have something to report."""
     raw = materialize(t.raw_panel)
     from skyledger.operators.panel import convert_units
@@ -670,6 +672,12 @@ q.cte(
     coalesce(max(CASE WHEN l_returnflag <> 'N' THEN l_discount * 1000.0::DOUBLE END), 50.0) AS humidity, l_linenumber - 1 AS day_index
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, o_custkey, l_linenumber""",
 )
+# An order with fewer than seven lines leaves days without a date.
+q.cte(
+    "failed_days", (),
+    """SELECT o_custkey AS district_id, 7 - count(DISTINCT l_linenumber) AS failed_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_orderkey, o_custkey HAVING count(DISTINCT l_linenumber) < 7""",
+)
 
 
 def _payload_rows(t: Tables) -> DataFrame:
@@ -716,13 +724,22 @@ register(
 register(
     "ingest_summary",
     q.query(
-        ("payload_rows",),
-        f"""SELECT district_id, CAST(sum(n) AS BIGINT) AS observations_processed, CAST(sum(fresh) AS BIGINT) AS observations_inserted,
+        ("payload_rows", "failed_days"),
+        f"""SELECT coalesce(a.district_id, b.district_id) AS district_id, coalesce(observations_processed, 0) AS observations_processed,
+        coalesce(observations_inserted, 0) AS observations_inserted, coalesce(duplicates_skipped, 0) AS duplicates_skipped,
+        coalesce(failed_payloads, 0) AS failed_payloads, coalesce(failed_days, 0) AS failed_days,
+        CASE WHEN failed_payloads > 0 THEN 'not a date' ELSE '' END AS errors FROM (SELECT district_id, CAST(sum(n) AS BIGINT) AS observations_processed, CAST(sum(fresh) AS BIGINT) AS observations_inserted,
         CAST(sum(n - fresh) AS BIGINT) AS duplicates_skipped FROM (SELECT k.district_id, n, CASE WHEN s.district_id IS NULL THEN 1 ELSE 0 END AS fresh FROM
         (SELECT district_id, observation_date, count(*) AS n FROM payload_rows WHERE observation_date < DATE '2001-09-15' GROUP BY 1, 2) k
-        LEFT JOIN {PAST} s USING (district_id, observation_date)) GROUP BY ROLLUP (district_id)""",
+        LEFT JOIN {PAST} s USING (district_id, observation_date)) GROUP BY ROLLUP (district_id)) a FULL JOIN
+        (SELECT district_id, count(*) AS failed_payloads, CAST(sum(failed_days) AS BIGINT) AS failed_days FROM failed_days GROUP BY ROLLUP (district_id)) b
+        ON a.district_id IS NOT DISTINCT FROM b.district_id""",
     ),
-)(lambda t: I.ingest_summary(_payload_rows(t), _past_keys(t)))
+)(
+    lambda t: I.ingest_summary(_payload_rows(t), _past_keys(t), RD.failed_payloads(t.payloads)).withColumn(
+        "errors", F.array_join("errors", "|")
+    )
+)
 
 
 @register(
@@ -840,7 +857,7 @@ def _chained(t: Tables) -> DataFrame:
 
 STATE_OUT = (
     "temperature_c rainfall_mm soil_moisture temperature_prev_1 rolling_temp_6m rolling_rainfall_6m temp_climo_mean rain_climo_std "
-    "zone_rain_mean seasonal_temp_mean"
+    "zone_rain_mean seasonal_temp_mean rolling_sm_3m lag1_climatology zone_rain_climatology_std zone_sm_climatology " + " ".join(q.CARRIED)
 )
 register(
     "state_rows",
@@ -1101,6 +1118,15 @@ register(
         f"SELECT district_id, CAST(year AS BIGINT) AS year, {q.rs(EVAL_OUT)}, {', '.join(CHAIN_TEXT.split())} FROM ev",
     ),
 )(lambda t: out(_evaluated(t), ["district_id", "year", *EVAL_OUT.split(), *CHAIN_TEXT.split()]))
+register(
+    "evaluation_coverage",
+    q.query(
+        ("ev", "districts"),
+        f"""SELECT v.y AS year, (SELECT count(*) FROM (SELECT DISTINCT lower(trim(district_name)), lower(trim(state)) FROM districts)) AS asked,
+        count(hotspot_score) AS scored, count(district_id) - count(hotspot_score) AS unscored, '' AS missing
+        FROM (VALUES ({BASE}), ({TARGET})) v(y) LEFT JOIN ev ON ev.year = v.y GROUP BY v.y""",
+    ),
+)(lambda t: out(S.coverage(S.evaluate_all(t.districts, t.panel, (BASE, TARGET), MONTH)).drop("scenario")))
 q.cte(
     "moves", ("ev",),
     f"""SELECT t.*, b.rk AS base_rank, t.rk AS target_rank, b.rk - t.rk AS rank_change FROM
@@ -1444,28 +1470,24 @@ def _event_stream(t: Tables) -> DataFrame:
     q.query(("obs",), "SELECT DISTINCT district_id, CAST(observation_date AS VARCHAR) AS observation_date FROM obs"),
 )
 def stream_ingest(t: Tables) -> DataFrame:
-    store = scratch_path(t.spark, "store")
-    ST.ingest_stream(_event_stream(t), store).awaitTermination()
-    return out(t.spark.read.parquet(store), ["district_id", "observation_date"])
+    store, events = scratch_path(t.spark, "store"), _event_stream(t)
+    ST.ingest_stream(events, store).awaitTermination()
+    return out(ST.read_store(t.spark, store, events.schema), ["district_id", "observation_date"])
 
 
 @register(
     "stream_trend",
     q.query(
         ("obs",),
-        f"""SELECT district_id, CAST(CAST(date_trunc('week', observation_date) AS DATE) AS VARCHAR) AS period, {q.r(q.mean("temperature"), 4, "average_temperature")}, count(*) AS n FROM obs
-        WHERE date_trunc('week', observation_date) + INTERVAL 14 DAY <= (SELECT max(ts) FROM obs) GROUP BY 1, 2""",
+        f"""SELECT district_id, CAST(CAST(date_trunc('week', observation_date) AS DATE) AS VARCHAR) AS period, {q.r(q.mean("temperature"), 4, "average_temperature")},
+        count(temperature) AS n FROM obs GROUP BY 1, 2""",
     ),
 )
 def stream_trend(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "trend")
     ST.trend_stream(_event_stream(t), path).awaitTermination()
-    return out(
-        t.spark.read.parquet(path).select(
-            "district_id", "period",
-            (X.exact_total(*X.PARTS) / F.col("n").cast("double")).alias("average_temperature"), "n",
-        )
-    )
+    ST.compact_trend(t.spark, path)
+    return out(ST.trend_state(t.spark, path))
 
 
 @register(
@@ -1478,6 +1500,7 @@ def stream_trend(t: Tables) -> DataFrame:
 def stream_latest(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "latest")
     ST.latest_stream(_event_stream(t).drop("ts"), path).awaitTermination()
+    ST.compact_latest(t.spark, path)
     return out(ST.latest_state(t.spark, path), ["district_id", "id", "temperature", "observation_date"])
 
 

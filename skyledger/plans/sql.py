@@ -456,12 +456,15 @@ cte(
     "pmc", ("master",),
     f"""SELECT city, month, avg(temperature_c) AS temp_climo_mean, {zero_std("stddev_samp(temperature_c)", "0.1")} AS temp_climo_std,
     avg(rainfall_mm) AS rain_climo_mean, {zero_std("stddev_samp(rainfall_mm)", "0.01")} AS rain_climo_std,
-    avg(soil_moisture) AS sm_climo_mean, {zero_std("stddev_samp(soil_moisture)", "0.001")} AS sm_climo_std FROM master GROUP BY 1, 2""",
+    avg(soil_moisture) AS sm_climo_mean, {zero_std("stddev_samp(soil_moisture)", "0.001")} AS sm_climo_std,
+    avg(rainfall_prev_1) AS lag1_climatology FROM master GROUP BY 1, 2""",
 )
 cte(
     "zmc", ("master",),
     f"""SELECT climate_zone, month, avg(temperature_c) AS zone_temp_mean, {zero_std("stddev_samp(temperature_c)", "0.1")} AS zone_temp_std,
-    avg(rainfall_mm) AS zone_rain_mean, {zero_std("stddev_samp(rainfall_mm)", "0.01")} AS zone_rain_std FROM master GROUP BY 1, 2""",
+    avg(rainfall_mm) AS zone_rain_mean, {zero_std("stddev_samp(rainfall_mm)", "0.01")} AS zone_rain_std,
+    avg(rainfall_mm) AS zone_rain_climatology, coalesce(stddev_samp(rainfall_mm), 1.0) AS zone_rain_climatology_std,
+    avg(soil_moisture) AS zone_sm_climatology, coalesce(stddev_samp(soil_moisture), 0.01) AS zone_sm_climatology_std FROM master GROUP BY 1, 2""",
 )
 cte(
     "mc", ("master",),
@@ -480,10 +483,17 @@ cte(
     FROM districts d CROSS JOIN known k) WHERE rn = 1""",
 )
 
-STATE_CONSTANTS = """0.22::DOUBLE AS rolling_sm_3m, 0.25::DOUBLE AS rolling_sm_6m, 0.0::DOUBLE AS low_sm_streak,
-    -10.0::DOUBLE AS cumulative_deficit_3m, -25.0::DOUBLE AS cumulative_deficit_6m, 0.10::DOUBLE AS cumulative_sm_deficit_6m,
-    10.0::DOUBLE AS lag1_climatology, 10.0::DOUBLE AS zone_rain_climatology, 4.0::DOUBLE AS zone_rain_climatology_std,
-    0.20::DOUBLE AS zone_sm_climatology, 0.04::DOUBLE AS zone_sm_climatology_std"""
+# What a state row carries from history, with the value that stands where nothing is known.
+CARRIED = {
+    "dry_month_streak": 0.0, "deficit_streak": 0.0, "low_sm_streak": 0.0, "cumulative_deficit_3m": -10.0,
+    "cumulative_deficit_6m": -25.0, "cumulative_sm_deficit_3m": 0.05, "cumulative_sm_deficit_6m": 0.10,
+    "drought_acceleration": 0.0, "deficit_volatility_3m": 5.0, "consecutive_hot_months": 0.0, "consecutive_wet_months": 0.0,
+}
+cte(
+    "carried", ("dr3", "ew"),
+    """SELECT d.*, CAST(d.year * 12 + d.month AS BIGINT) AS known_at, e.hw_consecutive_hot_months AS consecutive_hot_months,
+    e.er_consecutive_wet_months AS consecutive_wet_months FROM dr3 d JOIN ew e USING (city, date)""",
+)
 
 
 def history_match(requests: str, history: str) -> str:
@@ -498,7 +508,8 @@ def history_match(requests: str, history: str) -> str:
 
 
 RECORD = """SELECT city, year, month, temperature_c, rainfall_mm, soil_moisture, evabs, sro, temperature_prev_1, temperature_prev_3,
-    rainfall_prev_1, rainfall_prev_3, soil_moisture_prev_1, rolling_temp_3m, rolling_rainfall_3m, rolling_temp_6m, rolling_rainfall_6m FROM master"""
+    rainfall_prev_1, rainfall_prev_3, soil_moisture_prev_1, rolling_temp_3m, rolling_rainfall_3m, rolling_temp_6m, rolling_rainfall_6m,
+    rolling_sm_3m, rolling_sm_6m, """ + ", ".join(f"{c} AS rec_{c}" for c in CARRIED) + " FROM carried"
 
 
 def state_ctes(prefix: str, requests: str, needs: tuple[str, ...], local: bool) -> str:
@@ -507,7 +518,17 @@ def state_ctes(prefix: str, requests: str, needs: tuple[str, ...], local: bool)
     ``requests`` gives rid, district columns, city, climate_zone, latitude, longitude, year, month, scenario, td, rd, sd.
     """
     p = prefix
-    cte(f"{p}_m", (*needs, "master"), history_match(requests, RECORD))
+    cte(f"{p}_r", (*needs, "carried"), history_match(requests, RECORD))
+    # The last row at or before the month, if it is at most twelve months old; else the record's value.
+    carried = ", ".join(
+        f"coalesce(CASE WHEN r.year * 12 + r.month - c.known_at <= 12 THEN c.{n} END, rec_{n}, {v}::DOUBLE)::DOUBLE AS {n}"
+        for n, v in CARRIED.items()
+    )
+    cte(
+        f"{p}_m", (f"{p}_r", "carried"),
+        f"""SELECT r.* EXCLUDE ({", ".join(f"rec_{n}" for n in CARRIED)}), {carried}
+        FROM {p}_r r ASOF LEFT JOIN carried c ON r.city = c.city AND CAST(r.year * 12 + r.month AS BIGINT) >= c.known_at""",
+    )
     ya = "greatest(year - record_year, 0)::DOUBLE"
     cte(
         f"{p}_s", (f"{p}_m", "pmc", "zmc", "mc", "overall"),
@@ -516,8 +537,12 @@ def state_ctes(prefix: str, requests: str, needs: tuple[str, ...], local: bool)
         rolling_temp_3m + 0.04::DOUBLE * {ya} AS rolling_temp_3m, rolling_temp_6m + 0.04::DOUBLE * {ya} AS rolling_temp_6m,
         rainfall_mm * (1.0::DOUBLE + 0.002::DOUBLE * {ya}) AS rainfall_mm, rainfall_prev_1 * (1.0::DOUBLE + 0.002::DOUBLE * {ya}) AS rainfall_prev_1,
         rolling_rainfall_3m * (1.0::DOUBLE + 0.002::DOUBLE * {ya}) AS rolling_rainfall_3m, rolling_rainfall_6m * (1.0::DOUBLE + 0.002::DOUBLE * {ya}) AS rolling_rainfall_6m,
-        soil_moisture * (1.0::DOUBLE - 0.001::DOUBLE * {ya}) AS soil_moisture),
-        {STATE_CONSTANTS}, temp_climo_mean, coalesce(temp_climo_std, 2.0) AS temp_climo_std, rain_climo_mean, coalesce(rain_climo_std, 5.0) AS rain_climo_std,
+        soil_moisture * (1.0::DOUBLE - 0.001::DOUBLE * {ya}) AS soil_moisture,
+        coalesce(rolling_sm_3m, 0.22) * (1.0::DOUBLE - 0.001::DOUBLE * {ya}) AS rolling_sm_3m,
+        coalesce(rolling_sm_6m, 0.25) * (1.0::DOUBLE - 0.001::DOUBLE * {ya}) AS rolling_sm_6m),
+        coalesce(lag1_climatology, 10.0) AS lag1_climatology, coalesce(zone_rain_climatology, 10.0) AS zone_rain_climatology,
+        coalesce(zone_rain_climatology_std, 4.0) AS zone_rain_climatology_std, coalesce(zone_sm_climatology, 0.20) AS zone_sm_climatology,
+        coalesce(zone_sm_climatology_std, 0.04) AS zone_sm_climatology_std, temp_climo_mean, coalesce(temp_climo_std, 2.0) AS temp_climo_std, rain_climo_mean, coalesce(rain_climo_std, 5.0) AS rain_climo_std,
         sm_climo_mean, coalesce(sm_climo_std, 0.05) AS sm_climo_std, zone_temp_mean, zone_temp_std, zone_rain_mean, zone_rain_std,
         seasonal_temp_mean, seasonal_rain_mean, overall_rain_mean, coldest_c
         FROM {p}_m m LEFT JOIN pmc USING (city, month) LEFT JOIN zmc USING (climate_zone, month) LEFT JOIN mc USING (month) CROSS JOIN overall""",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import exprs as X
 from skyledger.operators.skew import attach_by_key
 from skyledger.session import materialize
+from skyledger.streaming.store import replace_partitions
 
 ACCEPTED, DUPLICATE, FAILED = "accepted", "duplicate", "failed"
 KEY = ("district_id", "observation_date")
@@ -136,26 +139,41 @@ def import_summary(validated: DataFrame) -> DataFrame:
 
 
 def new_rows(batch: DataFrame, store: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row of every key that is not stored yet."""
+    """First row of every key that is not stored yet; a null in a key equals a null."""
     first = F.min_by(F.struct(*batch.columns), F.struct(*order))
     firsts = batch.groupBy(*keys).agg(first.alias("r")).select("r.*")
-    return firsts.join(store.select(*keys), list(keys), "left_anti")
+    known = store.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return firsts.join(known, reduce(and_, same), "left_anti")
 
 
-def ingest_summary(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """Processed, inserted and skipped rows per district, and a total line (district NULL)."""
+def ingest_summary(rows: DataFrame, store: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Processed, inserted and skipped rows per district, and a total line (district NULL).
+
+    ``failures`` (district_id, failed_days, error), as :func:`readers.failed_payloads` gives them, add the
+    columns failed_payloads, failed_days and errors (the distinct ones, sorted); a district whose payloads all failed has a
+    line too.
+    """
     keyed = rows.groupBy(*KEY).agg(F.count("*").alias("n"))
     stored = store.select(*KEY, F.lit(True).alias("stored")).distinct()
     fresh = F.when(F.col("stored").isNull(), F.lit(1)).otherwise(F.lit(0))
-    return (
-        keyed.join(stored, list(KEY), "left")
-        .rollup("district_id")
-        .agg(
-            F.sum("n").alias("observations_processed"),
-            F.sum(fresh).alias("observations_inserted"),
-            F.sum(F.col("n") - fresh).alias("duplicates_skipped"),
+    counts = keyed.join(stored, list(KEY), "left").select(
+        "district_id", "n", fresh.alias("inserted"), (F.col("n") - fresh).alias("skipped")
+    )
+    sums = {"observations_processed": "n", "observations_inserted": "inserted", "duplicates_skipped": "skipped"}
+    if failures is None:
+        return counts.rollup("district_id").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    none = F.lit(0).cast("long")
+    both = counts.withColumns({"payload": none, "failed_days": none, "error": F.lit(None).cast("string")}).unionByName(
+        failures.select(
+            "district_id", none.alias("n"), none.alias("inserted"), none.alias("skipped"),
+            F.lit(1).cast("long").alias("payload"), "failed_days", "error",
         )
     )
+    sums |= {"failed_payloads": "payload", "failed_days": "failed_days"}
+    return both.rollup("district_id").agg(
+        *[F.sum(c).alias(name) for name, c in sums.items()], F.array_sort(F.collect_set("error")).alias("errors")
+    )
 
 
 def upsert(new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -169,6 +187,21 @@ def upsert(new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequ
     )
 
 
+def upsert_table(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], by: str) -> list[str]:
+    """:func:`upsert` into the table below ``path``, stored by the key column ``by``.
+
+    Only the partitions that hold keys of ``new`` are read and rewritten; returns their folders.
+    """
+    if by not in keys:
+        raise ValueError(f"{by} is no key: a row could move to another partition")
+    columns = [c for c in new.columns if c not in order or c in keys]
+
+    def merge(rows: DataFrame, stored: DataFrame) -> DataFrame:
+        return upsert(rows, stored.select(*columns), keys, order)
+
+    return replace_partitions(new, path, merge, by)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",), mode: str = "overwrite") -> None:
     """Parquet, one folder per partition value; only the partitions present in ``df`` are replaced."""
     writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")

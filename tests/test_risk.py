@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyledger import constants as K
 from skyledger.functions import exprs as X
 from skyledger.models.standin import class_probabilities
+from skyledger.operators import carry as CY
 from skyledger.operators import lookup as L
 from skyledger.operators import rankings as RK
 from skyledger.operators import rules as R
@@ -56,8 +57,50 @@ def test_state_row_overrides_defaults_and_month_clamp(spark, panel):
     got = {r["id"]: r for r in L.state_rows(requests, panel, given={"temperature_c": "t"}).collect()}
     assert (got[1]["month"], got[1]["temperature_c"]) == (12, 99.0)
     assert (got[2]["year"], got[2]["month"]) == (2024, 6)
-    assert got[2]["temperature_c"] != 99.0 and got[2]["rolling_sm_3m"] == pytest.approx(0.22 * (1 - 0.001 * got[2]["years_ahead"]))
-    assert got[1]["lag1_climatology"] == 10.0 and got[1]["rain_climo_mean"] > 0
+    history = panel.filter(F.col("city") == city[0]).orderBy("date").toPandas()
+    at = history.index[(history.year == got[2]["record_year"]) & (history.month == 6)][0]
+    assert got[2]["temperature_c"] != 99.0
+    assert got[2]["rolling_sm_3m"] == pytest.approx(history.soil_moisture[:at].tail(3).mean() * (1 - 0.001 * got[2]["years_ahead"]))
+    # Long after the last row: the record's month answers, with its own streaks.
+    assert got[2]["carried_age"] is None and got[2]["er_cumulative_rain_3m"] == pytest.approx(history.rainfall_mm[:at].tail(3).sum())
+    assert got[1]["lag1_climatology"] == pytest.approx(history.rainfall_prev_1[history.month == 12].mean()) and got[1]["rain_climo_mean"] > 0
+
+
+def test_as_of_takes_the_last_row_and_never_a_later_one(spark):
+    rows = [("a", 2020, 1, 1.0), ("a", 2020, 3, 3.0), ("a", 2021, 1, None), ("b", 2020, 6, 6.0)]
+    history = spark.createDataFrame(rows, "city string, year int, month int, v double")
+    months = [("a", y, m) for y in (2019, 2020, 2021, 2022) for m in range(1, 13)] * 2 + [("c", 2020, 1)]
+    got = CY.as_of(spark.createDataFrame(months, "city string, year int, month int"), history, ["v"], max_age=6).collect()
+    assert len(got) == len(set(months))
+    for r in got:
+        now = r["year"] * 12 + r["month"]
+        past = [(y * 12 + m, v) for c, y, m, v in rows if c == r["city"] and y * 12 + m <= now]
+        known = max(past, key=lambda p: p[0]) if past else None
+        fresh = known and now - known[0] <= 6
+        assert (r["v"], r["carried_age"]) == ((known[1], now - known[0]) if fresh else (None, None))
+
+
+def test_state_rows_follow_their_history(spark):
+    """Two cities with the same weather in the months asked for, but a dry and a wet past."""
+    rows = []
+    for city, past in (("dry", 1.0), ("wet", 90.0)):
+        for k in range(48):
+            y, m = 2000 + k // 12, k % 12 + 1
+            rain = past if k in range(40, 46) else 40.0
+            rows.append((city, "Z", 20.0, 80.0, date(y, m, 1), y, m, 25.0, rain, 0.01 if past < 5 and k >= 40 else 0.3, -0.001, 0.001, *[20.0] * 9))
+    schema = "city string, climate_zone string, latitude double, longitude double, date date, year int, month int, temperature_c double, rainfall_mm double, soil_moisture double, evabs double, sro double, " + ", ".join(
+        f"{c} double" for c in ("temperature_prev_1", "temperature_prev_3", "rainfall_prev_1", "rainfall_prev_3", "soil_moisture_prev_1", "rolling_temp_3m", "rolling_rainfall_3m", "rolling_temp_6m", "rolling_rainfall_6m"))
+    panel = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(c, "Z", y, m) for c in ("dry", "wet") for y, m in ((2003, 11), (2004, 3), (2005, 3))], "city string, climate_zone string, year int, month int")
+    got = {(r["city"], r["year"], r["month"]): r for r in L.state_rows(asked, panel).collect()}
+    # Months 40 to 45 are dry: in month 46 (November 2003) the run is six rows long; month 47 is the last known row.
+    assert [got["dry", 2003, 11][c] for c in ("dry_month_streak", "carried_age")] == [6, 0]
+    assert got["wet", 2003, 11]["dry_month_streak"] == 0
+    assert got["dry", 2004, 3]["carried_age"] == 3
+    assert got["dry", 2004, 3]["cumulative_deficit_6m"] == pytest.approx(5 * (1.0 - 30.25))
+    assert got["wet", 2004, 3]["cumulative_deficit_6m"] == pytest.approx(5 * (90.0 - 52.5))
+    # Over a year later nothing recent is known: the record of March 2003 answers.
+    assert got["dry", 2005, 3]["carried_age"] is None and got["dry", 2005, 3]["dry_month_streak"] == 0
 
 
 def test_source_precedence(spark):

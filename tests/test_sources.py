@@ -124,9 +124,10 @@ def test_streams_pick_up_where_they_stopped(spark, tmp_path):
         stream = lambda: ST.read_stream(spark, f"{land}/*", schema)
         ST.ingest_stream(stream(), store, checkpoint=checkpoints[0]).awaitTermination()
         ST.latest_stream(stream().drop("ts"), latest, checkpoint=checkpoints[1]).awaitTermination()
-        kept = {(r["district_id"], r["observation_date"].day) for r in spark.read.parquet(store).collect()}
+        rows = ST.read_store(spark, store, schema).collect()
+        kept = {(r["district_id"], r["observation_date"].day) for r in rows}
         now = {r["district_id"]: r["temperature"] for r in ST.latest_state(spark, latest).collect()}
-        return spark.read.parquet(store).count(), kept, now
+        return len(rows), kept, now
 
     assert run() == (2, {(1, 1), (2, 1)}, {1: 11.0, 2: 5.0})
     # A repeat of a stored key far behind the watermark, and a new day.
@@ -179,3 +180,83 @@ def test_rows_are_numbered_by_file_then_line(spark, tmp_path):
     values = [r.v for r in rows]
     assert values == ["a1", "a2", *(f"b{i:05}" for i in range(5000))]
     assert len({r.row for r in rows}) == 5002
+
+
+def test_ingest_keeps_first_sights_however_late(spark, tmp_path):
+    """Rows two months and two years behind the newest one, over several batches and a restart."""
+    land, store, checkpoint = str(tmp_path / "land"), str(tmp_path / "store"), str(tmp_path / "c")
+    schema = _land(spark, land, "a", [(1, 1, 1.0, date(2024, 3, 1))])
+
+    def run():
+        stream = ST.read_stream(spark, f"{land}/*", schema, files_per_trigger=1)
+        ST.ingest_stream(stream, store, checkpoint=checkpoint).awaitTermination()
+        return sorted(r["id"] for r in ST.read_store(spark, store, schema).collect())
+
+    assert run() == [1]
+    _land(spark, land, "b", [(2, 1, 2.0, date(2024, 1, 1))])
+    _land(spark, land, "c", [(3, 2, 3.0, date(2024, 3, 2)), (4, 2, 4.0, date(2022, 1, 1)), (5, 1, 5.0, date(2024, 1, 1)), (6, 2, 6.0, date(2022, 1, 1))])
+    assert run() == [1, 2, 3, 4]
+    _land(spark, land, "d", [(7, 2, 7.0, date(2022, 1, 1)), (8, 3, 8.0, date(2021, 1, 1))])
+    assert run() == [1, 2, 3, 4, 8]
+    # A batch reads only the days that it touches.
+    assert sorted(n for n in ST.folders(spark, store)) == [f"day={d}" for d in ("2021-01-01", "2022-01-01", "2024-01-01", "2024-03-01", "2024-03-02")]
+
+
+def test_trend_has_every_week_and_late_rows(spark, tmp_path):
+    land, path, checkpoint = str(tmp_path / "land"), str(tmp_path / "trend"), str(tmp_path / "c")
+    rows = [(1, 1, 10.1, date(2024, 1, 1)), (2, 1, 0.2, date(2024, 3, 4)), (3, 2, 5.0, date(2024, 3, 10))]
+    late = [(4, 1, 11.3, date(2024, 1, 7)), (5, 2, None, date(2020, 1, 1))]
+    schema = _land(spark, land, "a", rows)
+
+    def run():
+        ST.trend_stream(ST.read_stream(spark, f"{land}/*", schema), path, checkpoint=checkpoint).awaitTermination()
+        return {(r["district_id"], str(r["period"])): (r["average_temperature"], r["n"]) for r in ST.trend_state(spark, path).collect()}
+
+    assert run() == {(1, "2024-01-01"): (10.1, 1), (1, "2024-03-04"): (0.2, 1), (2, "2024-03-04"): (5.0, 1)}
+    _land(spark, land, "b", late)
+    want = {(1, "2024-01-01"): (10.7, 2), (1, "2024-03-04"): (0.2, 1), (2, "2024-03-04"): (5.0, 1), (2, "2019-12-30"): (None, 0)}
+    assert run() == want
+    assert ST.compact_trend(spark, path) == 2 and run() == want
+
+
+def test_versions_are_compacted_and_replays_do_not_count_twice(spark, tmp_path):
+    from skyledger.streaming.store import batch_folder, read_versions
+
+    land, path, checkpoint = str(tmp_path / "land"), str(tmp_path / "latest"), str(tmp_path / "c")
+    for k in range(10):
+        schema = _land(spark, land, f"day{k}", [(k * 10 + d, d, float(k), date(2024, 1, 1 + k)) for d in range(5)])
+        ST.latest_stream(ST.read_stream(spark, f"{land}/*", schema).drop("ts"), path, checkpoint=checkpoint).awaitTermination()
+        if k % 3 == 2:
+            ST.compact_latest(spark, path)
+    now = {r["district_id"]: r["temperature"] for r in ST.latest_state(spark, path).collect()}
+    assert now == dict.fromkeys(range(5), 9.0)
+    assert read_versions(spark, path).count() == 10  # the live keys, and one batch after the last compaction
+    run = [n for n in ST.folders(spark, path) if n.startswith("run=")][0].removeprefix("run=")
+    # Batch 2 is written again after it was merged.
+    spark.createDataFrame([(1, 99, 99.0, date(2030, 1, 1))], "district_id long, id long, temperature double, observation_date date").write.parquet(batch_folder(path, run, 2))
+    assert {r["district_id"]: r["temperature"] for r in ST.latest_state(spark, path).collect()} == now
+    assert ST.compact_latest(spark, path) == 2 and ST.compact_latest(spark, path) == 1
+
+
+def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
+    import os
+
+    path, keys = str(tmp_path / "forecasts"), ["district_id", "forecast_date"]
+    schema = "district_id long, forecast_date date, predicted_rainfall double, pos int"
+    frame = lambda *rows: spark.createDataFrame([(i, date(2024, 1, d), v, p) for i, d, v, p in rows], schema)
+    I.upsert_table(frame((1, 1, 1.0, 0), (2, 1, 2.0, 0), (1, 2, 3.0, 0)), path, keys, ["pos"], "forecast_date")
+    before = set(os.listdir(f"{path}/forecast_date=2024-01-02"))
+    touched = I.upsert_table(frame((1, 1, 10.0, 1), (1, 1, 11.0, 2), (3, 1, 4.0, 0), (1, 5, 5.0, 0)), path, keys, ["pos"], "forecast_date")
+    assert touched == ["forecast_date=2024-01-01", "forecast_date=2024-01-05"]
+    assert set(os.listdir(f"{path}/forecast_date=2024-01-02")) == before
+    got = {(r["district_id"], r["forecast_date"].day): r["predicted_rainfall"] for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 1): 11.0, (2, 1): 2.0, (3, 1): 4.0, (1, 2): 3.0, (1, 5): 5.0}
+
+
+def test_summary_counts_failed_payloads(spark):
+    payload = lambda days: json.dumps({"daily": {"time": days, "rain_sum": [1.0] * len(days)}})
+    rows = [(1, payload(["2024-01-01", "bad", None])), (1, payload(["2024-01-01"])), (2, "{}"), (3, payload(["2024-01-02"]))]
+    payloads = spark.createDataFrame(rows, "district_id long, payload string")
+    store = spark.createDataFrame([], "district_id long, observation_date date")
+    got = {r[0]: tuple(r)[1:] for r in I.ingest_summary(RD.daily_rows(payloads), store, RD.failed_payloads(payloads)).collect()}
+    assert got == {1: (2, 1, 1, 1, 2, ["not a date"]), 2: (0, 0, 0, 1, 0, ["no days"]), 3: (1, 1, 0, 0, 0, []), None: (3, 2, 1, 2, 2, ["no days", "not a date"])}
