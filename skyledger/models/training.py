@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.base import Estimator
+from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger import constants as K
@@ -23,6 +23,7 @@ from skyledger.models.diagnostics import classification_metrics, regression_metr
 from skyledger.models.standin import STAND_IN, Scorer
 from skyledger.operators import serving as V
 from skyledger.operators.cleaning import numeric_columns
+from skyledger.session import materialize
 
 FEATURES = "__features"
 FILLED = "__filled_"
@@ -109,7 +110,7 @@ def regressors(label: str) -> dict[str, Estimator]:
 @dataclass(frozen=True)
 class Result:
     name: str
-    model: PipelineModel
+    model: PipelineModel | None
     metrics: Mapping[str, float]
 
 
@@ -137,32 +138,55 @@ def score_numbers(model: PipelineModel, df: DataFrame, out: str = "predicted") -
     return scored.withColumn(out, F.col("prediction")).drop(FEATURES, "prediction", *_helpers(scored))
 
 
+def vectors(prepared: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The assembled vectors of ``df`` and the columns ``keep``, stored once for all candidates that read them."""
+    return materialize(prepared.transform(df).select(FEATURES, *keep), "vectors")
+
+
+def with_head(prepared: PipelineModel, head: Model) -> PipelineModel:
+    """One model from the stages that assemble the vector and a fitted candidate."""
+    return PipelineModel(stages=[*prepared.stages, head])
+
+
+def coded_labels(df: DataFrame, label: str) -> DataFrame:
+    """Add the integer ``label`` and the balanced ``weight``."""
+    return balanced_weights(df, label).withColumn("label", X.encode(label, K.RISK_ORDINAL).cast("double"))
+
+
 def race_classifiers(
     train: DataFrame, validation: DataFrame, features: Sequence[str], label: str, names: Sequence[str] | None = None
 ) -> list[Result]:
-    """Fit the candidates on balanced weights and rank them by macro F1 on the validation rows."""
-    coded = balanced_weights(train, label).withColumn("label", X.encode(label, K.RISK_ORDINAL).cast("double"))
+    """Fit the candidates on balanced weights and rank them by macro F1 on the validation rows.
+
+    Missing values take the means of the training rows. Both parts are assembled once; every candidate
+    reads the stored vectors.
+    """
+    prepared = assembler(train, features).fit(train)
+    rows = vectors(prepared, coded_labels(train, label), ["label", "weight", label])
+    checked = vectors(prepared, validation, [label])
     results = []
     for name, estimator in classifiers().items():
         if names and name not in names:
             continue
-        model = fit(coded, features, estimator)
-        scored = score_classes(model, validation).withColumn("true", F.col(label))
-        results.append(Result(name, model, classification_metrics(scored).head().asDict()))
+        head = estimator.fit(rows)
+        scored = score_classes(PipelineModel(stages=[head]), checked).withColumn("true", F.col(label))
+        results.append(Result(name, with_head(prepared, head), classification_metrics(scored).head().asDict()))
     return sorted(results, key=lambda r: -r.metrics["macro_f1"])
 
 
 def race_regressors(
     train: DataFrame, validation: DataFrame, features: Sequence[str], label: str, names: Sequence[str] | None = None
 ) -> list[Result]:
-    """Fit the candidates and rank them by R2, then RMSE, then MAE."""
+    """Fit the candidates and rank them by R2, then RMSE, then MAE; assembled like :func:`race_classifiers`."""
+    prepared = assembler(train, features).fit(train)
+    rows, checked = vectors(prepared, train, [label]), vectors(prepared, validation, [label])
     results = []
     for name, estimator in regressors(label).items():
         if names and name not in names:
             continue
-        model = fit(train, features, estimator)
-        scored = score_numbers(model, validation).withColumn("actual", F.col(label))
-        results.append(Result(name, model, regression_metrics(scored).head().asDict()))
+        head = estimator.fit(rows)
+        scored = score_numbers(PipelineModel(stages=[head]), checked).withColumn("actual", F.col(label))
+        results.append(Result(name, with_head(prepared, head), regression_metrics(scored).head().asDict()))
     return sorted(results, key=lambda r: (-r.metrics["r2"], r.metrics["rmse"], r.metrics["mae"]))
 
 
@@ -174,6 +198,16 @@ def comparison_table(spark: SparkSession, results: Sequence[Result]) -> DataFram
     return spark.createDataFrame(rows, schema)
 
 
+@dataclass(frozen=True)
+class Search:
+    """The drawn settings, the mean score of each over the folds, and a model with the best of them."""
+
+    settings: list[Mapping[str, object]]
+    avgMetrics: list[float]
+    best: Mapping[str, object]
+    model: PipelineModel
+
+
 def random_search(
     df: DataFrame,
     features: Sequence[str],
@@ -182,27 +216,36 @@ def random_search(
     draws: int = 12,
     folds: int = 3,
     metric: str = "f1",
-    parallelism: int = 4,
-) -> CrossValidatorModel:
-    """Cross-validate a random sample of the parameter grid; folds are blocks of whole years."""
+) -> Search:
+    """Cross-validate a random sample of the parameter grid; folds are blocks of whole years.
+
+    Missing values take the means of the rows outside the held-out fold, so nothing of a fold reaches the
+    model it tests. A fold is assembled and stored once for all settings.
+    """
     keys = sorted(space)
-    grid = ParamGridBuilder()
-    for k in keys:
-        grid = grid.addGrid(estimator.getParam(k), list(space[k]))
-    maps = grid.build()
-    picked = random.Random(SEED).sample(maps, min(draws, len(maps)))
-    regression = metric in ("rmse", "mae", "r2")
+    grid = [dict(zip(keys, values, strict=True)) for values in itertools.product(*[space[k] for k in keys])]
+    picked = random.Random(SEED).sample(grid, min(draws, len(grid)))
     label = estimator.getOrDefault("labelCol")
+    smaller = metric in ("rmse", "mae")
     evaluator = (
         RegressionEvaluator(labelCol=label, metricName=metric)
-        if regression
+        if smaller or metric == "r2"
         else MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
     )
-    with_fold = assembler(df, features).fit(df).transform(df).withColumn("fold", F.pmod(F.col("year"), F.lit(folds)).cast("int"))
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=picked, evaluator=evaluator, numFolds=folds, foldCol="fold",
-        parallelism=parallelism, seed=SEED,
-    ).fit(with_fold)
+    weight = [estimator.getOrDefault("weightCol")] if estimator.hasParam("weightCol") and estimator.isDefined("weightCol") else []
+    keep = [label, *weight]
+    fold = F.pmod(F.col("year"), F.lit(folds))
+    totals = [0.0] * len(picked)
+    for k in range(folds):
+        outside, held = df.filter(fold != k), df.filter(fold == k)
+        prepared = assembler(outside, features).fit(outside)
+        rows, checked = vectors(prepared, outside, keep), vectors(prepared, held, keep)
+        for i, setting in enumerate(picked):
+            model = estimator.copy({estimator.getParam(n): v for n, v in setting.items()}).fit(rows)
+            totals[i] += evaluator.evaluate(model.transform(checked)) / folds
+    best = min(range(len(picked)), key=lambda i: totals[i] if smaller else -totals[i])
+    chosen = estimator.copy({estimator.getParam(n): v for n, v in picked[best].items()})
+    return Search(picked, totals, picked[best], fit(df, features, chosen))
 
 
 def refit(train: DataFrame, validation: DataFrame, features: Sequence[str], estimator: Estimator) -> PipelineModel:
@@ -210,49 +253,93 @@ def refit(train: DataFrame, validation: DataFrame, features: Sequence[str], esti
     return fit(train.unionByName(validation), features, estimator)
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Features of a tree model from most to least important."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(features, map(float, values)), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame(rows, "feature string, importance double")
+BLOCK_ROWS = 50_000  # rows in a block whose values are exchanged
+
+
+def feature_importance(model: PipelineModel, features: Sequence[str], df: DataFrame, label: str, key: str = "year") -> DataFrame:
+    """How much worse a fitted model scores when one feature is exchanged between rows, largest first.
+
+    Works for any model that :func:`fit` gives. For a classifier the loss is one minus the probability of the
+    true class, for a regressor the squared error; ``importance`` is its mean rise. Every row takes the values of
+    the next row of its block in a seeded order, one window for all features; a block is a year, cut into parts of about
+    ``BLOCK_ROWS`` rows, so values stay within their year and no block grows with the data.
+    """
+    prepared, head = PipelineModel(stages=model.stages[:-1]), model.stages[-1]
+    rows = vectors(prepared, df, [key, label])
+    parts = 1 + rows.count() // BLOCK_ROWS
+    number = F.xxhash64(F.lit(SEED), vector_to_array(FEATURES), label)
+    rows = rows.withColumns({"__x": vector_to_array(FEATURES), "__part": F.pmod(number, F.lit(parts)), "__order": F.xxhash64(F.lit(SEED + 1), number)})
+    block = Window.partitionBy(key, "__part").orderBy("__order")
+    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    donor = F.coalesce(F.lead("__x").over(block), F.first("__x").over(whole))
+    rows = rows.withColumn("__donor", donor).select("__x", "__donor", label)
+    numbered = rows.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    exchanged = F.zip_with(
+        F.transform("__x", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), "__donor",
+        lambda own, other: F.when(own["i"] == F.col("__f"), other).otherwise(own["x"]),
+    )
+    asked = numbered.select(array_to_vector(exchanged).alias(FEATURES), "__f", label)
+    single = PipelineModel(stages=[head])
+    if dict(df.dtypes)[label] == "string":
+        scored = score_classes(single, asked)
+        loss = F.lit(1.0) - F.coalesce(F.get("probs", X.encode(label, K.RISK_ORDINAL).cast("int")), F.lit(0.0))
+    else:
+        scored = score_numbers(single, asked)
+        loss = F.pow(F.col("predicted") - F.col(label), 2)
+    losses = scored.groupBy("__f").agg(F.avg(loss).alias("loss"))
+    # One line per feature, so the window is as small as the list of names.
+    base = F.max(F.when(F.col("__f") == -1, F.col("loss"))).over(Window.partitionBy(F.lit(0)))
+    names = F.array(*[F.lit(f) for f in features])
+    rises = losses.withColumn("importance", F.col("loss") - base).filter("__f >= 0")
+    return rises.select(names[F.col("__f")].alias("feature"), "importance").orderBy(F.col("importance").desc(), "feature")
+
+
+def with_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add what a model reads and a state row lacks: zone flags from the zone, NULL for the rest (filled by the model's means)."""
+    flag = "climate_zone_"
+    missing = [n for n in names if n not in df.columns]
+    zones = [n.removeprefix(flag) for n in missing if n.startswith(flag)]
+    flags = X.one_hot("climate_zone", zones, flag) if zones else {}
+    return df.withColumns(flags | {n: F.lit(None).cast("double") for n in missing if n not in flags}) if missing else df
+
+
+Fitted = tuple[PipelineModel, Sequence[str]]
 
 
 def learned_scorer(
-    temperature: tuple[PipelineModel, Sequence[str]] | None = None,
-    rainfall: tuple[PipelineModel, Sequence[str]] | None = None,
-    drought: PipelineModel | None = None,
-    heatwave: tuple[PipelineModel, PipelineModel] | None = None,
-    extreme_rainfall: tuple[PipelineModel, PipelineModel] | None = None,
+    temperature: Fitted | None = None,
+    rainfall: Fitted | None = None,
+    drought: Fitted | None = None,
+    heatwave: HazardModel | None = None,
+    extreme_rainfall: HazardModel | None = None,
 ) -> Scorer:
-    """A scorer from trained pipelines; steps without a model keep the stand-in.
+    """A scorer from trained models with the features they read; steps without a model keep the stand-in."""
 
-    Hazard entries are (classifier, severity regressor).
-    """
+    def only(df: DataFrame, scored: DataFrame, *added: str) -> DataFrame:
+        return scored.select(*dict.fromkeys([*df.columns, *added]))
 
-    def number(step, model, prepare, out: str, non_negative: bool = False):
+    def number(step, model: Fitted | None, prepare, out: str, non_negative: bool = False):
         if model is None:
             return step
 
         def run(df: DataFrame) -> DataFrame:
-            ready = prepare(df)
-            scored = score_numbers(model[0], ready, out)
+            scored = score_numbers(model[0], with_features(prepare(df), model[1]), out)
             value = X.floor_zero(out) if non_negative else F.col(out)
-            return scored.withColumn(out, value).select(*dict.fromkeys([*df.columns, out]))
+            return only(df, scored.withColumn(out, value), out)
 
         return run
 
-    def classes(df: DataFrame, model: PipelineModel, out: str) -> DataFrame:
-        return score_classes(model, df).withColumnRenamed("probs", out).drop("pred")
-
     def run_drought(df: DataFrame) -> DataFrame:
-        return classes(df, drought, "drought_probs")
+        scored = score_classes(drought[0], with_features(df, drought[1])).withColumn("drought_probs", F.col("probs"))
+        return only(df, scored, "drought_probs")
 
     def run_extreme(df: DataFrame) -> DataFrame:
         df = STAND_IN.extreme(df)
-        for name, pair in (("heatwave", heatwave), ("extreme_rainfall", extreme_rainfall)):
-            if pair is not None:
-                df = classes(df.drop(f"{name}_probs"), pair[0], f"{name}_probs")
-                df = score_numbers(pair[1], df.drop(f"{name}_raw"), f"{name}_raw")
+        for name, model in (("heatwave", heatwave), ("extreme_rainfall", extreme_rainfall)):
+            if model is not None:
+                plain = df.drop(f"{name}_probs", f"{name}_raw")
+                scored = score_hazard(model, with_features(plain, model.features), f"{name}_probs", f"{name}_raw")
+                df = only(plain, scored, f"{name}_probs", f"{name}_raw")
         return df
 
     return Scorer(
@@ -262,3 +349,76 @@ def learned_scorer(
         extreme=run_extreme,
     )
 
+
+# --- two-head hazard models -----------------------------------------------------------------------
+
+# The class and the severity of each extreme-weather task.
+HAZARD_TARGETS = {
+    "heatwave": ("heatwave_category", "heatwave_severity_score"),
+    "extreme_rainfall": ("extreme_rainfall_category", "extreme_rainfall_score"),
+}
+
+
+@dataclass(frozen=True)
+class HazardModel:
+    """A class head and a severity head over one vector of features that belong to one task."""
+
+    task: str
+    features: list[str]
+    prepared: PipelineModel
+    classifier: Model
+    regressor: Model
+    classes: list[Result]
+    severities: list[Result]
+
+
+def train_hazard(
+    df: DataFrame,
+    task: str,
+    train_until: int = TRAIN_UNTIL,
+    validate_until: int = VALIDATE_UNTIL,
+    names: Sequence[str] | None = None,
+) -> HazardModel:
+    """Race candidates for both heads of ``task`` and refit the winners on training and validation rows.
+
+    The features are the numeric columns without any target and without the other task's columns. Both
+    heads read the same stored vectors, so a table is assembled twice, once for the race and once for the refit,
+    whatever the number of candidates. ``names`` limits the candidates.
+    """
+    category, severity = HAZARD_TARGETS[task]
+    features = feature_columns(df, category, task)
+    coded = df.withColumn("label", X.encode(category, K.RISK_ORDINAL).cast("double"))
+    train, validation, _ = chronological_split(coded, train_until, validate_until)
+    keep = ["label", category, severity]
+    prepared = assembler(train, features).fit(train)
+    rows = balanced_weights(vectors(prepared, train, keep), category)
+    checked = vectors(prepared, validation, keep)
+    classes, severities = [], []
+    candidates = classifiers()
+    numbers = regressors(severity)
+    for name, estimator in candidates.items():
+        if not names or name in names:
+            scored = score_classes(PipelineModel(stages=[estimator.fit(rows)]), checked).withColumn("true", F.col(category))
+            classes.append(Result(name, None, classification_metrics(scored).head().asDict()))
+    for name, estimator in numbers.items():
+        if not names or name in names:
+            scored = score_numbers(PipelineModel(stages=[estimator.fit(rows)]), checked).withColumn("actual", F.col(severity))
+            severities.append(Result(name, None, regression_metrics(scored).head().asDict()))
+    classes.sort(key=lambda r: -r.metrics["macro_f1"])
+    severities.sort(key=lambda r: (-r.metrics["r2"], r.metrics["rmse"], r.metrics["mae"]))
+    known = train.unionByName(validation)
+    prepared = assembler(known, features).fit(known)
+    rows = balanced_weights(vectors(prepared, known, keep), category)
+    return HazardModel(
+        task, features, prepared, candidates[classes[0].name].fit(rows), numbers[severities[0].name].fit(rows), classes, severities
+    )
+
+
+def score_hazard(model: HazardModel, df: DataFrame, probs: str = "probs", severity: str = "severity") -> DataFrame:
+    """Class probabilities and severity (0 to 1) of every row, in one pass over one vector."""
+    out = model.prepared.transform(df)
+    out = score_classes(PipelineModel(stages=[model.classifier]), out.withColumn("__vector", F.col(FEATURES)))
+    out = out.withColumnRenamed("probs", "__probs").drop("pred").withColumnRenamed("__vector", FEATURES)
+    out = score_numbers(PipelineModel(stages=[model.regressor]), out, "__severity")
+    named = {probs: F.col("__probs"), severity: X.clip("__severity", 0.0, 1.0)}
+    return out.withColumns(named).drop("__probs", "__severity", *_helpers(out))

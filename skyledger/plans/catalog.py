@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1450,6 +1451,110 @@ def batch_score(t: Tables) -> DataFrame:
     return D.confusion(scored)
 
 
+@register("train_hazards")
+def train_hazards(t: Tables) -> DataFrame:
+    """Both heads of the heatwave and the extreme-rain model: all candidates, ranked on the validation years."""
+    df = _hazard_table(t)
+    schema = "task string, head string, place int, name string, metric string, value double"
+    rows = []
+    for task in T.HAZARD_TARGETS:
+        model = T.train_hazard(df, task, *SPLIT)
+        for head, results in (("class", model.classes), ("severity", model.severities)):
+            rows += [(task, head, i + 1, r.name, m, float(v)) for i, r in enumerate(results) for m, v in sorted(r.metrics.items())]
+    return t.spark.createDataFrame(rows, schema)
+
+
+def _hazard_table(t: Tables) -> DataFrame:
+    return materialize(EX.extreme_dataset(t.panel, REGIONS), "extreme-dataset")
+
+
+# The candidate of each registered predictor.
+PREDICTOR = "RandomForest"
+
+
+def _predicted_number(t: Tables, df: DataFrame, target: str) -> DataFrame:
+    """A regressor fitted on training and validation years, and its error per month of the test years."""
+    stored = materialize(df, "regression-table")
+    train, validation, test = T.chronological_split(stored, *SPLIT)
+    names = T.feature_columns(stored, target)
+    model = T.refit(train, validation, names, T.regressors(target)[PREDICTOR])
+    scored = T.score_numbers(model, test).withColumn("actual", F.col(target))
+    return D.residual_report(materialize(scored), "month")
+
+
+def _predicted_hazard(t: Tables, task: str) -> DataFrame:
+    """Predicted against true classes of the test years, with the mean predicted and true severity."""
+    df = _hazard_table(t)
+    model = T.train_hazard(df, task, *SPLIT, names=[PREDICTOR])
+    category, severity = T.HAZARD_TARGETS[task]
+    _, _, test = T.chronological_split(df, *SPLIT)
+    scored = T.score_hazard(model, test, "p", "s").withColumn("pred", R.classify("p"))
+    return scored.groupBy(F.col(category).alias("true"), "pred").agg(
+        F.count("*").alias("rows"), F.avg("s").alias("predicted_severity"), F.avg(severity).alias("true_severity")
+    )
+
+
+register("predict_temperature")(
+    lambda t: _predicted_number(t, t.panel.withColumns(X.one_hot("climate_zone", REGIONS, "climate_zone_")).drop("target_rainfall_next_month"), "target_temperature_next_month")
+)
+register("predict_rainfall")(lambda t: _predicted_number(t, RF.rainfall_dataset(t.panel, REGIONS), "target_rainfall_next_month"))
+register("predict_heatwave")(lambda t: _predicted_hazard(t, "heatwave"))
+register("predict_extreme_rainfall")(lambda t: _predicted_hazard(t, "extreme_rainfall"))
+
+
+@register("search_drought")
+def search_drought(t: Tables) -> DataFrame:
+    """Random search over forests for the drought classes: each drawn setting and its mean score over three folds of years."""
+    df = materialize(T.coded_labels(DR.drought_dataset(t.panel, REGIONS), "drought_category"), "drought-dataset")
+    train, _, _ = T.chronological_split(df, *SPLIT)
+    names = T.feature_columns(df.drop("label", "weight"), "drought_category")
+    found = T.random_search(train, names, T.classifiers()[PREDICTOR], {"maxDepth": [4, 6, 8], "numTrees": [20, 40]}, draws=3)
+    rows = [(str(sorted(s.items())), float(m), s == found.best) for s, m in zip(found.settings, found.avgMetrics)]
+    return t.spark.createDataFrame(rows, "setting string, f1 double, best boolean")
+
+
+@register("feature_importance")
+def feature_importance(t: Tables) -> DataFrame:
+    """Permutation importance of every feature on the validation years, for each candidate of the drought classes."""
+    df = materialize(DR.drought_dataset(t.panel, REGIONS), "drought-dataset")
+    train, validation, _ = T.chronological_split(df, *SPLIT)
+    names = T.feature_columns(df, "drought_category")
+    raced = T.race_classifiers(train, validation, names, "drought_category")
+    tables = [
+        T.feature_importance(r.model, names, validation, "drought_category").withColumn("model", F.lit(r.name)) for r in raced
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+@register("fitted_hotspots")
+def fitted_hotspots(t: Tables) -> DataFrame:
+    """Districts evaluated now and in the target year under two scenarios, every step scored by a fitted model."""
+    scenarios = {"baseline": (0.0, 0.0, 0.0), "temperature_plus_2": (2.0, 0.0, 0.0)}
+    evaluated = S.evaluate_districts(t.districts, t.panel, (BASE, TARGET), MONTH, scenarios, scorer=_fitted_scorer(t))
+    return evaluated.select("district_id", "year", "scenario", "predicted_temperature_c", "predicted_rainfall_mm", *CHAIN_TEXT.split(), "hotspot_score")
+
+
+def _fitted_scorer(t: Tables) -> T.Scorer:
+    """All five predictors, fitted on the columns that a state row can serve."""
+    flags = X.one_hot("climate_zone", REGIONS, "climate_zone_")
+    measures = materialize(t.panel.withColumns(flags), "measures")
+    drought = materialize(T.coded_labels(DR.drought_dataset(t.panel, REGIONS), "drought_category"), "drought-dataset")
+    rain = materialize(RF.rainfall_dataset(t.panel, REGIONS), "rainfall-dataset")
+    hazards = _hazard_table(t)
+
+    def numbers(df: DataFrame, target: str, names: Sequence[str]) -> T.Fitted:
+        return T.fit(df, names, T.regressors(target)[PREDICTOR]), names
+
+    drought_names = T.feature_columns(drought.drop("label", "weight"), "drought_category")
+    return T.learned_scorer(
+        temperature=numbers(measures, "target_temperature_next_month", [*V.TEMPERATURE_INPUTS, *flags]),
+        rainfall=numbers(rain, "target_rainfall_next_month", T.feature_columns(rain, "target_rainfall_next_month")),
+        drought=(T.fit(drought, drought_names, T.classifiers()[PREDICTOR]), drought_names),
+        heatwave=T.train_hazard(hazards, "heatwave", *SPLIT, names=[PREDICTOR]),
+        extreme_rainfall=T.train_hazard(hazards, "extreme_rainfall", *SPLIT, names=[PREDICTOR]),
+    )
+
+
 # --- streaming -----------------------------------------------------------------------------------
 
 

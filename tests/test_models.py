@@ -52,7 +52,7 @@ def test_regressors_refit_importance_and_reload(spark, data, tmp_path):
     results = T.race_regressors(train, validation, ["x", "y"], "target")
     assert results[0].name == "LinearRegression" and results[0].metrics["r2"] > 0.99
     model = T.refit(train, validation, ["x", "y"], T.regressors("target")["RandomForest"])
-    assert T.feature_importance(spark, model, ["x", "y"]).head()["feature"] == "x"
+    assert T.feature_importance(model, ["x", "y"], validation, "target").head()["feature"] == "x"
     model.write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     a = T.score_numbers(model, test).orderBy("k").toPandas()["predicted"]
@@ -65,6 +65,69 @@ def test_random_search_uses_year_folds(data):
     forest = RandomForestClassifier(featuresCol=T.FEATURES, labelCol="label", seed=1)
     found = T.random_search(coded, ["x", "y"], forest, {"maxDepth": [1, 3], "numTrees": [3, 5]}, draws=2)
     assert len(found.avgMetrics) == 2 and max(found.avgMetrics) > 0.9
+    assert found.best == found.settings[found.avgMetrics.index(max(found.avgMetrics))]
+
+
+def test_search_fills_gaps_without_the_held_out_years(data, monkeypatch):
+    """The means of a fold's model come from the other years only."""
+    holes = data.withColumn("x", F.when(F.col("k") % 3 > 0, F.col("x"))).withColumn("label", (F.col("y") > 0).cast("double"))
+    seen, plain = [], T.assembler
+    monkeypatch.setattr(T, "assembler", lambda df, names: seen.append({r["year"] for r in df.select("year").distinct().collect()}) or plain(df, names))
+    T.random_search(holes, ["x", "y"], RandomForestClassifier(featuresCol=T.FEATURES, labelCol="label", numTrees=2, seed=1), {"maxDepth": [1]}, draws=1)
+    years = set(range(2015, 2025))
+    assert seen == [{y for y in years if y % 3 != k} for k in range(3)] + [years]
+
+
+def test_importance_of_every_candidate(data):
+    """The label follows x; y is noise and gains nothing."""
+    train, validation, _ = T.chronological_split(data)
+    for result in T.race_classifiers(train, validation, ["y", "x"], "label_text"):
+        rows = T.feature_importance(result.model, ["y", "x"], validation, "label_text").collect()
+        assert [r["feature"] for r in rows] == ["x", "y"], result.name
+        assert rows[0]["importance"] > 0.2 > abs(rows[1]["importance"])
+
+
+def hazard_rows(spark):
+    rng = np.random.default_rng(7)
+    n = 500
+    heat, rain = rng.normal(size=n), rng.normal(size=n)
+    level = lambda v: pd.cut(v, [-9, -0.5, 0.5, 1.2, 9], labels=K.RISK_CLASSES).astype(str)
+    scale = lambda v: (v - v.min()) / (v.max() - v.min())
+    return spark.createDataFrame(pd.DataFrame({
+        "city": "c", "hw_heat": heat, "er_wet": rain, "er_copy_of_heat": heat, "hw_copy_of_rain": rain, "temperature_c": rng.normal(size=n),
+        "heatwave_category": level(heat), "heatwave_category_ordinal": 1, "heatwave_severity_score": scale(heat),
+        "extreme_rainfall_category": level(rain), "extreme_rainfall_category_ordinal": 1, "extreme_rainfall_score": scale(rain),
+        "year": rng.integers(2015, 2025, n),
+    }))
+
+
+def test_hazard_models_see_their_own_task_only(spark):
+    df = hazard_rows(spark)
+    _, _, test = T.chronological_split(df)
+    for task, own, other in (("heatwave", "hw_", "er_"), ("extreme_rainfall", "er_", "hw_")):
+        model = T.train_hazard(df, task, names=["RandomForest", "LogisticRegression", "LinearRegression"])
+        assert not [f for f in model.features if f.startswith(other) or "_category" in f or "_score" in f]
+        assert [f for f in model.features if f.startswith(own)] and "temperature_c" in model.features
+        category, severity = T.HAZARD_TARGETS[task]
+        scored = T.score_hazard(model, test, "p", "s")
+        assert set(scored.columns) == {*test.columns, "p", "s"}
+        got = scored.withColumn("best", F.array_position("p", F.array_max("p")) - 1).toPandas()
+        assert (got["best"].map(lambda i: K.RISK_CLASSES[int(i)]) == got[category]).mean() > 0.8
+        assert np.abs(got["s"] - got[severity]).mean() < 0.1 and got["s"].between(0, 1).all()
+
+
+def test_fitted_models_score_state_rows(panel, tables):
+    """Zone flags are made from the zone, columns that a state row lacks take the training means."""
+    from skyledger.plans import catalog
+
+    districts = tables.districts.filter("district_id < 8")
+    scorer = catalog._fitted_scorer(tables)
+    rows = S.evaluate_all(districts, panel, [2000], 6, scorer=scorer)
+    plain = S.evaluate_all(districts, panel, [2000], 6)
+    assert S.unscored(rows).count() == 0 and rows.count() == plain.count()
+    columns = ["predicted_temperature_c", "predicted_rainfall_mm", "drought_severity_score", "heatwave_severity", "extreme_rainfall_severity"]
+    a, b = (f.orderBy("district_id").toPandas()[columns] for f in (rows, plain))
+    assert a.notna().all().all() and (a != b).any().all()
 
 
 def test_metrics_with_an_empty_class(spark):
