@@ -11,6 +11,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +34,11 @@ RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("scr
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_PARAGRAPH = INLINE | {"button", "input", "label", "select", "option", "svg", "object", "video", "audio", "canvas", "script", "style", "textarea", "noscript", "template", "iframe"}
 
+# Elements that mark the blocks below them; the model knows no others.
+MARKS_BLOCKS = frozenset(
+    "article aside blockquote body button dialog div figcaption figure footer form h1 h2 h3 h4 head header html label li main nav ol option p pre section select style table td textarea title tr ul".split()
+)
+
 # Parts of class, id and role words, by the kind of place they name.
 PLACES = {
     "menu": ("nav", "menu", "breadcrumb", "crumb", "pagination", "pager", "tabs", "toolbar", "navigation"),
@@ -47,6 +55,9 @@ PLACES = {
 _PLACE_OF = {word: place for place, words in PLACES.items() for word in words}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
+# A tag's beginning only, a comment, or another declaration.
+_HEAD = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*>", re.DOTALL)
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -74,13 +85,106 @@ class Block:
     link_chars: int
 
 
+class _Tags:
+    """The tags of a page, one after the other from the place ``at``, which may be moved on.
+
+    The time grows with the page only: behind the last ``>`` nothing is searched, and after a tag with
+    quotes that do not close, the ends of all tags are looked up in a table made once.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last = page, 0, page.rfind(">")
+        self.ends: Callable[[int], int] | None = None
+
+    def next(self) -> tuple[int, str, str, str] | None:
+        """(start, slash, name, attributes), None at the end; comments and declarations have no name."""
+        page = self.page
+        while self.at <= self.last:
+            m = (_TAG if self.ends is None else _HEAD).search(page, self.at)
+            if m is None:
+                return None
+            self.at = m.end()
+            if self.ends is None:
+                if m[5]:
+                    self.ends = _tag_ends(page, m.end(5))
+                    return m.start(), m[4], m[5].lower(), m[6]
+                return m.start(), m[1] or "", (m[2] or "").lower(), m[3] or ""
+            if not m[2]:
+                return m.start(), "", "", ""
+            end = self.ends(m.end())
+            end = page.find(">", m.end()) if end < 0 else end
+            if end >= 0:
+                self.at = end + 1
+                return m.start(), m[1], m[2].lower(), page[m.end() : end]
+        # Only an open comment can follow; it takes the rest.
+        start = page.find("<!--", self.at)
+        self.at = len(page)
+        return (start, "", "", "") if start >= 0 else None
+
+
+def _tag_ends(page: str, start: int) -> Callable[[int], int]:
+    """The place of the first ``>`` outside quotes from a place on, or -1; for places from ``start`` on."""
+    places = [m.start() for m in _STOP.finditer(page, start)]
+    found = [-1] * (len(places) + 1)
+    ahead: dict[str, int] = {}  # the next mark of each kind
+    for i in range(len(places) - 1, -1, -1):
+        sign = page[places[i]]
+        if sign == ">":
+            found[i] = places[i]
+        else:
+            close = ahead.get(sign)
+            found[i] = -1 if close is None else found[close + 1]
+            ahead[sign] = i
+    return lambda at: found[bisect_left(places, at)]
+
+
+class _Open:
+    """The open elements, with the places of each tag and of the block elements, so no step walks the stack."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, frozenset[str]]] = []  # (tag, marks with the ancestors')
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, marks: frozenset[str]) -> None:
+        self.places[tag].append(len(self.rows))
+        if tag not in INLINE:
+            self.blocks.append(len(self.rows))
+        self.rows.append((tag, marks))
+
+    def close(self, at: int) -> None:
+        while len(self.rows) > at:
+            tag, _ = self.rows.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def top(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    @property
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    @property
+    def marks(self) -> frozenset[str]:
+        return self.rows[-1][1] if self.rows else frozenset()
+
+
+_LISTS = frozenset(["ul", "ol", "dl", "table", "select"])
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order; white space is one space, blank blocks are left out."""
-    stack: list[tuple[str, frozenset[str]]] = []  # (tag, marks with the ancestors')
+    """Leaf blocks of a page in order; white space is one space, blank blocks are left out.
+
+    The time grows with the length of the page, whatever its markup: tags that never end, deep nesting and
+    unclosed quotes included.
+    """
+    stack = _Open()
     blocks: list[Block] = []
     parts: list[str] = []
     links = 0
-    empty: frozenset[str] = frozenset()
     known: dict[tuple[str, str], frozenset[str]] = {}
 
     def flush() -> None:
@@ -88,73 +192,64 @@ def leaf_blocks(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            block = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-            blocks.append(Block(text, stack[-1][1] if stack else empty, block, min(links, len(text))))
+            tag = stack.rows[stack.block][0] if stack.block >= 0 else ""
+            blocks.append(Block(text, stack.marks, tag, min(links, len(text))))
         links = 0
 
     def add(piece: str) -> None:
         nonlocal links
         if piece:
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if stack.places.get("a"):
                 links += len(piece)
 
     def open_marks(tag: str, attributes: str) -> frozenset[str]:
         own = known.get((tag, attributes))
         if own is None:
-            own = known[tag, attributes] = place_marks(attributes) | {"tag:" + tag} if tag not in INLINE else place_marks(attributes)
-        return (stack[-1][1] if stack else empty) | own
-
-    def close(at: int) -> None:
-        del stack[at:]
-
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            own = known[tag, attributes] = place_marks(attributes) | ({"tag:" + tag} if tag in MARKS_BLOCKS else set())
+        outer = stack.marks
+        return outer if own <= outer else outer | own
+
+    tags, at = _Tags(page), 0  # text from ``at`` on is not added yet
+    while (found := tags.next()) is not None:
+        start, slash, tag, attributes = found
+        add(page[at:start])
+        at = tags.at
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if ends:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if slash:
+            place = stack.top([tag])
             # An inline end tag does not reach over the block it stands in.
-            if place is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[place:])):
-                close(place)
+            if place >= 0 and (tag not in INLINE or place > stack.block):
+                stack.close(place)
             continue
         if tag not in KEEPS_PARAGRAPH:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if place is not None:
-                close(place)
+            place = stack.top(["p"])
+            if place >= 0:
+                stack.close(place)
         if tag in CLOSES_ITSELF:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES_ITSELF[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            place = stack.top(CLOSES_ITSELF[tag])
+            if place >= 0 and place >= stack.top(_LISTS):
+                stack.close(place)
         if tag in RAW:
-            found = RAW[tag].search(page, at)
-            inside = page[at : found.start()] if found else page[at:]
+            close = RAW[tag].search(page, at)
+            tags.at = close.start() if close else len(page)
             if tag in ("title", "textarea"):
-                stack.append((tag, open_marks(tag, attributes)))
-                add(inside)
+                stack.push(tag, open_marks(tag, attributes))
+                add(page[at : tags.at])
                 flush()
-                stack.pop()
-            at = found.start() if found else len(page)
+                stack.close(len(stack.rows) - 1)
+            at = tags.at
             continue
         if tag in VOID or attributes.endswith("/") and tag not in ("p", "div", "li"):
             continue
-        stack.append((tag, open_marks(tag, attributes)))
+        stack.push(tag, open_marks(tag, attributes))
+    add(page[at:])
     flush()
     return blocks
 

@@ -114,16 +114,21 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
     set and is linked with nothing. ``component_id`` is the smallest doc_id reachable
     over links with a Jaccard similarity of at least 0.75, ``kept`` tells whether that
     is the row itself. Equal texts are linked. Repeated rows with one doc_id are one
-    document; a row with a null doc_id takes part, but never names a component, and
-    is kept only where no named document is reachable. Other columns are not read.
+    document. A row with a null doc_id is linked like others, but never names a component:
+    its ``component_id`` is the smallest doc_id reachable, and it is kept only where no
+    named document is, with a null ``component_id``. Other columns are not read; no rows,
+    no rows.
     """
     spark = docs.sparkSession
     circulant = spark.sparkContext.broadcast(Circulant())
     cache = WordHashes()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes().alias("text"))
+    doc = F.col("doc_id").cast("bigint")
+    # Finds a class's text again: by its id, without one by the text itself.
+    key = F.when(doc.isNotNull(), F.xxhash64(doc)).otherwise(F.xxhash64(F.lit(SEED), text_bytes()))
+    rows = docs.select(doc.alias("doc"), key.alias("key"), text_bytes().alias("text"))
 
     def sign(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"doc": batch.column("doc"), "n": [], "digest": [], "bands": [], "small": []}
+        out: dict[str, list] = {"doc": batch.column("doc"), "key": batch.column("key"), "n": [], "digest": [], "bands": [], "small": []}
         for text in batch.column("text").to_pylist():
             found = shingle_set(text, cache)
             out["n"].append(len(found))
@@ -133,13 +138,14 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
             out["small"].append(None if signature is None else signature.astype(np.uint8).tobytes() + parity(found).tobytes())
         return out
 
-    signed_docs = materialize(map_rows(rows, sign, "doc bigint, n bigint, digest binary, bands array<bigint>, small binary"), "signatures")
-    # One class per shingle set, named by its smallest document.
+    signed_docs = materialize(map_rows(rows, sign, "doc bigint, key bigint, n bigint, digest binary, bands array<bigint>, small binary"), "signatures")
+    # One class per shingle set, with a number of its own; ``first`` is its smallest document, null without any.
+    order = F.struct(F.col("doc").isNull(), "doc", "key")
     classes = materialize(
-        signed_docs.where("digest is not null and doc is not null")
+        signed_docs.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min(F.struct("doc", "n", "bands", "small")).alias("m"))
-        .select("digest", F.col("m.doc").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), F.col("m.small").alias("small")),
+        .agg(F.min(F.struct(order.alias("order"), "key", "n", "bands", "small")).alias("m"), F.min("doc").alias("first"))
+        .select("digest", F.monotonically_increasing_id().alias("rep"), "first", *[F.col(f"m.{c}").alias(c) for c in ("key", "n", "bands", "small")]),
         "classes",
     )
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -152,6 +158,8 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
         # Every bucket proposes its members to one of them, another one in each bucket and round.
         lead = F.min_by(F.struct("rep", "part"), F.xxhash64(F.lit(number), "bucket", "rep")).alias("lead")
         leaders = open_members.groupBy("bucket").agg(lead).select(F.col("bucket").alias("led"), F.col("lead.rep").alias("leader"), F.col("lead.part").alias("led_part"))
+        # Stored, so that both sides of the join are plain shuffles and a full bucket can be split.
+        leaders = materialize(leaders, "leaders")
         pairs = open_members.join(leaders, F.col("bucket") == F.col("led")).where("part <> led_part")
         found = materialize(_links(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")), classes, rows, doc_sets), "links")
         parts = components(found) if parts is None else merged(parts, found)
@@ -161,9 +169,14 @@ def near_duplicates(docs: DataFrame, doc_sets: int = MAP_BITS) -> DataFrame:
     met = materialize(open_members.select("rep", "part").distinct(), "unsettled")
     final = merged(parts, _rest_links(met, classes, rows, doc_sets))
 
-    named = classes.select(F.col("digest").alias("c_digest"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("c_digest", F.coalesce("component", "rep").alias("component"))
+    placed = materialize(
+        classes.select("digest", "rep", "first").join(final, F.col("rep") == F.col("node"), "left")
+        .select("digest", F.coalesce("component", "rep").alias("whole"), "first"), "placed",
+    )
+    names = placed.groupBy("whole").agg(F.min("first").alias("name")).select(F.col("whole").alias("of"), "name")
+    named = placed.join(names, F.col("whole") == F.col("of")).select(F.col("digest").alias("c_digest"), "name")
     out = signed_docs.select("doc", "n", "digest").join(named, F.col("digest") == F.col("c_digest"), "left")
-    component = F.coalesce("component", "doc")
+    component = F.coalesce("name", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))
 
 
@@ -240,23 +253,36 @@ def _proposals(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, map_bits: int) -> DataFrame:
     """(id, shingles) of the classes in ``wanted`` (id), from the whole texts."""
-    bits = rows.sparkSession.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("id").alias("hash")), map_bits))
+    asked = materialize(classes.select("rep", "key", "digest").join(wanted, F.col("rep") == F.col("id"), "left_semi"), "asked")
+    bits = rows.sparkSession.sparkContext.broadcast(bit_map(asked.select(F.col("key").alias("hash")), map_bits))
     cache = WordHashes()
+    # Copies share a key: a task reads each key without an id once and sends each set once.
+    sent: set[int | bytes] = set()
 
     def work(batch: pa.RecordBatch) -> dict | None:
-        hashes = batch.column("hash").to_numpy(zero_copy_only=False)
-        place = hashes % np.int64(len(bits.value) * 64)
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        place = keys % np.int64(len(bits.value) * 64)
         at = np.flatnonzero((bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
-        if not len(at):
+        ids, texts, unnamed = batch.column("key").to_pylist(), batch.column("text"), batch.column("doc").is_null().to_pylist()
+        found, digests = [], []
+        for i in at.tolist():
+            if unnamed[i]:
+                if ids[i] in sent:
+                    continue
+                sent.add(ids[i])
+            shingles = shingle_set(texts[i].as_py(), cache)
+            digest = xxhash.xxh3_128_digest(shingles.tobytes())
+            if digest not in sent:
+                sent.add(digest)
+                found.append(shingles)
+                digests.append(digest)
+        if not found:
             return None
-        texts = batch.column("text")
-        found = [shingle_set(texts[i].as_py(), cache) for i in at.tolist()]
-        return {"id": batch.column("doc").take(pa.array(at)), "set_digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "shingles": _list_array([signed(x) for x in found])}
-
-    texts = rows.where("doc is not null").select("doc", F.xxhash64("doc").alias("hash"), "text")
-    made = map_rows(texts, work, "id bigint, set_digest binary, shingles array<bigint>")
-    # Only the sets that name a class, each once.
-    made = made.join(classes.select("rep", "digest"), (F.col("id") == F.col("rep")) & (F.col("set_digest") == F.col("digest")), "left_semi").dropDuplicates(["id"])
+        return {"set_digest": digests, "shingles": _list_array([signed(x) for x in found])}
+
+    # Only the sets of the classes asked for, each once.
+    made = map_rows(rows, work, "set_digest binary, shingles array<bigint>")
+    made = made.join(asked.select(F.col("rep").alias("id"), "digest"), F.col("set_digest") == F.col("digest")).dropDuplicates(["id"])
     return materialize(made.select("id", "shingles"), "shingle-sets")
 
 

@@ -56,21 +56,24 @@ def build_digests(rules: Iterable[tuple[str, str, str]]) -> bytes:
     blocks = np.array([r[2] for r in rows], np.uint8)
     ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<u8")
     lengths = np.array(sorted({r[3] for r in rows}), "<u4")
-    return b"".join([struct.pack("<QQ", len(rows), len(lengths)), digests.tobytes(), ends.tobytes(), lengths.tobytes(), blocks.tobytes(), *(r[1] for r in rows)])
+    hosts = np.array(sorted({len(r[1].decode("utf-8", "surrogatepass").partition("\0")[0]) for r in rows}), "<u4")
+    return b"".join([struct.pack("<QQQ", len(rows), len(lengths), len(hosts)), digests.tobytes(), ends.tobytes(), lengths.tobytes(), hosts.tobytes(), blocks.tobytes(), *(r[1] for r in rows)])
 
 
 class DigestArray:
     """A mapped array file."""
 
     def __init__(self, data: bytes | mmap.mmap):
-        n, m = struct.unpack_from("<QQ", data)
-        at = 16
+        n, m, h = struct.unpack_from("<QQQ", data)
+        at = 24
         self.digests = np.frombuffer(data, "<u8", n, at)
         at += 8 * n
         self.ends = np.frombuffer(data, "<u8", n + 1, at)
         at += 8 * (n + 1)
         self.lengths = np.frombuffer(data, "<u4", m, at).tolist()
         at += 4 * m
+        self.hosts = np.frombuffer(data, "<u4", h, at).tolist()
+        at += 4 * h
         self.blocks = np.frombuffer(data, np.uint8, n, at)
         self.strings, self.data = at + n, data
 
@@ -99,15 +102,16 @@ class DigestArray:
         return out
 
 
-def probe_keys(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Keys of all rules that could fit, longest first: host suffixes by path lengths."""
-    hosts = [host]
-    at = host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    pairs = [(h, n) for h in hosts for n in lengths if n <= len(path)]
-    return [_key(h, path[:n]) for h, n in sorted(pairs, key=lambda p: -len(p[0]) - p[1])]
+def probe_keys(host: str, path: str, lengths: list[int], hosts: list[int]) -> list[bytes]:
+    """Keys of all rules that could fit, longest first: host suffixes by path lengths.
+
+    Only suffixes and beginnings of lengths that occur in the rules are made, so the keys of one url are
+    bounded by the rules, however long its host and path.
+    """
+    n = len(host)
+    fitting = [size for size in hosts if size == n or size < n and host[n - size - 1] == "."]
+    pairs = [(size, length) for size in fitting for length in lengths if length <= len(path)]
+    return [_key(host[n - size :], path[:length]) for size, length in sorted(pairs, key=lambda p: (-p[0] - p[1], -p[0]))]
 
 
 def ship_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
@@ -131,7 +135,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default
     path starts with the rule's; the longest fitting one gives the verdict, the longer host in a tie, and is shown as
     host + path. Without one ``rule`` is null and the verdict is ``default``. A null
     url or one without ``://`` has an empty host and path. Repeated rows give equal
-    results; only page_id and url are read.
+    results; only page_id and url are read. The time for a url grows with its length, however many labels
+    its host has; no rows, no rows.
     """
     name = ship_rules(pages.sparkSession, rules)
     state: dict = {}
@@ -143,7 +148,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default
         parts = [split_url(u) for u in batch.column("url").to_pylist()]
         keys, owners = [], []
         for i, (host, path) in enumerate(parts):
-            own = probe_keys(host, path, array.lengths) if host else []
+            own = probe_keys(host, path, array.lengths, array.hosts) if host else []
             keys += own
             owners += [i] * len(own)
         found: list[str | None] = [None] * len(parts)

@@ -209,6 +209,28 @@ def test_near_duplicates_with_null_ids_repeats_and_no_rows(spark):
     assert near_dup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_of_rows_without_ids(spark):
+    """Every other row loses its id: groups are those of all rows, named by the ids that are left."""
+    words = [f"w{i}" for i in range(300)]
+    base = " ".join(words[:41])
+    rows = [(5, base), (None, base + " x"), (None, "y " + base), (None, " ".join(words[100:140])), (None, " ".join(words[100:141])), (None, " ".join(words[100:140]))]
+    rows += [(i if i % 2 else None, t) for i, t in corpus(9)]
+    grouped = plain_groups([(n, t) for n, (_, t) in enumerate(rows)])
+    names = defaultdict(list)
+    for n, (_, component, _) in grouped.items():
+        if rows[n][0] is not None:
+            names[component].append(rows[n][0])
+    expected = Counter()
+    for n, (size, component, _) in grouped.items():
+        own = rows[n][0]
+        name = min(names[component]) if names[component] else None
+        expected[own, size, name, own == name] += 1
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows).repartition(3)).collect())
+    assert got == expected
+    assert got[None, 38, 5, False] == 2  # the near copies of document 5
+    assert any(k[0] is None and k[2] is None and k[3] for k in got)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(1, 30)]

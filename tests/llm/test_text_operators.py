@@ -249,6 +249,40 @@ def chain():
     return html_text.train_extractor()
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<b>", '<a ">"', "<a '\">", "<i></b>", "<!--x", "<li>x", "<p><b>x", "<div><b>x</b></div>", "<x{}>", "<title>", "<a>x</a>", "&lt;", "<a<a"])
+def test_long_pages_take_time_in_proportion(unit, chain):
+    """A page of 1 MB, whatever its markup; four times the markup costs at most about four times as much."""
+    import time
+
+    def seconds(size):
+        page = "".join(unit.format(i) for i in range(size // len(unit)))
+        begin = time.process_time()
+        blocks = html_text.leaf_blocks(page)
+        chain.decode(html_text.block_features(blocks))
+        return time.process_time() - begin
+
+    small, large = seconds(250_000), seconds(1_000_000)
+    assert large < 8 * small + 1 and large < 30
+
+
+def test_quotes_and_raw_elements():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts('<p>one<a title="x>y">two</a><p>three') == ["onetwo", "three"]
+    assert texts('<p>a</p><b title="never closed>b</b><p>c') == ["a", "b", "c"]
+    assert texts("<div><script>if (a<b) x='</div>'</script>text</div>") == ["text"]
+    assert texts("<p>a<!-- no end <p>b") == ["a"]
+    assert texts("a <b") == ["a <b"] and texts("") == []
+
+
+def test_pages_without_rows_and_without_text(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars int"
+    none = html_text.extract_text(spark.createDataFrame([], schema))
+    assert none.count() == 0 and none.columns[:4] == ["page_id", "url", "text", "n_chars"]
+    rows = [(1, None, None, "x", 1), (2, "u", "", "x", 1), (None, "u", "<div>" * 100_000, "x", 1), (4, "u", "<p>" + "word " * 200_000, "x", 1)]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == got[2] == got[None] == ("", 0) and got[4][1] in (0, 999_999)
+
+
 def test_unseen_layouts(chain):
     wrong = total = 0
     for page in html_text.training_pages(150, seed=77):
@@ -310,6 +344,20 @@ def plain_verdict(url):
     return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
+def test_long_hosts_make_few_keys(spark):
+    import time
+
+    array = url_filter.DigestArray(url_filter.build_digests(URL_RULES))
+    host = "a." * 50_000 + "example.org"
+    keys = url_filter.probe_keys(host, "/es/x" * 1000, array.lengths, array.hosts)
+    assert len(keys) <= len(array.lengths) * len(array.hosts) and max(map(len, keys)) < 30
+    urls = [f"https://{host}/es/1", f"https://{'.' * 100_000}org/", f"https://{'x' * 100_000}.com/de/", "https://" + "a." * 200_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    begin = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, URL_RULES).collect()}
+    assert got == {i: plain_verdict(u)[2:] for i, u in enumerate(urls)} and time.time() - begin < 30
+
+
 def test_urls_equal_a_plain_version(spark):
     given = [r.url for r in table(spark, SMALL, "pages").collect()] + [
         None, "", "no mark", "http://", "HTTP://EXAMPLE.ORG/es/x", "http://example.org", "http://a.b.example.org/en/1?x", "http://notexample.org/es/", "http://x.com/de/?a://b",
