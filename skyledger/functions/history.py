@@ -101,15 +101,21 @@ def add_streaks(df: DataFrame, conditions: Mapping[str, Column], entity: str = E
 
 
 def percentile_labels(
-    score: ColumnLike, cuts: Sequence[float], labels: Sequence[str], closed: str, entity: str = ENTITY
+    score: ColumnLike,
+    cuts: Sequence[float],
+    labels: Sequence[str],
+    closed: str,
+    entity: str = ENTITY,
+    until_year: int | None = None,
 ) -> Column:
     """Label against the entity's own percentiles (linear interpolation).
 
     ``closed="left"``: a value on an edge belongs to the class above it.
-    ``closed="right"``: it belongs to the class below.
+    ``closed="right"``: it belongs to the class below. With ``until_year`` the rows up to that year give the edges.
     """
     score = col(score)
-    edges = F.percentile(score, list(cuts)).over(group(entity))
+    fitted = score if until_year is None else F.when(F.col("year") <= until_year, score)
+    edges = F.percentile(fitted, list(cuts)).over(group(entity))
     out = F.when(score.isNull(), F.lit(None))
     for i, label in enumerate(labels[:-1]):
         edge = edges.getItem(i)

@@ -143,17 +143,21 @@ def zone_month_climatology(panel: DataFrame) -> DataFrame:
     return panel.groupBy("climate_zone", "month").agg(*[c.alias(n) for n, c in (zone_stats() | drought).items()])
 
 
-def zone_stats() -> dict[str, Column]:
+def zone_stats(until_year: int | None = None) -> dict[str, Column]:
+    temp, rain = fit_rows("temperature_c", until_year), fit_rows("rainfall_mm", until_year)
     return {
-        "zone_temp_mean": F.avg("temperature_c"),
-        "zone_temp_std": std_or(F.stddev_samp("temperature_c"), zero=ZERO_STD["temperature_c"]),
-        "zone_rain_mean": F.avg("rainfall_mm"),
-        "zone_rain_std": std_or(F.stddev_samp("rainfall_mm"), zero=ZERO_STD["rainfall_mm"]),
+        "zone_temp_mean": F.avg(temp),
+        "zone_temp_std": std_or(F.stddev_samp(temp), zero=ZERO_STD["temperature_c"]),
+        "zone_rain_mean": F.avg(rain),
+        "zone_rain_std": std_or(F.stddev_samp(rain), zero=ZERO_STD["rainfall_mm"]),
     }
 
 
-def seasonal_stats() -> dict[str, Column]:
-    return {"seasonal_temp_mean": F.avg("temperature_c"), "seasonal_rain_mean": F.avg("rainfall_mm")}
+def seasonal_stats(until_year: int | None = None) -> dict[str, Column]:
+    return {
+        "seasonal_temp_mean": F.avg(fit_rows("temperature_c", until_year)),
+        "seasonal_rain_mean": F.avg(fit_rows("rainfall_mm", until_year)),
+    }
 
 
 def month_climatology(panel: DataFrame) -> DataFrame:
@@ -185,19 +189,24 @@ def month_lookups(panel: DataFrame) -> dict[str, Column]:
     }
 
 
-def add_min_max(df: DataFrame, parts: Mapping[str, Column], eps: float = 0.0) -> DataFrame:
+def add_min_max(
+    df: DataFrame, parts: Mapping[str, Column], eps: float = 0.0, until_year: int | None = None
+) -> DataFrame:
     """Scale each part to [0, 1] by its range over the whole frame.
 
-    With ``eps`` the range is widened; without, a constant part becomes 0.
+    With ``eps`` the range is widened; without, a constant part becomes 0. With ``until_year`` the range
+    is that of the rows up to the year, and later values beyond it count as its ends.
     """
     staged = df.withColumns({f"__{n}": c for n, c in parts.items()})
     ends = global_stats(
         staged,
-        {f"{n}_{end}": f(F.col(f"__{n}")) for n in parts for end, f in (("min", F.min), ("max", F.max))},
+        {f"{n}_{end}": f(fit_rows(f"__{n}", until_year)) for n in parts for end, f in (("min", F.min), ("max", F.max))},
     )
 
     def scale(n: str) -> Column:
         value, low, high = F.col(f"__{n}"), ends[f"{n}_min"], ends[f"{n}_max"]
+        if until_year is not None:
+            value = F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
         if eps:
             return (value - low) / (high - low + F.lit(eps))
         return F.when(value.isNotNull(), F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)))

@@ -58,8 +58,8 @@ def rain_deficit(panel: DataFrame, until_year: int | None = None) -> DataFrame:
 def soil_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Soil moisture against the local and zone normal, its trend and its dry runs."""
     sm = F.col("soil_moisture")
-    df, zoned = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["sm"]))
-    helpers = B.place_normals(["sm"], until_year) | {"__sm_p25": F.percentile(sm, 0.25).over(H.group("city"))}
+    df, zoned = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["sm"], until_year))
+    helpers = B.place_normals(["sm"], until_year) | {"__sm_p25": F.percentile(B.fit_rows(sm, until_year), 0.25).over(H.group("city"))}
     df, added = B.ensure(H.by_entity(df), helpers)
     df = df.withColumns(
         {
@@ -85,7 +85,7 @@ def soil_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
 
 def temp_stress(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Heat against the local normal, and heat combined with missing rain."""
-    overall = B.global_stats(panel, {"rain": F.avg("rainfall_mm")})
+    overall = B.global_stats(panel, {"rain": F.avg(B.fit_rows("rainfall_mm", until_year))})
     df, added = B.ensure(H.by_entity(panel), B.place_normals(["temp"], until_year))
     df = df.withColumn("temperature_anomaly", F.col("temperature_c") - F.col("__temp_mean"))
     rain = X.clip(X.ratio("rainfall_mm", overall["rain"]), 0.0, 2.0)
@@ -128,15 +128,14 @@ def evolution(df: DataFrame) -> DataFrame:
     return df.withColumn("drought_acceleration", H.change("drought_momentum"))
 
 
-def zone_drought(panel: DataFrame) -> DataFrame:
+def zone_drought(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Shortfall against the zone's normal, and the zone's aridity."""
-    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain", "sm"]))
-    evaporation = F.avg(F.abs("evabs")) * F.lit(float(K.EVAPORATION_MM))
+    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain", "sm"], until_year))
     df = df.join(
         B.group_stats(
             panel,
             ["climate_zone"],
-            {"zone_aridity_index": X.clip(X.ratio(F.avg("rainfall_mm"), evaporation, 1.0), 0.0, 20.0)},
+            {"zone_aridity_index": B.zone_aridity(until_year)},
         ),
         "climate_zone",
         "left",
@@ -155,12 +154,13 @@ def zone_drought(panel: DataFrame) -> DataFrame:
     ).drop(*added)
 
 
-def water_stress(df: DataFrame) -> DataFrame:
+def water_stress(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """Water availability and the stresses derived from it; needs soil, deficit and temperature bundles."""
     df = B.add_min_max(
         df,
         {"__n_sm": F.col("soil_moisture"), "__n_rain": F.col("rainfall_mm"), "__n_sro": F.col("sro")},
         eps=K.EPS,
+        until_year=until_year,
     )
     df = df.withColumn(
         "water_availability_index", X.weighted(zip(AVAILABILITY_WEIGHTS, ("__n_sm", "__n_rain", "__n_sro")))
@@ -177,43 +177,46 @@ def water_stress(df: DataFrame) -> DataFrame:
     )
 
 
-def drought_score(df: DataFrame) -> DataFrame:
+def drought_score(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """Severity in [0, 1] from five scaled signals; needs :func:`water_stress`."""
     names = ("__rain", "__soil", "__heat", "__evap", "__water")
     signals = (
         -F.col("rainfall_spi"), -F.col("sm_zscore"), F.col("temperature_zscore"),
         F.col("evaporation_stress"), F.col("hydrological_stress"),
     )
-    scaled = B.add_min_max(df, dict(zip(names, signals)), eps=K.EPS)
+    scaled = B.add_min_max(df, dict(zip(names, signals)), eps=K.EPS, until_year=until_year)
     return scaled.withColumn("drought_severity_score", X.weighted(zip(SCORE_WEIGHTS, names))).drop(*names)
 
 
-def drought_category(df: DataFrame) -> DataFrame:
+def drought_category(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """Low to Extreme against the city's own 30th, 60th and 85th percentile."""
     labelled = H.by_entity(df).withColumn(
         "drought_category",
-        H.percentile_labels("drought_severity_score", CATEGORY_CUTS, K.RISK_CLASSES, closed="left"),
+        H.percentile_labels("drought_severity_score", CATEGORY_CUTS, K.RISK_CLASSES, closed="left", until_year=until_year),
     )
     return labelled.withColumn("drought_category_ordinal", X.encode("drought_category", K.RISK_ORDINAL))
 
 
-def drought_features(panel: DataFrame) -> DataFrame:
+def drought_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """All drought columns, the score and the category.
 
     The features are stored before scoring, because the score needs the range
-    of each signal over the whole frame first.
+    of each signal over the whole frame first. With ``until_year`` everything that is fitted, from
+    normals to category edges, comes from the years up to it.
     """
     df = complete_rows(panel, ["rainfall_mm", "soil_moisture", "temperature_c"])
     # All normals first: one stage of month windows, one small zone table.
-    df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], B.zone_normals(["rain", "sm"]))
-    df, added = B.ensure(H.by_entity(df), B.place_normals(["rain", "rain_lag", "sm", "temp"]))
-    df = temp_stress(zone_drought(water_balance(df)))
-    df = evolution(persistence(soil_features(rain_deficit(df))))
-    df = materialize(water_stress(df).drop(*zoned, *added), "drought-features")
-    return drought_category(drought_score(df))
+    df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], B.zone_normals(["rain", "sm"], until_year))
+    df, added = B.ensure(H.by_entity(df), B.place_normals(["rain", "rain_lag", "sm", "temp"], until_year))
+    df = temp_stress(zone_drought(water_balance(df), until_year), until_year)
+    df = evolution(persistence(soil_features(rain_deficit(df, until_year), until_year)))
+    df = materialize(water_stress(df, until_year).drop(*zoned, *added), "drought-features")
+    return drought_category(drought_score(df, until_year), until_year)
 
 
-def drought_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -> DataFrame:
+def drought_dataset(
+    panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES, until_year: int | None = None
+) -> DataFrame:
     """Training table: one-hot zones, leakage columns and incomplete rows removed."""
-    df = drought_features(panel).withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
+    df = drought_features(panel, until_year).withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
     return drop_leakage(df, K.LEAKAGE_DROUGHT).drop("climate_zone").na.drop()

@@ -20,14 +20,14 @@ EXTREME_RAIN_WEIGHTS = (0.35, 0.25, 0.20, 0.10, 0.10)
 CATEGORY_CUTS = (0.50, 0.75, 0.90)
 
 
-def climatology_baselines(panel: DataFrame) -> DataFrame:
+def climatology_baselines(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Twelve helper columns: normals per city and month, zone and month, and month."""
-    df = B.attach_group_stats(panel, ["climate_zone", "month"], B.zone_stats())
-    df = df.join(B.group_stats(panel, ["month"], B.seasonal_stats()), "month", "left")
+    df = B.attach_group_stats(panel, ["climate_zone", "month"], B.zone_stats(until_year))
+    df = df.join(B.group_stats(panel, ["month"], B.seasonal_stats(until_year)), "month", "left")
     normals = {}
     for short, measure in (("temp", "temperature_c"), ("rain", "rainfall_mm"), ("sm", "soil_moisture")):
-        normals[f"{short}_climo_mean"] = B.place_month_mean(measure)
-        normals[f"{short}_climo_std"] = B.std_or(B.place_month_std(measure), zero=B.ZERO_STD[measure])
+        normals[f"{short}_climo_mean"] = B.place_month_mean(measure, until_year)
+        normals[f"{short}_climo_std"] = B.std_or(B.place_month_std(measure, until_year), zero=B.ZERO_STD[measure])
     return H.by_entity(df).withColumns(normals)
 
 
@@ -36,10 +36,10 @@ def _relative_rain() -> Column:
     return X.clip(X.ratio("rainfall_mm", "rain_climo_mean"), 0.0, 2.0)
 
 
-def heatwave_features(df: DataFrame) -> DataFrame:
+def heatwave_features(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """The ``hw_`` columns; needs :func:`climatology_baselines`."""
     t, sm = F.col("temperature_c"), F.col("soil_moisture")
-    coldest = B.global_stats(df, {"low": F.min("temperature_c")})
+    coldest = B.global_stats(df, {"low": F.min(B.fit_rows("temperature_c", until_year))})
     df = H.by_entity(df).withColumns(
         {
             "hw_temperature_anomaly": t - F.col("temp_climo_mean"),
@@ -125,13 +125,15 @@ def extreme_rain_features(df: DataFrame) -> DataFrame:
     return H.add_streaks(df, {"er_consecutive_wet_months": H.lag(rain) > F.col("rain_climo_mean")}).drop("__share")
 
 
-def _scored(df: DataFrame, name: str, weights: Sequence[float], signals: Sequence[Column]) -> DataFrame:
+def _scored(
+    df: DataFrame, name: str, weights: Sequence[float], signals: Sequence[Column], until_year: int | None
+) -> DataFrame:
     names = [f"__part{i}" for i in range(len(weights))]
-    scaled = B.add_min_max(df, dict(zip(names, signals)))
+    scaled = B.add_min_max(df, dict(zip(names, signals)), until_year=until_year)
     return scaled.withColumn(name, X.clip(X.weighted(zip(weights, names)), 0.0, 1.0)).drop(*names)
 
 
-def heatwave_score(df: DataFrame) -> DataFrame:
+def heatwave_score(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """Severity in [0, 1]; needs :func:`heatwave_features`."""
     return _scored(
         df,
@@ -144,10 +146,11 @@ def heatwave_score(df: DataFrame) -> DataFrame:
             X.floor_zero(F.col("rain_climo_mean") - F.col("rainfall_mm")),
             X.clip(X.ratio(X.evaporation_mm(), "rainfall_mm", 1.0), 0.0, 50.0),
         ],
+        until_year,
     )
 
 
-def extreme_rain_score(df: DataFrame) -> DataFrame:
+def extreme_rain_score(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """Severity in [0, 1]; needs :func:`extreme_rain_features`."""
     return _scored(
         df,
@@ -160,24 +163,29 @@ def extreme_rain_score(df: DataFrame) -> DataFrame:
             F.col("er_soil_saturation"),
             X.floor_zero("er_rainfall_acceleration"),
         ],
+        until_year,
     )
 
 
-def extreme_categories(df: DataFrame) -> DataFrame:
+def extreme_categories(df: DataFrame, until_year: int | None = None) -> DataFrame:
     """Both categories against the city's own 50th, 75th and 90th percentile."""
     df = H.by_entity(df)
     for name, score in (("heatwave", "heatwave_severity_score"), ("extreme_rainfall", "extreme_rainfall_score")):
         df = df.withColumn(
-            f"{name}_category", H.percentile_labels(score, CATEGORY_CUTS, K.RISK_CLASSES, closed="right")
+            f"{name}_category", H.percentile_labels(score, CATEGORY_CUTS, K.RISK_CLASSES, closed="right", until_year=until_year)
         ).withColumn(f"{name}_category_ordinal", X.encode(f"{name}_category", K.RISK_ORDINAL))
     return df
 
 
-def extreme_features(panel: DataFrame) -> DataFrame:
-    """All heat and rain columns, both scores and both categories; features are stored before scoring."""
+def extreme_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
+    """All heat and rain columns, both scores and both categories; features are stored before scoring.
+
+    With ``until_year`` everything that is fitted comes from the years up to it.
+    """
     df = complete_rows(panel, ["rainfall_mm", "soil_moisture", "temperature_c"])
-    df = extreme_rain_features(heatwave_features(climatology_baselines(df)))
-    return extreme_categories(extreme_rain_score(heatwave_score(materialize(df, "extreme-features"))))
+    df = extreme_rain_features(heatwave_features(climatology_baselines(df, until_year), until_year))
+    df = heatwave_score(materialize(df, "extreme-features"), until_year)
+    return extreme_categories(extreme_rain_score(df, until_year), until_year)
 
 
 # Helper columns that do not belong to the training table.
@@ -187,9 +195,11 @@ BASELINE_COLUMNS = (
 )
 
 
-def extreme_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -> DataFrame:
+def extreme_dataset(
+    panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES, until_year: int | None = None
+) -> DataFrame:
     """Training table for both tasks."""
-    df = extreme_features(panel).withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
+    df = extreme_features(panel, until_year).withColumns(X.one_hot("climate_zone", zones, "climate_zone_"))
     return drop_leakage(df, K.LEAKAGE_EXTREME + BASELINE_COLUMNS).na.drop()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyledger import constants as K
 from skyledger.functions import exprs as X
 from skyledger.functions import history as H
-from skyledger.operators.baselines import global_stats
+from skyledger.operators.baselines import fit_rows, global_stats
 from skyledger.functions.exprs import finite_columns
 
 
@@ -27,8 +27,11 @@ def convert_units(raw: DataFrame) -> DataFrame:
     return converted.withColumns({"month_sin": sine, "month_cos": cosine})
 
 
-def base_panel(raw: DataFrame) -> DataFrame:
-    """The 28-column panel. Rows without a full six-row history or a next row are left out."""
+def base_panel(raw: DataFrame, until_year: int | None = None) -> DataFrame:
+    """The 28-column panel. Rows without a full six-row history or a next row are left out.
+
+    With ``until_year`` the labels' edges and the score's range come from the years up to it.
+    """
     raw = finite_columns(raw)
     df = H.by_entity(convert_units(raw))
     df = df.withColumns(
@@ -49,11 +52,12 @@ def base_panel(raw: DataFrame) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "heatwave_risk": H.percentile_labels("temperature_c", (0.75, 0.90), K.PANEL_LABELS, closed="right"),
-            "drought_risk": H.percentile_labels("__dryness", (0.75, 0.90), K.PANEL_LABELS, closed="right"),
+            "heatwave_risk": H.percentile_labels("temperature_c", (0.75, 0.90), K.PANEL_LABELS, closed="right", until_year=until_year),
+            "drought_risk": H.percentile_labels("__dryness", (0.75, 0.90), K.PANEL_LABELS, closed="right", until_year=until_year),
         }
     )
-    ends = global_stats(raw.select(X.celsius("t2m").alias("t")), {"low": F.min("t"), "high": F.max("t")})
+    known = fit_rows("t", until_year)
+    ends = global_stats(raw.select(X.celsius("t2m").alias("t"), F.year("date").alias("year")), {"low": F.min(known), "high": F.max(known)})
     scaled = F.try_divide(F.col("temperature_c") - ends["low"], ends["high"] - ends["low"])
     score = X.weighted(
         [

@@ -111,36 +111,95 @@ def mean_by(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the rows that have both (average ranks on ties).
 
-    Equal value pairs collapse first; each side's ranks come from one join for all
-    pairs, so the number of shuffles does not depend on the number of columns.
+    A column's ranks depend on which rows the other column leaves, and so only on the other column's pattern of
+    gaps. Columns with the same pattern share it: each column is ranked once per pattern, once at all
+    without gaps. Ranks return to their rows in one join for all columns; the products of all pairs are then
+    summed inside the tasks (:func:`gram_sums`). So shuffles grow with the columns and not with the pairs.
     """
-    pairs = list(combinations(columns, 2))
+    columns = list(columns)
     number = {c: X.finite(F.col(c).cast("double")) for c in columns}
-    both = {(a, b): number[a].isNotNull() & number[b].isNotNull() for a, b in pairs}
-    wide = df.select(
-        *[F.when(both[p], number[p[side]]).alias(f"{side}_{i}") for i, p in enumerate(pairs) for side in (0, 1)]
+    rows = materialize(df.select(*[number[c].alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("row")), "numbers")
+    # Equal counts and equal sums of row hashes stand for equal patterns. One line reaches the driver.
+    marks = rows.agg(
+        *[F.struct(F.count_if(F.isnull(f"c{i}")), *[F.bit_xor(F.when(F.isnull(f"c{i}"), F.xxhash64(F.lit(k), "row"))) for k in (1, 2)]).alias(f"p{i}") for i in range(len(columns))]
+    ).head()
+    first: dict[tuple, int] = {}
+    pattern = [first.setdefault(tuple(marks[i]), i) for i in range(len(columns))]
+    # (column, the column whose gaps count), each once.
+    whole = {i for i in set(pattern) if not marks[i][0]}
+    wanted = sorted({(i, i if p in whole or p == pattern[i] else p) for i in range(len(columns)) for p in set(pattern)})
+    at = {w: k for k, w in enumerate(wanted)}
+
+    def place(i: int, other: int) -> int:
+        p = pattern[other]
+        return at[i, i if p in whole or p == pattern[i] else p]
+
+    values = [F.when(F.col(f"c{p}").isNotNull(), F.col(f"c{i}")) for i, p in wanted]
+    wide = rows.select("row", *[v.alias(f"r{k}") for k, v in enumerate(values)])
+    names = [f"r{k}" for k in range(len(wanted))]
+    ranks = value_ranks(wide, names).select(
+        F.substring("name", 2, 9).cast("int").alias("k"), "value", (F.col("below") + (F.col("n") - F.col("total")) / F.lit(2.0)).alias("centred")
     )
-    ranks = value_ranks(wide, wide.columns).select(
-        "name", "value", "n", (F.col("below") + (F.col("n") - F.col("total")) / F.lit(2.0)).alias("centred")
+    ranks = materialize(ranks, "ranks")
+    points = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(n).alias("value")) for k, n in enumerate(names)]))
+    long = wide.select("row", points.alias("p")).select("row", "p.*").filter("value IS NOT NULL")
+    entry = F.struct("k", "centred")
+    ranked = long.join(ranks, ["k", "value"]).groupBy("row").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    vectors = ranked.select(*[F.try_element_at("m", F.lit(k)).alias(f"r{k}") for k in range(len(wanted))])
+    pairs = {(place(i, j), place(j, i)): (i, j) for i, j in combinations(range(len(columns)), 2)}
+    diagonal = [(k, k) for k in range(len(wanted))]
+    sums = materialize(gram_sums(vectors, names, [*dict.fromkeys([*pairs, *diagonal])]), "rank-products")
+    square = sums.filter("i = j").select(F.col("i").alias("own"), F.col("xy").alias("square"))
+    named = df.sparkSession.createDataFrame(
+        [(columns[i], columns[j], a, b) for i, j in combinations(range(len(columns)), 2) for a, b in [(place(i, j), place(j, i))]],
+        "left string, right string, a int, b int",
     )
-    ranks = materialize(ranks, "pair-ranks")
-    points = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(f"0_{i}").alias("x"), F.col(f"1_{i}").alias("y")) for i in range(len(pairs))]))
-    counts = wide.select(points.alias("p")).select("p.*").filter("x IS NOT NULL").groupBy("pair", "x", "y").agg(F.count("*").alias("w"))
-
-    def side(k: int, value: str) -> DataFrame:
-        return ranks.filter(F.col("name").startswith(f"{k}_")).select(
-            F.substring("name", 3, 9).cast("int").alias("pair"), F.col("value").alias(value), F.col("centred").alias(f"r{value}")
-        )
-
-    ranked = counts.join(side(0, "x"), ["pair", "x"]).join(side(1, "y"), ["pair", "y"])
-    sums = ranked.groupBy("pair").agg(
-        F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("xy"),
-        F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("xx"),
-        F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("yy"),
+    out = (
+        named.join(sums.select(F.col("i").alias("a"), F.col("j").alias("b"), "xy"), ["a", "b"], "left")
+        .join(square.select(F.col("own").alias("a"), F.col("square").alias("xx")), "a", "left")
+        .join(square.select(F.col("own").alias("b"), F.col("square").alias("yy")), "b", "left")
     )
     value = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, left string, right string")
-    return names.join(sums, "pair", "left").select("left", "right", value.alias("spearman"))
+    return out.select("left", "right", value.alias("spearman"))
+
+
+BLOCK_COLUMNS = 64  # columns multiplied at a time
+
+
+def gram_sums(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy) for each of ``pairs`` of column numbers, over the rows that have both values.
+
+    Each task multiplies blocks of columns of its Arrow batches and sends one line per pair, so the shuffle has
+    tasks x pairs lines, however many rows there are, and the plan does not grow with the pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    schema = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+    width, order = len(columns), list(pairs)
+    left, right = (np.array([p[k] for p in order], np.int64) for k in (0, 1))
+
+    def run(batches):
+        starts = range(0, width, BLOCK_COLUMNS)
+        sums = {(a, b): None for a in starts for b in starts}
+        for batch in batches:
+            table = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(width)]) if width else np.empty((0, 0))
+            there = ~np.isnan(table)
+            values, there = np.where(there, table, 0.0), there.astype(float)
+            for a, b in sums:
+                x, y, mx, my = values[:, a : a + BLOCK_COLUMNS], values[:, b : b + BLOCK_COLUMNS], there[:, a : a + BLOCK_COLUMNS], there[:, b : b + BLOCK_COLUMNS]
+                part = np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+                sums[a, b] = part if sums[a, b] is None else sums[a, b] + part
+        if any(part is None for part in sums.values()):
+            return
+        out = np.zeros((6, len(order)))
+        for (a, b), part in sums.items():
+            inside = (left // BLOCK_COLUMNS * BLOCK_COLUMNS == a) & (right // BLOCK_COLUMNS * BLOCK_COLUMNS == b)
+            out[:, inside] = part[:, left[inside] - a, right[inside] - b]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32()), pa.array(right, pa.int32()), *map(pa.array, out)], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, schema)
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
 
 
 def feature_quality(df: DataFrame, features: Sequence[str], target: str, tiers: tuple[float, float]) -> DataFrame:
@@ -165,19 +224,19 @@ def feature_quality(df: DataFrame, features: Sequence[str], target: str, tiers:
 def collinear_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> DataFrame:
     """Feature pairs with absolute correlation above the threshold.
 
-    Each pair uses the rows that have both values. One pass over the table; the
-    correlations are one line.
+    Each pair uses the rows that have both values. The features are shifted by their means first, so sums of
+    squares lose no digits; then one pass sums the products of all pairs inside the tasks.
     """
-    pairs = list(combinations(features, 2))
-    number = {f: X.finite(F.col(f).cast("double")) for f in features}
-    wide = df.agg(*[F.abs(F.corr(number[a], number[b])).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    lines = _lines(
-        wide,
-        [
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("abs_corr"))
-            for i, (a, b) in enumerate(pairs)
-        ],
-    )
+    features = list(features)
+    number = [X.finite(F.col(f).cast("double")) for f in features]
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(number)]).head()
+    shifted = df.select(*[(c - F.lit(means[i] or 0.0)).alias(f"x{i}") for i, c in enumerate(number)])
+    sums = gram_sums(shifted, shifted.columns, list(combinations(range(len(features)), 2)))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = F.sqrt(F.greatest(F.col("xx") - x * x / n, F.lit(0.0))) * F.sqrt(F.greatest(F.col("yy") - y * y / n, F.lit(0.0)))
+    lines = sums.filter("n > 0").withColumn("abs_corr", F.abs(F.try_divide(F.col("xy") - x * y / n, spread)))
+    names = F.array(*[F.lit(f) for f in features])
+    lines = lines.select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), "abs_corr")
     return lines.filter(F.col("abs_corr") > threshold)
 
 

@@ -79,9 +79,9 @@ def temperature_anomaly(panel: DataFrame, until_year: int | None = None) -> Data
     )
 
 
-def land_trends(panel: DataFrame) -> DataFrame:
+def land_trends(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Past change of soil moisture, evaporation and runoff, and wetness against the zone."""
-    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], {"__zone_sm_mean": F.avg("soil_moisture")})
+    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], {"__zone_sm_mean": F.avg(B.fit_rows("soil_moisture", until_year))})
     return (
         H.by_entity(df)
         .withColumns(
@@ -96,9 +96,9 @@ def land_trends(panel: DataFrame) -> DataFrame:
     )
 
 
-def zone_relative_rain(panel: DataFrame) -> DataFrame:
+def zone_relative_rain(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Rainfall against the zone's normal for the month."""
-    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain"]))
+    df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain"], until_year))
     df = df.withColumns(
         {
             "zone_rainfall_climatology": F.col("__zone_rain_mean"),
@@ -113,13 +113,15 @@ def zone_relative_rain(panel: DataFrame) -> DataFrame:
     ).drop(*added)
 
 
-def rainfall_dataset(panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES) -> DataFrame:
+def rainfall_dataset(
+    panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES, until_year: int | None = None
+) -> DataFrame:
     """All rainfall features, one-hot zones, leakage columns and incomplete rows removed."""
     df = complete_rows(panel, ["rainfall_mm", "target_rainfall_next_month"])
     # All normals first: one small zone table, one stage of month windows.
-    zones_ = B.zone_normals(["rain"]) | {"__zone_sm_mean": F.avg("soil_moisture")}
+    zones_ = B.zone_normals(["rain"], until_year) | {"__zone_sm_mean": F.avg(B.fit_rows("soil_moisture", until_year))}
     df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], zones_)
-    helpers = B.place_normals(["rain", "temp"]) | {"__previous_normal": B.previous_month_mean("rainfall_mm")}
+    helpers = B.place_normals(["rain", "temp"], until_year) | {"__previous_normal": B.previous_month_mean("rainfall_mm", until_year)}
     df, added = B.ensure(H.by_entity(df), helpers)
     df = zone_relative_rain(temperature_anomaly(rain_momentum(monsoon(df))))
     df = land_trends(rain_anomaly(df)).drop(*zoned, *added)
