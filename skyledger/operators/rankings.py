@@ -5,8 +5,7 @@ Lists are top-n results with a total order: score, then district id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,18 +16,19 @@ from skyledger.operators.ordering import positions
 SCORE = "hotspot_score"
 
 
-def top_list(df: DataFrame, name: str, order: Column, n: int) -> DataFrame:
-    """The first n rows by ``order`` and district id, with list name and place.
+def top_lists(df: DataFrame, lists: Mapping[str, tuple[Column, Column | None]], n: int) -> DataFrame:
+    """The first n rows of several lists, with list name and place.
 
-    The limit is taken first, so the window below sees n rows.
+    A list is its sort key, smallest first, and the rows that take part (all without a condition). Rows
+    are turned into (list, key) once; every task keeps its own first n of each list, so one exchange moves
+    at most n rows for each list and task, however many lists there are.
     """
-    first = df.orderBy(order, "district_id").limit(n)
-    place = F.row_number().over(Window.orderBy(order, "district_id"))
-    return first.withColumns({"list_name": F.lit(name), "place": place})
-
-
-def _lists(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    entry = lambda name, key: F.struct(F.lit(name).alias("list_name"), key.cast("double").alias("by"))
+    entries = [entry(name, key) if rows is None else F.when(rows, entry(name, key)) for name, (key, rows) in lists.items()]
+    long = df.withColumn("__list", F.explode(F.array(*entries))).filter(F.col("__list").isNotNull())
+    first = Window.partitionBy("list_name").orderBy("__by", "district_id")
+    named = long.withColumns({"list_name": F.col("__list.list_name"), "__by": F.col("__list.by")}).drop("__list")
+    return named.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n).drop("__by")
 
 
 def one(evaluated: DataFrame, year: int, scenario: str = "baseline") -> DataFrame:
@@ -37,23 +37,20 @@ def one(evaluated: DataFrame, year: int, scenario: str = "baseline") -> DataFram
 
 def hotspot_ranking(evaluated: DataFrame, year: int, top_n: int = 5, scenario: str = "baseline") -> DataFrame:
     """Most and least vulnerable districts of a year under a scenario."""
-    df = one(evaluated, year, scenario)
-    return _lists(
-        [
-            top_list(df, "top_vulnerable", F.desc(SCORE), top_n),
-            top_list(df, "least_vulnerable", F.asc(SCORE), top_n),
-        ]
+    score = F.col(SCORE)
+    return top_lists(
+        one(evaluated, year, scenario), {"top_vulnerable": (-score, None), "least_vulnerable": (score, None)}, top_n
     )
 
 
 def hotspots(evaluated: DataFrame, year: int, top_n: int = 10) -> DataFrame:
     """Highest scores among the Critical and High bands, and among the Moderate band."""
     df, band = one(evaluated, year), F.col("hotspot_risk_band")
-    return _lists(
-        [
-            top_list(df.filter(band.isin("Critical", "High")), "vulnerable_hotspots", F.desc(SCORE), top_n),
-            top_list(df.filter(band == "Moderate"), "emerging_hotspots", F.desc(SCORE), top_n),
-        ]
+    worst = -F.col(SCORE)
+    return top_lists(
+        df,
+        {"vulnerable_hotspots": (worst, band.isin("Critical", "High")), "emerging_hotspots": (worst, band == "Moderate")},
+        top_n,
     )
 
 
@@ -99,12 +96,8 @@ def movements(evaluated: DataFrame, base: int, target: int) -> DataFrame:
 def rank_movement(evaluated: DataFrame, base: int, target: int, top_n: int = 10) -> DataFrame:
     """Largest climbs and largest falls. Equal changes are ordered by target rank."""
     df = movements(evaluated, base, target)
-    return _lists(
-        [
-            top_list(df, "most_worsened", F.desc("rank_change"), top_n),
-            top_list(df, "most_improved", F.asc("rank_change"), top_n),
-        ]
-    )
+    change = F.col("rank_change")
+    return top_lists(df, {"most_worsened": (-change, None), "most_improved": (change, None)}, top_n)
 
 
 def _years_between(base: int, target: int) -> Column:
@@ -145,7 +138,7 @@ TREND_LISTS = {
 def trends(evaluated: DataFrame, base: int, final: int, top_n: int = 10) -> DataFrame:
     """Four lists of the fastest changing districts."""
     df = trend_records(evaluated, base, final)
-    return _lists([top_list(df, name, F.desc(c), top_n) for name, c in TREND_LISTS.items()])
+    return top_lists(df, {name: (-F.col(c), None) for name, c in TREND_LISTS.items()}, top_n)
 
 
 def emerging(evaluated: DataFrame, base: int, target: int, top_n: int = 10) -> DataFrame:
@@ -164,7 +157,7 @@ def emerging(evaluated: DataFrame, base: int, target: int, top_n: int = 10) -> D
         F.col("base_hotspot_risk_band").alias("base_risk_band"),
         X.round_to(growth, 4).alias("growth_rate_per_year"),
     )
-    return top_list(df, "emerging_risks", F.desc("growth_rate_per_year"), top_n)
+    return top_lists(df, {"emerging_risks": (-F.col("growth_rate_per_year"), None)}, top_n)
 
 
 def district_profile(evaluated: DataFrame, name: str, state: str = "") -> DataFrame:

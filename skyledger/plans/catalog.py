@@ -272,6 +272,37 @@ def zone_insights(t: Tables) -> DataFrame:
     return out(parts[0].join(parts[1], "climate_zone"))
 
 
+def _frame_sql(name: str, key: str, value: str) -> str:
+    return f"SELECT '{name}' AS frame, CAST({key} AS VARCHAR) AS key, {value} AS value FROM ew_cat GROUP BY {key}"
+
+
+register(
+    "zone_insight_frames",
+    q.query(
+        ("ew_cat",),
+        f"SELECT frame, key, {q.r('value')} FROM ("
+        + " UNION ALL ".join(
+            _frame_sql(*frame)
+            for name, score in (("heatwave", "heatwave_severity_score"), ("extreme_rainfall", "extreme_rainfall_score"))
+            for frame in (
+                (f"{name}_by_zone", "climate_zone", f"avg({score})"),
+                (f"extreme_{name}_pct_by_zone", "climate_zone", f"avg(CASE WHEN {name}_category = 'Extreme' THEN 1.0 ELSE 0.0 END) * 100.0"),
+                (f"{name}_by_month", "month", f"avg({score})"),
+            )
+        )
+        + ")",
+    ),
+)(
+    lambda t: out(
+        reduce(
+            DataFrame.unionByName,
+            [
+                f.select(F.lit(name).alias("frame"), F.col(f.columns[0]).cast("string").alias("key"), F.col(f.columns[1]).alias("value"))
+                for name, f in EX.zone_insights(materialize(EX.extreme_features(t.panel))).items()
+            ],
+        )
+    )
+)
 register(
     "score_seasonality",
     q.query(

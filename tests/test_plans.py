@@ -4,6 +4,7 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import skyledger.session as session
 from skyledger.plans.catalog import QUERIES
@@ -51,3 +52,20 @@ def test_group_limit_cuts_long_districts_before_the_shuffle(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["keyed_scan"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and "props" not in plan
+
+
+def test_several_lists_share_one_exchange(spark):
+    from skyledger.operators.rankings import top_lists
+
+    df = spark.range(1000).withColumnsRenamed({"id": "district_id"}).withColumn("v", F.col("district_id") % 97)
+    df = df.repartition(5)
+    lists = {f"l{k}": ((F.col("v") - k) * (F.col("v") - k), None if k % 2 else F.col("v") > 50) for k in range(6)}
+    found = top_lists(df, lists, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(list_name") == 1 and plan.count("Exchange") == 2 and "WindowGroupLimit" in plan
+    rows = df.collect()
+    for k in range(6):
+        part = [r for r in rows if k % 2 or r["v"] > 50]
+        want = [r["district_id"] for r in sorted(part, key=lambda r: ((r["v"] - k) ** 2, r["district_id"]))[:4]]
+        got = found.filter(F.col("list_name") == f"l{k}").orderBy("place").collect()
+        assert [r["district_id"] for r in got] == want and [r["place"] for r in got] == [1, 2, 3, 4]
