@@ -41,9 +41,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
 
     The table has the columns ``row`` (all input columns), ``shard``, ``bucket`` and
     ``place``, the row's place in its shuffled bucket; it is stored by shard. Rows with
-    equal doc_id are in one shard; a null doc_id is a key too. Ties inside a
-    bucket are ordered by size and checksum before shuffling; rows equal in those are
-    exchangeable copies. An empty table gives an empty one.
+    equal doc_id are in one shard; a null doc_id is a key too. The text decides nothing: equal texts
+    with different ids may lie in different shards. Ties inside a bucket are ordered by size and
+    checksum before shuffling, and rows equal in those by their order of arrival, which may differ between
+    runs even where their other columns differ. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select(
