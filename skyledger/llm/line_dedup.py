@@ -6,6 +6,7 @@ hashes seen again into a filter of hashes seen twice. The twice-filters are
 broadcast below a fixed size; when they are larger they are folded, which lets
 more lines through and loses none. A second pass sends the lines that the
 filter suspects to be confirmed by their text, and the smallest document keeps them.
+Texts without a line to drop are not shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -34,6 +35,10 @@ PROBES = 4
 FILTER_BYTES = 32 << 20
 # Hashes that a task gathers before it sends them on.
 TASK_HASHES = 400_000
+# Most bits of the map of documents that hold a line to drop (32 MB), bits of one of its blocks, seed of its hash.
+ID_BITS = 1 << 28
+BLOCK_BITS = 1 << 15
+ID_SEED = 2
 
 
 def line_keys(text: bytes) -> list[bytes | None]:
@@ -209,6 +214,30 @@ def shared_lines(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame
     return drops.groupBy(F.col("doc").alias("drop_doc")).agg(F.collect_set("hash").alias("drop_hashes"))
 
 
+def mark_ids(rows: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int = ID_BITS) -> DataFrame:
+    """``rows`` with the boolean ``name``: false only where ``key`` is surely not in ``ids`` (one column without nulls).
+
+    A bit map over hashes of the ids, 16 bits an id and at most ``most_bits`` in all; beyond, more rows are
+    marked than need be. It is broadcast, at most ``most_bits`` / 8 bytes. A null key is not marked.
+    """
+    bits = BLOCK_BITS
+    while bits < min(most_bits, 16 * ids.count()):
+        bits *= 2
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(ID_SEED), column), F.lit(bits))
+
+    at = place(F.col(ids.columns[0]))
+    places = ids.select(F.floor(at / BLOCK_BITS).alias("block"), F.pmod(at, F.lit(BLOCK_BITS)).alias("bit"))
+    blocks = materialize(places.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("map")), "id-bits")
+    # At most bits / BLOCK_BITS rows of BLOCK_BITS / 8 bytes.
+    near = rows.withColumn("place", place(F.col(key))).join(F.broadcast(blocks), F.floor(F.col("place") / BLOCK_BITS) == F.col("block"), "left")
+    bit = F.pmod("place", F.lit(BLOCK_BITS))
+    byte = F.conv(F.hex(F.substring("map", F.floor(bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = F.col(key).isNotNull() & F.col("map").isNotNull() & (F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)
+    return near.select(*rows.columns, F.coalesce(found, F.lit(False)).alias(name))
+
+
 def line_dedup(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Input columns plus ``kept_text``, ``n_lines`` and ``n_dropped``.
 
@@ -219,11 +248,16 @@ def line_dedup(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     count for no key and keep all lines. Rows with the same doc_id are one document.
     Extra columns pass through, but for those with the names of the results.
     """
-    drops = shared_lines(docs, filter_bytes)
+    drops = materialize(shared_lines(docs, filter_bytes), "line-drops")
     extra = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     # The rows travel as one struct, so no column of theirs can clash with ours.
     rows = docs.select(F.struct(*extra).alias("row"), F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(drops, F.col("doc") == F.col("drop_doc"), "left").select("row", text_bytes().alias("text"), "drop_hashes")
+    # Only rows of documents that may hold a drop meet the drops; the others stay in their tasks.
+    marked = mark_ids(rows, "doc", drops.select("drop_doc"), "may_drop")
+    meeting = marked.where("may_drop").join(drops, F.col("doc") == F.col("drop_doc"), "left")
+    passing = marked.where(~F.col("may_drop")).withColumn("drop_hashes", F.lit(None).cast(drops.schema["drop_hashes"].dataType))
+    columns = ["row", text_bytes().alias("text"), "drop_hashes"]
+    joined = meeting.select(*columns).unionAll(passing.select(*columns))
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

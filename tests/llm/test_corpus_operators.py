@@ -363,3 +363,22 @@ def test_pipeline_decides_per_row(spark):
     clean = pipeline.decontamination_stage
     rows = [(None, leak), (None, b), (7, leak), (7, c), (7, c), (8, None), (None, None), (9, a)]
     assert through(clean, rows) == expect([r for r in rows if r[1] != leak])
+
+
+@pytest.mark.parametrize("most", [line_dedup.ID_BITS, line_dedup.BLOCK_BITS])
+def test_marked_ids_hold_every_id(spark, most):
+    ids = spark.range(0, 60_000, 7).select(F.col("id").alias("drop_doc"))
+    rows = spark.range(-5, 60_000).select(F.when(F.col("id") != 3, F.col("id")).alias("doc"))
+    got = {r.doc: r.may for r in line_dedup.mark_ids(rows, "doc", ids, "may", most).collect()}
+    assert len(got) == 60_005 and got[None] is False
+    assert all(got[i] for i in range(0, 60_000, 7))
+    wrong = sum(got[i] for i in range(60_000) if i != 3 and i % 7)
+    assert wrong < (6_000 if most > line_dedup.BLOCK_BITS else 20_000)
+    assert not any(r.may for r in line_dedup.mark_ids(rows, "doc", ids.limit(0), "may").collect())
+
+
+def test_lines_are_dropped_from_marked_documents(spark):
+    rows = [(i, f"line number {i} of its own\n" + ("a line that some share" if i % 50 == 0 else f"another line {i}")) for i in range(2_000)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r.doc_id: r.n_dropped for r in got.collect()}
+    assert [i for i, n in kept.items() if n] == list(range(50, 2_000, 50)) and len(kept) == 2_000
