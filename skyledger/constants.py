@@ -98,6 +98,16 @@ SCENARIO_PRESETS = {
     "rainfall_plus_10": (0.0, 10.0, 0.0),
 }
 
+# Named what-if scenarios that also change evaporation and runoff (degrees, then percent of rain, soil moisture,
+# evaporation and runoff).
+WATER_SCENARIOS = {
+    "baseline": (0.0, 0.0, 0.0, 0.0, 0.0),
+    "evaporation_plus_20": (0.0, 0.0, 0.0, 20.0, 0.0),
+    "runoff_plus_50": (0.0, 0.0, 0.0, 0.0, 50.0),
+    "runoff_gone": (0.0, 0.0, 0.0, 0.0, -100.0),
+    "hot_and_dry": (2.0, -20.0, -10.0, 15.0, -30.0),
+}
+
 # Hotspot risk bands, (lower bound, label) from the top.
 RISK_BANDS = ((40.0, "Critical"), (20.0, "High"), (10.0, "Moderate"))
 RISK_BANDS_DOCUMENTED = ((75.0, "Critical"), (50.0, "High"), (25.0, "Moderate"))

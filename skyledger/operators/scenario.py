@@ -23,18 +23,20 @@ CROP_WEIGHTS = (0.40, 0.30, 0.30)
 
 
 def scenario_grid(df: DataFrame, scenarios: Mapping[str, Sequence[float]] = K.SCENARIO_PRESETS) -> DataFrame:
-    """Every row once per scenario, with its name and three deltas. The short list is a literal array."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("scenario"),
-                F.lit(float(t)).alias("temperature_delta"),
-                F.lit(float(r)).alias("rainfall_delta"),
-                F.lit(float(s)).alias("soil_moisture_delta"),
-            )
-            for name, (t, r, s) in scenarios.items()
-        ]
-    )
+    """Every row once per scenario, with its name and five deltas. The short list is a literal array.
+
+    A scenario gives its changes in the order of ``serving.DELTAS``: degrees, then percent of rain, soil
+    moisture, evaporation and runoff; those it leaves out at the end are 0.
+    """
+    for name, changes in scenarios.items():
+        if len(changes) > len(V.DELTAS):
+            raise ValueError(f"scenario {name} has {len(changes)} changes, at most {len(V.DELTAS)} are known")
+
+    def entry(name: str, changes: Sequence[float]) -> Column:
+        padded = [*changes, *[0.0] * (len(V.DELTAS) - len(changes))]
+        return F.struct(F.lit(name).alias("scenario"), *[F.lit(float(c)).alias(d) for d, c in zip(V.DELTAS, padded, strict=True)])
+
+    entries = F.array(*[entry(name, changes) for name, changes in scenarios.items()])
     return df.withColumn("__s", F.explode(entries)).select(*df.columns, "__s.*")
 
 
@@ -358,9 +360,7 @@ def compare_scenarios(scored: DataFrame, humidity: DataFrame, default_humidity:
         "heatwave_category", "heatwave_severity", "extreme_rainfall_category", "extreme_rainfall_severity",
         "overall_risk_score", "overall_risk_category", confidence.alias("confidence"),
     )
-    rows = materialize(
-        scored.select("district_id", "scenario", "soil_moisture_delta", state.alias("state")), "scenario-states"
-    )
+    rows = materialize(scored.select("district_id", "scenario", *V.DELTAS, state.alias("state")), "scenario-states")
     base = rows.filter(F.col("scenario") == "baseline").select("district_id", F.col("state").alias("baseline_state"))
     moist = humidity.select("district_id", F.col("average_humidity").alias("__humidity"))
     df = (
@@ -372,7 +372,7 @@ def compare_scenarios(scored: DataFrame, humidity: DataFrame, default_humidity:
     wet = F.col("baseline_humidity") * (F.lit(1.0) + F.col("soil_moisture_delta") / F.lit(100.0))
     df = df.withColumn("scenario_humidity", X.round_to(X.clip(wet, 0.0, 100.0), 2))
     return df.select(
-        "district_id", "scenario", "baseline_state", F.col("state").alias("scenario_state"),
+        "district_id", "scenario", *V.DELTAS, "baseline_state", F.col("state").alias("scenario_state"),
         "baseline_humidity", "scenario_humidity",
         X.level_change(F.col("baseline_state.overall_risk_category"), F.col("state.overall_risk_category")).alias("risk_change"),
         X.level_change(F.col("baseline_state.drought_category"), F.col("state.drought_category")).alias("drought_change"),

@@ -27,6 +27,7 @@ from skyledger.operators import rankings as RK
 from skyledger.operators import rules as R
 from skyledger.operators import scenario as S
 from skyledger.operators import serving as V
+from skyledger.operators import simulation as SM
 from skyledger.operators.geo import nearest_place
 from skyledger.operators.panel import absolute_risk_labels
 from skyledger.plans import sql as q
@@ -983,6 +984,20 @@ register(
     q.query(("sc",), f"SELECT district_id, scenario, {q.rs(CHAIN_OUT)}, {', '.join(CHAIN_TEXT.split())} FROM sc"),
 )(lambda t: out(_chained(t), ["district_id", "scenario", *CHAIN_OUT.split(), *CHAIN_TEXT.split()]))
 
+register(
+    "scenario_water",
+    q.query(
+        ("sw",),
+        f"SELECT district_id, scenario, {q.rs(CHAIN_OUT)}, {q.r(q.EVAP, 4, 'evaporation_mm')}, {q.r('sro * 1000.0::DOUBLE', 4, 'runoff_mm')}, {', '.join(CHAIN_TEXT.split())} FROM sw",
+    ),
+)(
+    lambda t: out(
+        S.hotspot(S.chain(_state(t, K.WATER_SCENARIOS), local=False)),
+        ["district_id", "scenario", *CHAIN_OUT.split(), (F.abs("evabs") * F.lit(30000.0)).alias("evaporation_mm"),
+         (F.col("sro") * F.lit(1000.0)).alias("runoff_mm"), *CHAIN_TEXT.split()],
+    )
+)
+
 WSI = (
     "round(greatest(least(0.3::DOUBLE * (1.0::DOUBLE - " + q.clip("soil_moisture / 0.4::DOUBLE", "0.0::DOUBLE", "1.0::DOUBLE")
     + ") + 0.3::DOUBLE * (1.0::DOUBLE - " + q.clip("rainfall_mm / (rain_climo_mean + 1e-6)", "0.0::DOUBLE", "1.0::DOUBLE")
@@ -1261,6 +1276,61 @@ register(
          F.col("baseline_state.rainfall").alias("baseline_rainfall")],
     )
 )
+SIDE = (
+    "temperature_c temperature rainfall_mm rainfall drought_severity_score drought_score heatwave_severity heatwave_severity "
+    "extreme_rainfall_severity extreme_rainfall_severity overall_risk_score overall_risk_score"
+).split()
+SIDE_TEXT = "drought_category heatwave_category extreme_rainfall_category overall_risk_category".split()
+
+
+def _side(alias: str, side: str) -> str:
+    numbers = [q.r(f"{alias}.{c}", 4, f"{side}_{n}") for c, n in zip(SIDE[::2], SIDE[1::2], strict=True)]
+    return ", ".join(numbers + [f"{alias}.{c} AS {side}_{c}" for c in SIDE_TEXT])
+
+
+def _stored(run: str, cte: str) -> str:
+    return f"SELECT '{run}' AS run, * FROM (SELECT district_id, scenario, {', '.join(_STORED)} FROM {cte})"
+
+
+_STORED = [*SIDE[::2], *SIDE_TEXT, "drought_confidence", "heatwave_confidence", "extreme_rainfall_confidence", "sd"]
+q.cte("stored_runs", ("sc", "sw"), f"{_stored('2001-06', 'sc')} UNION ALL {_stored('2001-07', 'sw')}")
+
+
+@register(
+    "simulation_records",
+    q.query(
+        ("stored_runs", "obs"),
+        f"""SELECT s.run, s.district_id, s.scenario, {_side("b", "baseline")}, {_side("s", "scenario")},
+        {q.r("coalesce(h, 60.0)", 4, "baseline_humidity")}, {q.r("round(coalesce(h, 60.0) * (1.0::DOUBLE + s.sd / 100.0::DOUBLE), 2)", 4, "projected_humidity")},
+        CAST(coalesce(n, 0) AS BIGINT) AS observation_count, s.drought_category AS drought_impact, s.extreme_rainfall_category AS flood_impact,
+        {_change("overall_risk_category", "risk_change")}, {_change("drought_category", "drought_change")}
+        FROM (SELECT * FROM stored_runs WHERE scenario <> 'baseline') s JOIN (SELECT * FROM stored_runs WHERE scenario = 'baseline') b USING (run, district_id)
+        LEFT JOIN (SELECT district_id, count(*) AS n, {q.mean2("humidity", "h")} FROM obs GROUP BY 1) USING (district_id)""",
+    ),
+)
+def simulation_records(t: Tables) -> DataFrame:
+    """Two runs stored as nested records, the first of them twice, and read back from their JSON text."""
+    seen = A.district_comparison(t.observations, t.districts)
+    humidity = seen.where("observation_count > 0")
+    runs = {"2001-06": _chained(t), "2001-07": S.chain(_state(t, K.WATER_SCENARIOS), local=False)}
+    path = scratch_path(t.spark, "simulations")
+    for run in ("2001-06", "2001-07", "2001-06"):
+        SM.store_simulations(SM.simulation_records(S.compare_scenarios(runs[run], humidity), seen), path, run)
+    stored = SM.read_simulations(t.spark, path)
+    read = SM.with_json(stored).withColumn("r", F.from_json("result_json", stored.schema["result"].dataType))
+
+    def side(name: str) -> list[Column]:
+        return [F.col(f"r.{name}_state.{c}").alias(f"{name}_{c}") for c in [*SIDE[1::2], *SIDE_TEXT]]
+
+    return out(
+        read,
+        ["run", "district_id", "scenario", *side("baseline"), *side("scenario"),
+         F.col("r.baseline.humidity").alias("baseline_humidity"), F.col("r.projections.humidity").alias("projected_humidity"),
+         "r.baseline.observation_count", F.col("r.impacts.drought_risk").alias("drought_impact"),
+         F.col("r.impacts.flood_risk").alias("flood_impact"), "r.risk_change", "r.drought_change"],
+    )
+
+
 register("state_record")(lambda t: S.state_record(_chained(t)))
 
 q.cte(

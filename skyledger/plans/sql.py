@@ -512,10 +512,11 @@ RECORD = """SELECT city, year, month, temperature_c, rainfall_mm, soil_moisture,
     rolling_sm_3m, rolling_sm_6m, """ + ", ".join(f"{c} AS rec_{c}" for c in CARRIED) + " FROM carried"
 
 
-def state_ctes(prefix: str, requests: str, needs: tuple[str, ...], local: bool) -> str:
+def state_ctes(prefix: str, requests: str, needs: tuple[str, ...], local: bool, water: bool = False) -> str:
     """Chain of expressions from requests to evaluated rows; returns the last name.
 
-    ``requests`` gives rid, district columns, city, climate_zone, latitude, longitude, year, month, scenario, td, rd, sd.
+    ``requests`` gives rid, district columns, city, climate_zone, latitude, longitude, year, month, scenario, td, rd, sd,
+    and with ``water`` also ed and fd, the changes of evaporation and runoff.
     """
     p = prefix
     cte(f"{p}_r", (*needs, "carried"), history_match(requests, RECORD))
@@ -552,12 +553,16 @@ def state_ctes(prefix: str, requests: str, needs: tuple[str, ...], local: bool)
     ls = "sin(latitude * longitude) * 0.04::DOUBLE"
     if not local:
         lt = lr = ls = "0.0::DOUBLE"
+    flows = "greatest(sro, 0.0::DOUBLE) AS sro"
+    if water:
+        flows = """greatest(sro * (1.0::DOUBLE + fd / 100.0::DOUBLE), 0.0::DOUBLE) AS sro,
+        evabs * (1.0::DOUBLE + ed / 100.0::DOUBLE) AS evabs"""
     cte(
         f"{p}_l", (f"{p}_s",),
         f"""SELECT * REPLACE (temperature_c + td + ({lt}) AS temperature_c,
         greatest(greatest(rainfall_mm, 0.0::DOUBLE) * (1.0::DOUBLE + rd / 100.0::DOUBLE) + ({lr}), 0.0::DOUBLE) AS rainfall_mm,
         greatest(least(soil_moisture * (1.0::DOUBLE + sd / 100.0::DOUBLE) + ({ls}), 1.0::DOUBLE), 0.0::DOUBLE) AS soil_moisture,
-        greatest(sro, 0.0::DOUBLE) AS sro), greatest(rainfall_mm, 0.0::DOUBLE) AS model_rain FROM {p}_s""",
+        {flows}), greatest(rainfall_mm, 0.0::DOUBLE) AS model_rain FROM {p}_s""",
     )
     cte(
         f"{p}_f", (f"{p}_l",),
@@ -661,3 +666,14 @@ state_ctes(
     n.district_id * 10 + sid AS rid FROM near n CROSS JOIN {SCENARIO_VALUES}""",
     ("near",), False,
 )
+WATER_VALUES = (
+    "(VALUES ('baseline', 0.0, 0.0, 0.0, 0.0, 0.0, 0), ('evaporation_plus_20', 0.0, 0.0, 0.0, 20.0, 0.0, 1), "
+    "('runoff_plus_50', 0.0, 0.0, 0.0, 0.0, 50.0, 2), ('runoff_gone', 0.0, 0.0, 0.0, 0.0, -100.0, 3), "
+    "('hot_and_dry', 2.0, -20.0, -10.0, 15.0, -30.0, 4)) v(scenario, td, rd, sd, ed, fd, sid)"
+)
+state_ctes(
+    "sw",
+    f"""SELECT n.*, {BASE_YEAR} AS year, {RANK_MONTH} AS month, scenario, td::DOUBLE AS td, rd::DOUBLE AS rd, sd::DOUBLE AS sd,
+    ed::DOUBLE AS ed, fd::DOUBLE AS fd, n.district_id * 10 + sid AS rid FROM near n CROSS JOIN {WATER_VALUES}""",
+    ("near",), False, True,
+)

@@ -12,6 +12,7 @@ SAMPLE = [
     "monsoon_calendar", "rain_momentum", "district_summary", "period_trend_week", "top_driest", "gap_fill", "class_balance",
     "iqr_outliers", "payload_explode", "import_summary", "ingest_summary", "grid_nearest", "history_fallback",
     "resolve_source", "rank_movement", "stream_ingest", "stream_trend", "confident_errors",
+    "scenario_water", "simulation_records",
 ]
 
 
