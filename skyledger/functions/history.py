@@ -115,8 +115,13 @@ def percentile_labels(
     """
     score = col(score)
     fitted = score if until_year is None else F.when(F.col("year") <= until_year, score)
-    edges = F.percentile(fitted, list(cuts)).over(group(entity))
-    out = F.when(score.isNull(), F.lit(None))
+    return labels_between(score, F.percentile(fitted, list(cuts)).over(group(entity)), labels, closed)
+
+
+def labels_between(score: ColumnLike, edges: Column, labels: Sequence[str], closed: str) -> Column:
+    """Label by the array ``edges``, as :func:`percentile_labels`; null without a score or without edges."""
+    score = col(score)
+    out = F.when(score.isNull() | edges.isNull(), F.lit(None))
     for i, label in enumerate(labels[:-1]):
         edge = edges.getItem(i)
         out = out.when((score < edge) if closed == "left" else (score <= edge), F.lit(label))

@@ -189,23 +189,35 @@ def month_lookups(panel: DataFrame) -> dict[str, Column]:
     }
 
 
+def range_ends(df: DataFrame, parts: Mapping[str, Column], until_year: int | None = None) -> dict[str, Column]:
+    """Smallest and largest value of each part as literals ``<name>_min`` and ``<name>_max``."""
+    staged = df.withColumns({f"__{n}": c for n, c in parts.items()})
+    return global_stats(
+        staged,
+        {f"{n}_{end}": f(fit_rows(f"__{n}", until_year)) for n in parts for end, f in (("min", F.min), ("max", F.max))},
+    )
+
+
 def add_min_max(
-    df: DataFrame, parts: Mapping[str, Column], eps: float = 0.0, until_year: int | None = None
+    df: DataFrame,
+    parts: Mapping[str, Column],
+    eps: float = 0.0,
+    until_year: int | None = None,
+    ends: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Scale each part to [0, 1] by its range over the whole frame.
 
     With ``eps`` the range is widened; without, a constant part becomes 0. With ``until_year`` the range
-    is that of the rows up to the year, and later values beyond it count as its ends.
+    is that of the rows up to the year, and later values beyond it count as its ends; so do values beyond ``ends``, a range
+    fitted before.
     """
     staged = df.withColumns({f"__{n}": c for n, c in parts.items()})
-    ends = global_stats(
-        staged,
-        {f"{n}_{end}": f(fit_rows(f"__{n}", until_year)) for n in parts for end, f in (("min", F.min), ("max", F.max))},
-    )
+    limited = until_year is not None or ends is not None
+    ends = range_ends(df, parts, until_year) if ends is None else ends
 
     def scale(n: str) -> Column:
         value, low, high = F.col(f"__{n}"), ends[f"{n}_min"], ends[f"{n}_max"]
-        if until_year is not None:
+        if limited:
             value = F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
         if eps:
             return (value - low) / (high - low + F.lit(eps))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger import constants as K
@@ -18,6 +18,8 @@ from skyledger.session import materialize
 SCORE_WEIGHTS = (0.30, 0.25, 0.15, 0.15, 0.15)
 AVAILABILITY_WEIGHTS = (0.40, 0.40, 0.20)
 CATEGORY_CUTS = (0.30, 0.60, 0.85)
+REQUIRED = ["rainfall_mm", "soil_moisture", "temperature_c"]
+PLACE_NORMALS = ["rain", "rain_lag", "sm", "temp"]
 
 
 def water_balance(panel: DataFrame) -> DataFrame:
@@ -83,9 +85,11 @@ def soil_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     return df.drop(*zoned, *added)
 
 
-def temp_stress(panel: DataFrame, until_year: int | None = None) -> DataFrame:
-    """Heat against the local normal, and heat combined with missing rain."""
-    overall = B.global_stats(panel, {"rain": F.avg(B.fit_rows("rainfall_mm", until_year))})
+def temp_stress(
+    panel: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Heat against the local normal, and heat combined with missing rain; ``fitted`` may give the mean ``rain``."""
+    overall = fitted or B.global_stats(panel, {"rain": F.avg(B.fit_rows("rainfall_mm", until_year))})
     df, added = B.ensure(H.by_entity(panel), B.place_normals(["temp"], until_year))
     df = df.withColumn("temperature_anomaly", F.col("temperature_c") - F.col("__temp_mean"))
     rain = X.clip(X.ratio("rainfall_mm", overall["rain"]), 0.0, 2.0)
@@ -131,15 +135,7 @@ def evolution(df: DataFrame) -> DataFrame:
 def zone_drought(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     """Shortfall against the zone's normal, and the zone's aridity."""
     df, added = B.ensure_group_stats(panel, ["climate_zone", "month"], B.zone_normals(["rain", "sm"], until_year))
-    df = df.join(
-        B.group_stats(
-            panel,
-            ["climate_zone"],
-            {"zone_aridity_index": B.zone_aridity(until_year)},
-        ),
-        "climate_zone",
-        "left",
-    )
+    df, _ = B.ensure_group_stats(df, ["climate_zone"], {"zone_aridity_index": B.zone_aridity(until_year)})
     df = df.withColumns(
         {
             "zone_rain_deficit": F.col("rainfall_mm") - F.col("__zone_rain_mean"),
@@ -154,14 +150,27 @@ def zone_drought(panel: DataFrame, until_year: int | None = None) -> DataFrame:
     ).drop(*added)
 
 
-def water_stress(df: DataFrame, until_year: int | None = None) -> DataFrame:
-    """Water availability and the stresses derived from it; needs soil, deficit and temperature bundles."""
-    df = B.add_min_max(
-        df,
-        {"__n_sm": F.col("soil_moisture"), "__n_rain": F.col("rainfall_mm"), "__n_sro": F.col("sro")},
-        eps=K.EPS,
-        until_year=until_year,
-    )
+def supply_parts() -> dict[str, Column]:
+    """What :func:`water_stress` scales."""
+    return {"__n_sm": F.col("soil_moisture"), "__n_rain": F.col("rainfall_mm"), "__n_sro": F.col("sro")}
+
+
+def score_parts() -> dict[str, Column]:
+    """The signals that :func:`drought_score` scales, in the order of their weights."""
+    return {
+        "__rain": -F.col("rainfall_spi"), "__soil": -F.col("sm_zscore"), "__heat": F.col("temperature_zscore"),
+        "__evap": F.col("evaporation_stress"), "__water": F.col("hydrological_stress"),
+    }
+
+
+def water_stress(
+    df: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Water availability and the stresses derived from it; needs soil, deficit and temperature bundles.
+
+    ``fitted`` may give the ends of :func:`supply_parts`.
+    """
+    df = B.add_min_max(df, supply_parts(), eps=K.EPS, until_year=until_year, ends=fitted)
     df = df.withColumn(
         "water_availability_index", X.weighted(zip(AVAILABILITY_WEIGHTS, ("__n_sm", "__n_rain", "__n_sro")))
     ).drop("__n_sm", "__n_rain", "__n_sro")
@@ -177,14 +186,12 @@ def water_stress(df: DataFrame, until_year: int | None = None) -> DataFrame:
     )
 
 
-def drought_score(df: DataFrame, until_year: int | None = None) -> DataFrame:
-    """Severity in [0, 1] from five scaled signals; needs :func:`water_stress`."""
-    names = ("__rain", "__soil", "__heat", "__evap", "__water")
-    signals = (
-        -F.col("rainfall_spi"), -F.col("sm_zscore"), F.col("temperature_zscore"),
-        F.col("evaporation_stress"), F.col("hydrological_stress"),
-    )
-    scaled = B.add_min_max(df, dict(zip(names, signals)), eps=K.EPS, until_year=until_year)
+def drought_score(
+    df: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Severity in [0, 1] from five scaled signals; needs :func:`water_stress`. ``fitted`` may give their ends."""
+    names = list(score_parts())
+    scaled = B.add_min_max(df, score_parts(), eps=K.EPS, until_year=until_year, ends=fitted)
     return scaled.withColumn("drought_severity_score", X.weighted(zip(SCORE_WEIGHTS, names))).drop(*names)
 
 
@@ -197,21 +204,30 @@ def drought_category(df: DataFrame, until_year: int | None = None) -> DataFrame:
     return labelled.withColumn("drought_category_ordinal", X.encode("drought_category", K.RISK_ORDINAL))
 
 
-def drought_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
-    """All drought columns, the score and the category.
+def drought_signals(
+    panel: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """All drought columns before the score, stored, because the score needs their ranges first.
 
-    The features are stored before scoring, because the score needs the range
-    of each signal over the whole frame first. With ``until_year`` everything that is fitted, from
-    normals to category edges, comes from the years up to it.
+    Normals that the panel carries under their helper names are used as they are; ``fitted`` may give the
+    mean ``rain`` and the ends of :func:`supply_parts`.
     """
-    df = complete_rows(panel, ["rainfall_mm", "soil_moisture", "temperature_c"])
+    df = complete_rows(panel, REQUIRED)
     # All normals first: one stage of month windows, one small zone table.
-    df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], B.zone_normals(["rain", "sm"], until_year))
-    df, added = B.ensure(H.by_entity(df), B.place_normals(["rain", "rain_lag", "sm", "temp"], until_year))
-    df = temp_stress(zone_drought(water_balance(df), until_year), until_year)
+    zone, place = B.zone_normals(["rain", "sm"], until_year), B.place_normals(PLACE_NORMALS, until_year)
+    df, _ = B.ensure_group_stats(df, ["climate_zone", "month"], zone)
+    df, _ = B.ensure(H.by_entity(df), place)
+    df = temp_stress(zone_drought(water_balance(df), until_year), until_year, fitted)
     df = evolution(persistence(soil_features(rain_deficit(df, until_year), until_year)))
-    df = materialize(water_stress(df, until_year).drop(*zoned, *added), "drought-features")
-    return drought_category(drought_score(df, until_year), until_year)
+    return materialize(water_stress(df, until_year, fitted).drop(*zone, *place, "__sm_p25"), "drought-features")
+
+
+def drought_features(panel: DataFrame, until_year: int | None = None) -> DataFrame:
+    """All drought columns, the score and the category.
+
+    With ``until_year`` everything that is fitted, from normals to category edges, comes from the years up to it.
+    """
+    return drought_category(drought_score(drought_signals(panel, until_year), until_year), until_year)
 
 
 def drought_dataset(

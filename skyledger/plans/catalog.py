@@ -20,6 +20,7 @@ from skyledger.operators import baselines as B
 from skyledger.operators import cleaning as C
 from skyledger.operators import drought as DR
 from skyledger.operators import extreme as EX
+from skyledger.operators import fitted as FT
 from skyledger.operators import lookup as L
 from skyledger.operators import quality as Q
 from skyledger.operators import rainfall as RF
@@ -197,6 +198,22 @@ features(
     "drought_category", "dr_cat", "drought_severity_score", DR.drought_features, "drought_category_ordinal",
     "drought_category",
 )
+
+
+FITTED = (
+    "rainfall_deficit rainfall_spi sm_zscore temperature_zscore zone_rain_zscore zone_aridity_index evaporation_stress "
+    "hydrological_stress drought_severity_score"
+)
+
+
+def _fitted_drought(panel: DataFrame) -> DataFrame:
+    """Baselines of the earlier years stored, read back and applied to all years."""
+    path = scratch_path(panel.sparkSession, "drought-fit")
+    FT.fit_drought(panel, path, q.FIT_UNTIL)
+    return FT.apply_drought(panel, path)
+
+
+features("fitted_drought", "fit3", FITTED, _fitted_drought, texts="drought_category")
 features(
     "climatology", "climo",
     "temp_climo_mean temp_climo_std rain_climo_mean rain_climo_std sm_climo_mean sm_climo_std zone_temp_mean zone_temp_std "

@@ -306,6 +306,60 @@ cte(
       quantile_cont(drought_severity_score, 0.85) OVER (PARTITION BY city) AS p85 FROM dr_score))""",
 )
 
+# Drought by baselines of the years up to FIT_UNTIL.
+FIT_UNTIL = 1999
+
+
+def between(x: str, name: str) -> str:
+    """Scaled by fitted ends; values beyond them count as the ends. Null stays null."""
+    return (
+        f"CASE WHEN {x} IS NOT NULL THEN (least(greatest({x}, {name}_lo), {name}_hi) - {name}_lo) / ({name}_hi - {name}_lo + 1e-6) END"
+    )
+
+
+def ends(parts: dict[str, str]) -> str:
+    return ", ".join(f"min({x}) AS {n}_lo, max({x}) AS {n}_hi" for n, x in parts.items())
+
+
+FIT_SUPPLY = {"fsm": "soil_moisture", "fr": "rainfall_mm", "fq": "sro"}
+FIT_SIGNALS = {
+    "gr": "-rainfall_spi", "gs": "-sm_zscore", "gt": "temperature_zscore", "ge": "evaporation_stress", "gw": "hydrological_stress",
+}
+cte("early", ("master",), f"SELECT * FROM master WHERE year <= {FIT_UNTIL}")
+cte(
+    "fit0", ("master", "early"),
+    f"""SELECT m.*, {EVAP} AS evap, f.* EXCLUDE (city, month), z.* EXCLUDE (climate_zone, month), a.zone_aridity_index, o.*
+    FROM master m LEFT JOIN (SELECT city, month, avg(rainfall_mm) AS rain_mean, stddev_samp(rainfall_mm) AS rain_std, avg(soil_moisture) AS sm_mean,
+      stddev_samp(soil_moisture) AS sm_std, avg(temperature_c) AS t_mean, stddev_samp(temperature_c) AS t_std FROM early GROUP BY 1, 2) f USING (city, month)
+    LEFT JOIN (SELECT climate_zone, month, avg(rainfall_mm) AS z_rain, stddev_samp(rainfall_mm) AS z_rain_std FROM early GROUP BY 1, 2) z USING (climate_zone, month)
+    LEFT JOIN (SELECT climate_zone, {clip("avg(rainfall_mm) / (avg(abs(evabs)) * 30000.0::DOUBLE + 1.0::DOUBLE)", "0.0::DOUBLE", "20.0::DOUBLE")} AS zone_aridity_index
+      FROM early GROUP BY 1) a USING (climate_zone) CROSS JOIN (SELECT {ends(FIT_SUPPLY)} FROM early) o""",
+)
+cte(
+    "fit1", ("fit0",),
+    f"""SELECT *, rainfall_mm - rain_mean AS rainfall_deficit,
+    CASE WHEN rain_mean IS NOT NULL THEN {clip("(rainfall_mm - rain_mean) / (coalesce(rain_std, 1.0) + 1e-6)", "-4.0::DOUBLE", "4.0::DOUBLE")} END AS rainfall_spi,
+    CASE WHEN sm_mean IS NOT NULL THEN {clip("(soil_moisture - sm_mean) / (coalesce(sm_std, 0.01) + 1e-6)", "-4.0::DOUBLE", "4.0::DOUBLE")} END AS sm_zscore,
+    CASE WHEN t_mean IS NOT NULL THEN {clip("(temperature_c - t_mean) / (coalesce(t_std, 1.0) + 1e-6)", "-4.0::DOUBLE", "4.0::DOUBLE")} END AS temperature_zscore,
+    CASE WHEN z_rain IS NOT NULL THEN {clip("(rainfall_mm - z_rain) / (coalesce(z_rain_std, 1.0) + 1e-6)", "-4.0::DOUBLE", "4.0::DOUBLE")} END AS zone_rain_zscore,
+    {clip("evap / (rainfall_mm + soil_moisture * 100.0::DOUBLE + 1.0::DOUBLE)", "0.0::DOUBLE", "20.0::DOUBLE")} AS evaporation_stress,
+    1.0::DOUBLE - (0.4::DOUBLE * ({between("soil_moisture", "fsm")}) + 0.4::DOUBLE * ({between("rainfall_mm", "fr")}) + 0.2::DOUBLE * ({between("sro", "fq")})) AS hydrological_stress
+    FROM fit0""",
+)
+cte(
+    "fit2", ("fit1",),
+    "SELECT *, " + " + ".join(f"{w}::DOUBLE * ({between(x, n)})" for w, (n, x) in zip((0.3, 0.25, 0.15, 0.15, 0.15), FIT_SIGNALS.items(), strict=True))
+    + f" AS drought_severity_score FROM fit1 CROSS JOIN (SELECT {ends(FIT_SIGNALS)} FROM fit1 WHERE year <= {FIT_UNTIL})",
+)
+cte(
+    "fit3", ("fit2",),
+    f"""SELECT *, CASE WHEN drought_severity_score < p30 THEN 'Low' WHEN drought_severity_score < p60 THEN 'Medium'
+    WHEN drought_severity_score < p85 THEN 'High' WHEN drought_severity_score IS NOT NULL AND p85 IS NOT NULL THEN 'Extreme' END AS drought_category
+    FROM fit2 LEFT JOIN (SELECT city, quantile_cont(drought_severity_score, 0.3) AS p30, quantile_cont(drought_severity_score, 0.6) AS p60,
+      quantile_cont(drought_severity_score, 0.85) AS p85 FROM fit2 WHERE year <= {FIT_UNTIL} GROUP BY 1) USING (city)""",
+)
+
+
 # Heat and extreme-rain bundles.
 def zero_std(x: str, value: str) -> str:
     return f"CASE WHEN {x} = 0 THEN {value}::DOUBLE ELSE {x} END"

@@ -13,6 +13,7 @@ from skyledger.operators import extreme as EX
 from skyledger.operators import quality as Q
 from skyledger.operators import rainfall as RF
 from skyledger.operators.carry import carried_history
+from skyledger.operators.fitted import apply_drought, fit_drought
 from skyledger.operators.panel import base_panel
 
 UNTIL = 1999
@@ -100,3 +101,26 @@ def test_work_grows_with_columns_and_not_with_pairs(spark, monkeypatch):
     Q.spearman(df, columns[:4]).collect()
     Q.spearman(df, columns[:20]).collect()
     assert seen == [4, 20]
+
+
+def test_stored_baselines_equal_a_fit_in_place(panel, tmp_path):
+    path = str(tmp_path / "fit")
+    fit_drought(panel, path, UNTIL)
+    # A panel that lacks the later rows gives the same fit; a second fit replaces the first.
+    fit_drought(panel.filter(F.col("year") <= UNTIL), path)
+    keys = ["city", "year", "month"]
+    got = apply_drought(panel, path).toPandas().sort_values(keys).reset_index(drop=True)
+    want = DR.drought_features(panel, UNTIL).toPandas().sort_values(keys).reset_index(drop=True)
+    assert len(got) and set(got.columns) == set(want.columns)
+    pd.testing.assert_frame_equal(got, want, check_like=True, check_exact=False, rtol=1e-9, atol=1e-9)
+
+
+def test_unseen_places_get_no_score(panel, tmp_path):
+    path = str(tmp_path / "fit")
+    some = panel.select("city").distinct().orderBy("city").limit(3).toPandas()["city"].tolist()
+    fit_drought(panel.filter(F.col("city").isin(some[:2])), path)
+    got = {r.city: r for r in apply_drought(panel.filter(F.col("city").isin(some)), path).groupBy("city").agg(
+        F.count("drought_severity_score").alias("scores"), F.count("drought_category").alias("labels"), F.count("*").alias("rows")).collect()}
+    assert got[some[2]].scores == got[some[2]].labels == 0 < got[some[2]].rows
+    assert all(got[c].scores == got[c].labels == got[c].rows for c in some[:2])
+    assert apply_drought(panel.limit(0), path).count() == 0
