@@ -19,7 +19,7 @@ from skyledger.session import materialize, scratch_path
 SEED = 9
 BUCKET_BYTES = 16 << 20  # text bytes in a bucket
 LEAST_BUCKETS = 4  # buckets per shard, at least
-HOT_ROWS = 50_000  # rows of one key above which the key is spread over buckets
+MOST_BUCKETS = 1 << 20  # buckets in all, at most; beyond, they grow with the corpus
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -42,7 +42,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
     The table has the columns ``row`` (all input columns), ``shard``, ``bucket`` and
     ``place``, the row's place in its shuffled bucket; it is stored by shard. Rows with
     equal doc_id are in one shard; a null doc_id is a key too. The text decides nothing: equal texts
-    with different ids may lie in different shards. Ties inside a bucket are ordered by size and
+    with different ids may lie in different shards. A doc_id whose rows hold more than ``bucket_bytes`` is spread over the
+    buckets of its shard, whatever the number of its rows; a single text beyond that is a bucket's own size. Ties inside a bucket are ordered by size and
     checksum before shuffling, and rows equal in those by their order of arrival, which may differ between
     runs even where their other columns differ. An empty table gives an empty one.
     """
@@ -54,9 +55,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
         F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("crc"),
     )
     total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1)).first()[0] or 0
+    bucket_bytes = max(bucket_bytes, -(-total // MOST_BUCKETS))
     parts = max(LEAST_BUCKETS, -(-total // (shards * bucket_bytes)))
-    # At most rows / HOT_ROWS keys.
-    hot = materialize(docs.groupBy(F.col("doc_id").cast("bigint").alias("hot_key")).count().where(F.col("count") > HOT_ROWS), "hot-keys")
+    # Keys with more bytes than a bucket are spread; at most MOST_BUCKETS keys can have them, which bounds the broadcast.
+    hot = materialize(rows.groupBy(F.col("key").alias("hot_key")).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes), "hot-keys")
     rows = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(hot.select("hot_key", F.lit(1).alias("hot"))), F.col("key").eqNullSafe(F.col("hot_key")), "left")
     salt = F.when(F.col("hot").isNotNull(), F.col("at"))
     bucket = (shard_of(F.col("key"), shards, seed) * F.lit(parts) + F.pmod(F.xxhash64(F.lit(seed + 1), "key", salt), F.lit(parts))).cast("long")
@@ -71,6 +73,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
         return pa.table([mixed.column("row"), mixed.column("size"), mixed.column("crc"), pa.array(np.full(n, bucket // parts), pa.int32()), mixed.column("bucket"), pa.array(np.arange(n), pa.int64())], names=["row", "size", "crc", "shard", "bucket", "place"])
 
     schema = StructType([scattered.schema["row"], StructField("size", LongType()), StructField("crc", LongType()), StructField("shard", IntegerType()), StructField("bucket", LongType()), StructField("place", LongType())])
+    # A bucket is a partition of its own, so no task holds two.
+    scattered = scattered.repartitionById(shards * parts, F.col("bucket").cast("int"))
     scattered.groupBy("bucket").applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -297,11 +297,15 @@ def test_shards_hold_every_row_once_and_grow_into_the_new_one(spark):
     assert order != sorted(order)
 
 
-def test_shards_of_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "HOT_ROWS", 50)  # one key with many rows is spread over buckets
-    rows = [(None, None), (None, "x"), (3, ""), (3, ""), (4, "y" * 100_000)] + [(8, "copy")] * 200
-    got = sharding.shard_corpus(spark, frame(spark, rows), 4)
+def test_shards_of_odd_rows(spark, tmp_path):
+    # A key with more bytes than a bucket is spread over buckets, be it many short rows or a few long ones.
+    rows = [(None, None), (None, "x"), (3, ""), (3, ""), (4, "y" * 10_000), (5, "z" * 800), (5, "w" * 800), (5, "v" * 800)] + [(8, "copy")] * 200
+    written = sharding.write_shards(frame(spark, rows), str(tmp_path / "few"), 4, bucket_bytes=900)
+    got = sharding.shard_slots(written)
+    files = written.withColumn("file", F.input_file_name()).groupBy("file").agg(F.count_distinct("bucket").alias("n")).collect()
+    assert files and all(r.n == 1 for r in files)  # a task holds one bucket
     out = got.collect()
+    assert len({r.bucket for r in out if r["row"].doc_id == 5}) > 1 and len({r.shard for r in out if r["row"].doc_id == 5}) == 1
     assert Counter(r["row"].doc_id for r in out) == Counter(i for i, _ in rows)
     assert len({(r.shard, r.slot) for r in out}) == len(rows)
     assert len({r.shard for r in out if r["row"].doc_id == 8}) == 1
