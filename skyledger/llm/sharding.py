@@ -61,7 +61,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
     hot = materialize(rows.groupBy(F.col("key").alias("hot_key")).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes), "hot-keys")
     rows = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(hot.select("hot_key", F.lit(1).alias("hot"))), F.col("key").eqNullSafe(F.col("hot_key")), "left")
     salt = F.when(F.col("hot").isNotNull(), F.col("at"))
-    bucket = (shard_of(F.col("key"), shards, seed) * F.lit(parts) + F.pmod(F.xxhash64(F.lit(seed + 1), "key", salt), F.lit(parts))).cast("long")
+    bucket = (shard_of(F.col("key"), shards, seed) * F.lit(parts) + F.pmod(F.xxhash64(F.lit(seed + 1), "key", salt), F.lit(parts))).cast("int")
     scattered = rows.select("row", "key", "size", "crc", bucket.alias("bucket"))
 
     def shuffle(group: pa.Table) -> pa.Table:
@@ -72,9 +72,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
         n = len(order)
         return pa.table([mixed.column("row"), mixed.column("size"), mixed.column("crc"), pa.array(np.full(n, bucket // parts), pa.int32()), mixed.column("bucket"), pa.array(np.arange(n), pa.int64())], names=["row", "size", "crc", "shard", "bucket", "place"])
 
-    schema = StructType([scattered.schema["row"], StructField("size", LongType()), StructField("crc", LongType()), StructField("shard", IntegerType()), StructField("bucket", LongType()), StructField("place", LongType())])
-    # A bucket is a partition of its own, so no task holds two.
-    scattered = scattered.repartitionById(shards * parts, F.col("bucket").cast("int"))
+    schema = StructType([scattered.schema["row"], StructField("size", LongType()), StructField("crc", LongType()), StructField("shard", IntegerType()), StructField("bucket", IntegerType()), StructField("place", LongType())])
+    # A bucket is a partition of its own, so no task holds two; grouping by the same column needs no second exchange.
+    scattered = scattered.repartitionById(shards * parts, F.col("bucket"))
     scattered.groupBy("bucket").applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
