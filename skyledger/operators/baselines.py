@@ -119,8 +119,9 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, C
 def place_month_climatology(panel: DataFrame) -> DataFrame:
     """City by month table of means and deviations; a zero deviation is replaced.
 
-    ``lag1_climatology`` is the mean of the rain one month before.
+    ``lag1_climatology`` is the mean of the rain one month before, for a panel that has it.
     """
+    before = [F.avg("rainfall_prev_1").alias("lag1_climatology")] if "rainfall_prev_1" in panel.columns else []
     return panel.groupBy("city", "month").agg(
         F.avg("temperature_c").alias("temp_climo_mean"),
         std_or(F.stddev_samp("temperature_c"), zero=ZERO_STD["temperature_c"]).alias("temp_climo_std"),
@@ -128,7 +129,7 @@ def place_month_climatology(panel: DataFrame) -> DataFrame:
         std_or(F.stddev_samp("rainfall_mm"), zero=ZERO_STD["rainfall_mm"]).alias("rain_climo_std"),
         F.avg("soil_moisture").alias("sm_climo_mean"),
         std_or(F.stddev_samp("soil_moisture"), zero=ZERO_STD["soil_moisture"]).alias("sm_climo_std"),
-        F.avg("rainfall_prev_1").alias("lag1_climatology"),
+        *before,
     )
 
 
