@@ -1,11 +1,14 @@
 """Benchmark passages inside documents, found by winnowing.
 
 Of every window of six consecutive 5-word grams the smallest hash is a
-fingerprint, on both sides. Ten equal words are one such window, so they share a
-fingerprint at the same place: no shared span of ten words can be missed. The
-documents' fingerprints pass a bit map of the benchmark's fingerprints, whose size
-is fixed whatever the benchmark holds, and the rest are joined with them. A hit is
-extended over five words to each side, which covers every window around it.
+fingerprint, on both sides. Ten equal words are one such window, so they choose the
+same fingerprint at the same place: no shared span of ten words can be missed. The
+documents' fingerprints pass a bit map of the benchmark's fingerprints. One that is
+shared is extended to the ten-word windows that chose it; these pass a second map, and
+the join takes the fingerprint with the words on both sides of it as its key. A phrase
+of five to nine words that stands in many documents and many items thus joins nothing.
+The benchmark's side has one row per distinct window; its items are looked up afterwards.
+The size of both maps is fixed whatever the benchmark holds.
 """
 
 from __future__ import annotations
@@ -21,9 +24,8 @@ from skyledger.session import materialize
 
 WINDOW = 10  # words that make a shared span
 GRAM = 5  # words in a fingerprint
-REACH = WINDOW - GRAM  # words looked at on each side of a fingerprint
 
-# Bits of the map of benchmark fingerprints: 2 MB, proven bound of the broadcast.
+# Bits of each of the two maps of the benchmark: 2 MB, so the broadcast never exceeds 4 MB.
 MAP_BITS = 1 << 24
 
 # Bytes that belong to words, after lower-casing: digits, a-z and all of 0x80 and above.
@@ -35,22 +37,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_KEEP).split()
 
 
-def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the winnowed grams of a text with at least WINDOW words."""
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """Per ten-word window of a text the hash of its fingerprint, the smallest of its grams."""
     grams = gram_hashes(hashes, GRAM)
     width = WINDOW - GRAM + 1
     n = len(grams) - width + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     least = grams[:n].copy()
     for k in range(1, width):
         np.minimum(least, grams[k : k + n], out=least)
-    # The last smallest gram of each window.
-    place = np.zeros(n, np.int64)
-    for k in range(width):
-        np.copyto(place, k, where=grams[k : k + n] == least)
-    picked = np.unique(place + np.arange(n))
-    return picked, grams[picked]
+    return least
 
 
 def short_hash(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -60,28 +57,22 @@ def short_hash(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _test_rows(batch: pa.RecordBatch) -> dict:
-    """Fingerprints of the items with the words around them."""
+    """Windows of the items with their fingerprint (for an item of fewer words, the hash of all)."""
     cache = WordHashes()
-    out = {"size": [], "hash": [], "left": [], "gram": [], "right": [], "digest": []}
+    out = {"size": [], "hash": [], "whole": [], "words": [], "digest": []}
     for text in batch.column("text").to_pylist():
         words = words_of(text)
         if not words:
             continue
         hashes = cache.of(words)
-        digest = xxhash.xxh3_128_digest(b" ".join(words))
-        if len(words) < WINDOW:
-            found = [(0, len(words), int(signed(short_hash(hashes, len(words)))[0]))]
-        else:
-            places, values = fingerprints(hashes)
-            found = [(p, GRAM, h) for p, h in zip(places.tolist(), signed(values).tolist(), strict=True)]
-        for p, size, value in found:
-            whole = len(words) < WINDOW
-            out["size"].append(size if whole else WINDOW)
-            out["hash"].append(value)
-            out["left"].append(b"" if whole else b" ".join(words[max(0, p - REACH) : p]))
-            out["gram"].append(b" ".join(words[p : p + size]))
-            out["right"].append(b"" if whole else b" ".join(words[p + size : p + size + REACH]))
-            out["digest"].append(digest)
+        size = min(len(words), WINDOW)
+        whole = signed(short_hash(hashes, size))
+        chosen = signed(fingerprints(hashes)) if size == WINDOW else whole
+        out["size"] += [size] * len(whole)
+        out["hash"] += chosen.tolist()
+        out["whole"] += whole.tolist()
+        out["words"] += [b" ".join(words[p : p + size]) for p in range(len(whole))]
+        out["digest"] += [xxhash.xxh3_128_digest(b" ".join(words))] * len(whole)
     return out
 
 
@@ -103,13 +94,12 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def _common(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def _found(words: list[bytes], at: np.ndarray, size: int, values: np.ndarray) -> list[dict]:
+    """The runs of ``size`` words at the places ``at``, with their hashes."""
+    return [
+        {"at": p, "size": size, "hash": h, "words": b" ".join(words[p : p + size])}
+        for p, h in zip(at.tolist(), signed(values[at]).tolist(), strict=True)
+    ]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
@@ -128,15 +118,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, map_bits: int = MAP_BIT
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
     tests = materialize(
-        map_rows(items.select("text").distinct(), _test_rows, "size int, hash bigint, left binary, gram binary, right binary, digest binary").distinct(),
-        "benchmark-prints",
+        map_rows(items.select("text").distinct(), _test_rows, "size int, hash bigint, whole bigint, words binary, digest binary").distinct(),
+        "benchmark-windows",
     )
     sizes = sorted(r.size for r in tests.select("size").distinct().collect())  # at most WINDOW values
     short = [s for s in sizes if s < WINDOW]
-    held = spark.sparkContext.broadcast(bit_map(tests, map_bits))
+    held = spark.sparkContext.broadcast((bit_map(tests, map_bits), bit_map(tests.select(F.col("whole").alias("hash")), map_bits)))
 
     def scan(batch: pa.RecordBatch) -> dict:
-        cache, bits = scan_cache, held.value
+        cache, (prints, wholes) = scan_cache, held.value
         out: dict[str, list] = {"doc": batch.column("doc").to_pylist(), "print": [], "n_words": [], "found": []}
         for text in batch.column("text").to_pylist():
             words = words_of(text)
@@ -144,15 +134,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, map_bits: int = MAP_BIT
             if words:
                 hashes = cache.of(words)
                 if WINDOW in sizes:
-                    places, values = fingerprints(hashes)
-                    ok = _passes(bits, values)
-                    for p, h in zip(places[ok].tolist(), signed(values[ok]).tolist(), strict=True):
-                        found.append({"at": p, "size": WINDOW, "hash": h, "left": b" ".join(words[max(0, p - REACH) : p]), "gram": b" ".join(words[p : p + GRAM]), "right": b" ".join(words[p + GRAM : p + WINDOW])})
+                    chosen = fingerprints(hashes)
+                    at = np.flatnonzero(_passes(prints, chosen))
+                    if len(at):
+                        at = at[_passes(wholes, short_hash(hashes, WINDOW)[at])]
+                        found += _found(words, at, WINDOW, chosen)
                 for size in short:
                     values = short_hash(hashes, size)
-                    ok = np.flatnonzero(_passes(bits, values))
-                    for p, h in zip(ok.tolist(), signed(values[ok]).tolist(), strict=True):
-                        found.append({"at": p, "size": size, "hash": h, "left": b"", "gram": b" ".join(words[p : p + size]), "right": b""})
+                    found += _found(words, np.flatnonzero(_passes(wholes, values)), size, values)
             out["print"].append(xxhash.xxh3_128_digest(text))
             out["n_words"].append(len(words))
             out["found"].append(found)
@@ -162,38 +151,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, map_bits: int = MAP_BIT
     rows = docs.select(F.col("doc_id").alias("doc"), text_bytes().alias("text"))
     id_type = rows.schema["doc"].dataType.simpleString()
     scanned = materialize(
-        map_rows(rows, scan, f"doc {id_type}, print binary, n_words bigint, found array<struct<at:int,size:int,hash:bigint,left:binary,gram:binary,right:binary>>"),
+        map_rows(rows, scan, f"doc {id_type}, print binary, n_words bigint, found array<struct<at:int,size:int,hash:bigint,words:binary>>"),
         "document-prints",
     )
 
-    hits = (
-        scanned.where(F.size("found") > 0)
-        .select("doc", "print", F.explode("found").alias("f"))
-        .select("doc", "print", *[F.col(f"f.{c}").alias(f"d_{c}") for c in ("at", "size", "hash", "left", "gram", "right")])
+    # One row per distinct window, with a digest of the set of items that hold it: windows of one
+    # passage share the set, so its items are listed once per document and not once per window.
+    windows = materialize(
+        tests.groupBy("size", "hash", "words").agg(
+            F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")).alias("items")
+        ),
+        "benchmark-sets",
     )
-    matched = hits.join(
-        tests.withColumnsRenamed({c: f"t_{c}" for c in tests.columns}),
-        (F.col("d_hash") == F.col("t_hash")) & (F.col("d_gram") == F.col("t_gram")) & (F.col("d_size") == F.col("t_size")),
+    holders = (
+        windows.groupBy("items").agg(F.min(F.struct("size", "hash", "words")).alias("w")).select("items", "w.*")
+        .join(tests.select("size", "hash", "words", "digest"), ["size", "hash", "words"])
+        .select(F.col("items").alias("set"), "digest")
+    )
+    hits = scanned.where(F.size("found") > 0).select("doc", "print", F.explode("found").alias("f")).select("doc", "print", "f.*")
+    spans = materialize(
+        hits.join(windows, ["size", "hash", "words"]).select("doc", "print", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"), "items"),
+        "benchmark-hits",
     )
-
-    def extend(batch: pa.RecordBatch) -> dict:
-        cols = {c: batch.column(c).to_pylist() for c in ("d_at", "d_size", "d_left", "t_left", "d_right", "t_right")}
-        keep, starts, ends = [], [], []
-        for i, (at, size, dl, tl, dr, tr) in enumerate(zip(*cols.values(), strict=True)):
-            if size < WINDOW:
-                left, right, least = 0, size, size
-            else:
-                left = _common(dl.split()[::-1], tl.split()[::-1])
-                right = GRAM + _common(dr.split(), tr.split())
-                least = WINDOW
-            if left + right >= least:
-                keep.append(i)
-                starts.append(at - left)
-                ends.append(at + right)
-        at = pa.array(keep, pa.int64())
-        return {"doc": batch.column("doc").take(at), "print": batch.column("print").take(at), "digest": batch.column("t_digest").take(at), "start": starts, "end": ends}
-
-    spans = materialize(map_rows(matched, extend, f"doc {id_type}, print binary, digest binary, start int, end int"), "benchmark-hits")
     # Words covered by the union of the spans of a document, in order of their start.
     covered = (
         spans.groupBy("doc", "print", "start")
@@ -215,7 +194,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, map_bits: int = MAP_BIT
     )
     digests = map_rows(items, _item_digests, "item string, item_digest binary")
     named = (
-        spans.select("doc", "print", "digest").distinct()
+        spans.select("doc", "print", "items").distinct()
+        .join(holders, F.col("items") == F.col("set"))
+        .select("doc", "print", "digest").distinct()
         .join(digests, F.col("digest") == F.col("item_digest"))
         .groupBy("doc", "print")
         .agg(F.sort_array(F.collect_set("item")).alias("item_ids"))

@@ -10,11 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.llm import line_dedup, near_dup, queries, sharding
+from skyledger.llm import decontam, line_dedup, near_dup, queries, sharding
 from skyledger.llm.common import table
 from skyledger.llm.components import components, merged
 from skyledger.llm.decontam import decontaminate
 from skyledger.llm.line_dedup import TwiceFilter, segment_filter
+from skyledger.session import materialize
 from tests.conftest import SMALL
 
 DOC = "doc_id bigint, text string, doc string, row int, kept boolean"
@@ -139,6 +140,32 @@ def test_benchmark_hits_equal_brute_force(spark):
         assert got == expected
 
 
+def test_phrase_of_eight_words_in_all_texts_joins_nothing(spark, monkeypatch):
+    phrase = "as far as we know at this point"
+    rng = random.Random(8)
+    around = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    rows = [(i, f"{around()} {phrase} {around()}") for i in range(150)]
+    items = [(i, f"{around()} {phrase} {around()}") for i in range(150)]
+    rows.append((999, items[3][1]))
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows += [(1000 + i, f"{around()} {passage}") for i in range(20)]
+    items += [(500 + i, f"{passage} {around()}") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    written = {}
+
+    def watch(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+
+    monkeypatch.setattr(decontam, "materialize", watch)
+    for bits in (1 << 24, 64):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in decontaminate(frame(spark, rows), bench, bits).collect()}
+        assert got == plain_hits(rows, items)
+        # The copied item's windows and the 31 of the passage in 20 documents, whatever number of items holds them.
+        assert written["benchmark-hits"].count() == 23 + 20 * 31
+        assert written["benchmark-hits"].select("items").distinct().count() == 2
+
+
 def test_given_benchmark(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
