@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from skyledger.session import materialize
 HEATWAVE_WEIGHTS = (0.35, 0.25, 0.15, 0.15, 0.10)
 EXTREME_RAIN_WEIGHTS = (0.35, 0.25, 0.20, 0.10, 0.10)
 CATEGORY_CUTS = (0.50, 0.75, 0.90)
+REQUIRED = ["rainfall_mm", "soil_moisture", "temperature_c"]
 
 
 def climatology_baselines(panel: DataFrame, until_year: int | None = None) -> DataFrame:
@@ -36,10 +37,10 @@ def _relative_rain() -> Column:
     return X.clip(X.ratio("rainfall_mm", "rain_climo_mean"), 0.0, 2.0)
 
 
-def heatwave_features(df: DataFrame, until_year: int | None = None) -> DataFrame:
-    """The ``hw_`` columns; needs :func:`climatology_baselines`."""
+def heatwave_features(df: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None) -> DataFrame:
+    """The ``hw_`` columns; needs :func:`climatology_baselines`. ``fitted`` brings the coldest value ``low`` of a stored fit."""
     t, sm = F.col("temperature_c"), F.col("soil_moisture")
-    coldest = B.global_stats(df, {"low": F.min(B.fit_rows("temperature_c", until_year))})
+    coldest = B.global_stats(df, {"low": F.min(B.fit_rows("temperature_c", until_year))}) if fitted is None else fitted
     df = H.by_entity(df).withColumns(
         {
             "hw_temperature_anomaly": t - F.col("temp_climo_mean"),
@@ -126,45 +127,43 @@ def extreme_rain_features(df: DataFrame) -> DataFrame:
 
 
 def _scored(
-    df: DataFrame, name: str, weights: Sequence[float], signals: Sequence[Column], until_year: int | None
+    df: DataFrame, name: str, weights: Sequence[float], parts: Mapping[str, Column], until_year: int | None,
+    fitted: Mapping[str, Column] | None,
 ) -> DataFrame:
-    names = [f"__part{i}" for i in range(len(weights))]
-    scaled = B.add_min_max(df, dict(zip(names, signals)), until_year=until_year)
-    return scaled.withColumn(name, X.clip(X.weighted(zip(weights, names)), 0.0, 1.0)).drop(*names)
-
-
-def heatwave_score(df: DataFrame, until_year: int | None = None) -> DataFrame:
-    """Severity in [0, 1]; needs :func:`heatwave_features`."""
-    return _scored(
-        df,
-        "heatwave_severity_score",
-        HEATWAVE_WEIGHTS,
-        [
-            X.floor_zero("hw_temperature_anomaly"),
-            X.floor_zero("hw_heat_stress"),
-            X.floor_zero(F.col("sm_climo_mean") - F.col("soil_moisture")),
-            X.floor_zero(F.col("rain_climo_mean") - F.col("rainfall_mm")),
-            X.clip(X.ratio(X.evaporation_mm(), "rainfall_mm", 1.0), 0.0, 50.0),
-        ],
-        until_year,
-    )
+    scaled = B.add_min_max(df, parts, until_year=until_year, ends=fitted)
+    return scaled.withColumn(name, X.clip(X.weighted(zip(weights, parts)), 0.0, 1.0)).drop(*parts)
 
 
-def extreme_rain_score(df: DataFrame, until_year: int | None = None) -> DataFrame:
-    """Severity in [0, 1]; needs :func:`extreme_rain_features`."""
-    return _scored(
-        df,
-        "extreme_rainfall_score",
-        EXTREME_RAIN_WEIGHTS,
-        [
-            X.floor_zero("er_rainfall_anomaly"),
-            F.col("er_rainfall_intensity"),
-            F.col("er_runoff_pressure"),
-            F.col("er_soil_saturation"),
-            X.floor_zero("er_rainfall_acceleration"),
-        ],
-        until_year,
-    )
+def heatwave_parts() -> dict[str, Column]:
+    """What the heatwave score weighs, before scaling."""
+    return {
+        "__heat_anomaly": X.floor_zero("hw_temperature_anomaly"),
+        "__heat_stress": X.floor_zero("hw_heat_stress"),
+        "__heat_soil": X.floor_zero(F.col("sm_climo_mean") - F.col("soil_moisture")),
+        "__heat_rain": X.floor_zero(F.col("rain_climo_mean") - F.col("rainfall_mm")),
+        "__heat_demand": X.clip(X.ratio(X.evaporation_mm(), "rainfall_mm", 1.0), 0.0, 50.0),
+    }
+
+
+def extreme_rain_parts() -> dict[str, Column]:
+    """What the extreme-rain score weighs, before scaling."""
+    return {
+        "__wet_anomaly": X.floor_zero("er_rainfall_anomaly"),
+        "__wet_intensity": F.col("er_rainfall_intensity"),
+        "__wet_runoff": F.col("er_runoff_pressure"),
+        "__wet_soil": F.col("er_soil_saturation"),
+        "__wet_acceleration": X.floor_zero("er_rainfall_acceleration"),
+    }
+
+
+def heatwave_score(df: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None) -> DataFrame:
+    """Severity in [0, 1]; needs :func:`heatwave_features`. ``fitted`` brings stored ranges of :func:`heatwave_parts`."""
+    return _scored(df, "heatwave_severity_score", HEATWAVE_WEIGHTS, heatwave_parts(), until_year, fitted)
+
+
+def extreme_rain_score(df: DataFrame, until_year: int | None = None, fitted: Mapping[str, Column] | None = None) -> DataFrame:
+    """Severity in [0, 1]; needs :func:`extreme_rain_features`. ``fitted`` brings stored ranges of :func:`extreme_rain_parts`."""
+    return _scored(df, "extreme_rainfall_score", EXTREME_RAIN_WEIGHTS, extreme_rain_parts(), until_year, fitted)
 
 
 def extreme_categories(df: DataFrame, until_year: int | None = None) -> DataFrame:
@@ -182,7 +181,7 @@ def extreme_features(panel: DataFrame, until_year: int | None = None) -> DataFra
 
     With ``until_year`` everything that is fitted comes from the years up to it.
     """
-    df = complete_rows(panel, ["rainfall_mm", "soil_moisture", "temperature_c"])
+    df = complete_rows(panel, REQUIRED)
     df = extreme_rain_features(heatwave_features(climatology_baselines(df, until_year), until_year))
     df = heatwave_score(materialize(df, "extreme-features"), until_year)
     return extreme_categories(extreme_rain_score(df, until_year), until_year)

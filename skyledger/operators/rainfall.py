@@ -13,6 +13,8 @@ from skyledger.functions import history as H
 from skyledger.operators import baselines as B
 from skyledger.operators.cleaning import complete_rows, drop_leakage
 
+REQUIRED = ["rainfall_mm", "target_rainfall_next_month"]
+
 
 def monsoon(panel: DataFrame) -> DataFrame:
     df = panel.withColumns({name: X.season_flag("month", name) for name in K.SEASON_MONTHS}).withColumn(
@@ -117,7 +119,7 @@ def rainfall_dataset(
     panel: DataFrame, zones: Sequence[str] = K.CLIMATE_ZONES, until_year: int | None = None
 ) -> DataFrame:
     """All rainfall features, one-hot zones, leakage columns and incomplete rows removed."""
-    df = complete_rows(panel, ["rainfall_mm", "target_rainfall_next_month"])
+    df = complete_rows(panel, REQUIRED)
     # All normals first: one small zone table, one stage of month windows.
     zones_ = B.zone_normals(["rain"], until_year) | {"__zone_sm_mean": F.avg(B.fit_rows("soil_moisture", until_year))}
     df, zoned = B.ensure_group_stats(df, ["climate_zone", "month"], zones_)

@@ -13,6 +13,7 @@ from skyledger.operators import extreme as EX
 from skyledger.operators import quality as Q
 from skyledger.operators import rainfall as RF
 from skyledger.operators.carry import carried_history
+from skyledger.operators import fitted as FT
 from skyledger.operators.fitted import apply_drought, fit_drought
 from skyledger.operators.panel import base_panel
 
@@ -103,16 +104,35 @@ def test_work_grows_with_columns_and_not_with_pairs(spark, monkeypatch):
     assert seen == [4, 20]
 
 
-def test_stored_baselines_equal_a_fit_in_place(panel, tmp_path):
+@pytest.mark.parametrize("name", ["drought", "extreme", "rainfall"])
+def test_stored_baselines_equal_a_fit_in_place(panel, tmp_path, name):
     path = str(tmp_path / "fit")
-    fit_drought(panel, path, UNTIL)
+    fit, apply = {
+        "drought": (FT.fit_drought, FT.apply_drought),
+        "extreme": (FT.fit_extreme, FT.apply_extreme),
+        "rainfall": (FT.fit_rainfall, lambda df, p: FT.apply_rainfall(df, p, ["ASIA", "EUROPE"])),
+    }[name]
     # A panel that lacks the later rows gives the same fit; a second fit replaces the first.
-    fit_drought(panel.filter(F.col("year") <= UNTIL), path)
+    fit(panel.filter(F.col("year") <= 1995), path)
+    fit(panel.filter(F.col("year") <= UNTIL), path)
     keys = ["city", "year", "month"]
-    got = apply_drought(panel, path).toPandas().sort_values(keys).reset_index(drop=True)
-    want = DR.drought_features(panel, UNTIL).toPandas().sort_values(keys).reset_index(drop=True)
+    got = apply(panel, path).toPandas().sort_values(keys).reset_index(drop=True)
+    want = BUNDLES[name](panel, until_year=UNTIL).toPandas().sort_values(keys).reset_index(drop=True)
     assert len(got) and set(got.columns) == set(want.columns)
-    pd.testing.assert_frame_equal(got, want, check_like=True, check_exact=False, rtol=1e-9, atol=1e-9)
+    pd.testing.assert_frame_equal(got, want, check_like=True, check_exact=False, rtol=1e-9, atol=1e-9, check_dtype=False)
+
+
+def test_unseen_places_have_no_extreme_score_and_no_training_row(panel, tmp_path):
+    heat, rain = str(tmp_path / "heat"), str(tmp_path / "rain")
+    some = panel.select("city").distinct().orderBy("city").limit(2).toPandas()["city"].tolist()
+    both, known = panel.filter(F.col("city").isin(some)), panel.filter(F.col("city") == some[0])
+    FT.fit_extreme(known, heat)
+    FT.fit_rainfall(known, rain)
+    counts = [F.count(c).alias(c) for c in (*FT.EXTREME_SCORES.values(), "heatwave_category", "extreme_rainfall_category")]
+    got = {r.city: r for r in FT.apply_extreme(both, heat).groupBy("city").agg(F.count("*").alias("n"), *counts).collect()}
+    assert set(got[some[0]][1:]) == {got[some[0]].n} and set(got[some[1]][2:]) == {0} and got[some[1]].n > 0
+    assert {r.city for r in FT.apply_rainfall(both, rain).select("city").distinct().collect()} == {some[0]}
+    assert FT.apply_extreme(panel.limit(0), heat).count() == FT.apply_rainfall(panel.limit(0), rain).count() == 0
 
 
 def test_unseen_places_get_no_score(panel, tmp_path):
