@@ -214,6 +214,35 @@ def _fitted_drought(panel: DataFrame) -> DataFrame:
 
 
 features("fitted_drought", "fit3", FITTED, _fitted_drought, texts="drought_category")
+
+
+def _fitted_extreme(panel: DataFrame) -> DataFrame:
+    """As :func:`_fitted_drought` for heat and extreme rain."""
+    path = scratch_path(panel.sparkSession, "extreme-fit")
+    FT.fit_extreme(panel, path, q.FIT_UNTIL)
+    return FT.apply_extreme(panel, path)
+
+
+features(
+    "fitted_extreme", "fx4",
+    "hw_temperature_anomaly hw_temperature_zscore hw_heat_stress hw_zone_temp_zscore hw_seasonal_heat_deviation er_rainfall_anomaly "
+    "er_rainfall_zscore er_zone_rainfall_anomaly er_seasonal_rainfall_deviation heatwave_severity_score extreme_rainfall_score",
+    _fitted_extreme, texts="heatwave_category extreme_rainfall_category",
+)
+FITTED_RAIN = (
+    "rainfall_mm rainfall_anomaly rainfall_anomaly_pct rainfall_momentum rainfall_seasonal_deviation temperature_anomaly "
+    "soil_moisture_zone_anomaly zone_rainfall_anomaly zone_rainfall_zscore"
+)
+
+
+@register("fitted_rainfall", q.query(("fr",), f"SELECT city, year, month, {q.rs(FITTED_RAIN)} FROM fr"))
+def fitted_rainfall(t: Tables) -> DataFrame:
+    """The rainfall training table by normals of the earlier years, stored and read back."""
+    path = scratch_path(t.spark, "rainfall-fit")
+    FT.fit_rainfall(t.panel, path, q.FIT_UNTIL)
+    return out(FT.apply_rainfall(t.panel, path, REGIONS), ["city", "year", "month", *FITTED_RAIN.split()])
+
+
 features(
     "climatology", "climo",
     "temp_climo_mean temp_climo_std rain_climo_mean rain_climo_std sm_climo_mean sm_climo_std zone_temp_mean zone_temp_std "

@@ -474,6 +474,86 @@ cte(
     FROM (SELECT *, {_edges("heatwave", "heatwave_severity_score")}, {_edges("extreme_rainfall", "extreme_rainfall_score")} FROM ew_score)""",
 )
 
+# Heat and extreme rain by baselines of the years up to FIT_UNTIL.
+HEAT_SIGNALS = {"fh1": "hot", "fh2": "heat_stress", "fh3": "dry", "fh4": "rainless", "fh5": "demand"}
+WET_SIGNALS = {"fe1": "wet", "fe2": "intensity", "fe3": "runoff_pressure", "fe4": "saturation", "fe5": "accelerating"}
+
+
+def within(x: str, name: str) -> str:
+    """Scaled by fitted ends, 0 for a constant; values beyond the ends count as the ends. Null stays null."""
+    return (
+        f"CASE WHEN {x} IS NULL THEN NULL WHEN {name}_hi = {name}_lo THEN 0.0::DOUBLE "
+        f"ELSE (least(greatest({x}, {name}_lo), {name}_hi) - {name}_lo) / ({name}_hi - {name}_lo) END"
+    )
+
+
+def fitted_score(weights: tuple[float, ...], signals: dict[str, str]) -> str:
+    return clip(" + ".join(f"{w}::DOUBLE * ({within(x, n)})" for w, (n, x) in zip(weights, signals.items(), strict=True)), "0.0::DOUBLE", "1.0::DOUBLE")
+
+
+cte(
+    "fx0", ("master", "early"),
+    f"""SELECT m.*, {EVAP} AS evap, p.* EXCLUDE (city, month), z.* EXCLUDE (climate_zone, month), s.* EXCLUDE (month)
+    FROM master m LEFT JOIN (SELECT city, month, avg(temperature_c) AS temp_climo_mean, {zero_std("stddev_samp(temperature_c)", "0.1")} AS temp_climo_std,
+      avg(rainfall_mm) AS rain_climo_mean, {zero_std("stddev_samp(rainfall_mm)", "0.01")} AS rain_climo_std, avg(soil_moisture) AS sm_climo_mean
+      FROM early GROUP BY 1, 2) p USING (city, month)
+    LEFT JOIN (SELECT climate_zone, month, avg(temperature_c) AS zone_temp_mean, {zero_std("stddev_samp(temperature_c)", "0.1")} AS zone_temp_std,
+      avg(rainfall_mm) AS zone_rain_mean FROM early GROUP BY 1, 2) z USING (climate_zone, month)
+    LEFT JOIN (SELECT month, avg(temperature_c) AS seasonal_temp_mean, avg(rainfall_mm) AS seasonal_rain_mean FROM early GROUP BY 1) s USING (month)""",
+)
+cte(
+    "fx1", ("fx0",),
+    f"""SELECT *, temperature_c - temp_climo_mean AS hw_temperature_anomaly,
+    {clip("(temperature_c - temp_climo_mean) / temp_climo_std", "-5.0::DOUBLE", "5.0::DOUBLE")} AS hw_temperature_zscore,
+    {clip("(temperature_c - zone_temp_mean) / (zone_temp_std + 1e-6)", "-5.0::DOUBLE", "5.0::DOUBLE")} AS hw_zone_temp_zscore,
+    temperature_c - seasonal_temp_mean AS hw_seasonal_heat_deviation,
+    rainfall_mm - rain_climo_mean AS er_rainfall_anomaly,
+    {clip("(rainfall_mm - rain_climo_mean) / rain_climo_std", "-5.0::DOUBLE", "5.0::DOUBLE")} AS er_rainfall_zscore,
+    rainfall_mm - zone_rain_mean AS er_zone_rainfall_anomaly, rainfall_mm - seasonal_rain_mean AS er_seasonal_rainfall_deviation,
+    (temperature_c - temp_climo_mean) * ({pos("2.0::DOUBLE - (" + clip("rainfall_mm / (rain_climo_mean + 1e-6)", "0.0::DOUBLE", "2.0::DOUBLE") + ")")}) AS hw_heat_stress,
+    {pos("temperature_c - temp_climo_mean")} AS hot, {pos("sm_climo_mean - soil_moisture")} AS dry, {pos("rain_climo_mean - rainfall_mm")} AS rainless,
+    {clip("evap / (rainfall_mm + 1.0::DOUBLE)", "0.0::DOUBLE", "50.0::DOUBLE")} AS demand, {pos("rainfall_mm - rain_climo_mean")} AS wet,
+    rainfall_mm / 30.44::DOUBLE AS intensity, {clip("sro * 1000.0::DOUBLE / (rainfall_mm + 1e-6)", "0.0::DOUBLE", "5.0::DOUBLE")} AS runoff_pressure,
+    {clip("soil_moisture / 0.45::DOUBLE", "0.0::DOUBLE", "1.0::DOUBLE")} AS saturation,
+    {pos("(rainfall_mm - rolling_rainfall_3m) - (rolling_rainfall_3m - rolling_rainfall_6m)")} AS accelerating FROM fx0""",
+)
+cte("fx2", ("fx1",), f"SELECT *, {pos('hw_heat_stress')} AS heat_stress FROM fx1")
+cte(
+    "fx3", ("fx2",),
+    f"""SELECT *, {fitted_score((0.35, 0.25, 0.15, 0.15, 0.10), HEAT_SIGNALS)} AS heatwave_severity_score,
+    {fitted_score((0.35, 0.25, 0.20, 0.10, 0.10), WET_SIGNALS)} AS extreme_rainfall_score
+    FROM fx2 CROSS JOIN (SELECT {ends(HEAT_SIGNALS | WET_SIGNALS)} FROM fx2 WHERE year <= {FIT_UNTIL})""",
+)
+
+
+def _fitted_edges(name: str, x: str) -> str:
+    return ", ".join(f"quantile_cont({x}, {p / 100}) AS {name}_p{p}" for p in (50, 75, 90))
+
+
+cte(
+    "fx4", ("fx3",),
+    f"""SELECT *, CASE WHEN heatwave_p90 IS NOT NULL THEN {_cat("heatwave", "heatwave_severity_score").removesuffix(" AS heatwave_category")} END AS heatwave_category,
+    CASE WHEN extreme_rainfall_p90 IS NOT NULL THEN {_cat("extreme_rainfall", "extreme_rainfall_score").removesuffix(" AS extreme_rainfall_category")} END AS extreme_rainfall_category
+    FROM fx3 LEFT JOIN (SELECT city, {_fitted_edges("heatwave", "heatwave_severity_score")}, {_fitted_edges("extreme_rainfall", "extreme_rainfall_score")}
+      FROM fx3 WHERE year <= {FIT_UNTIL} GROUP BY 1) USING (city)""",
+)
+
+# The rainfall table by normals of the years up to FIT_UNTIL.
+cte(
+    "fr", ("rain0", "early"),
+    f"""SELECT r.city, r.date, r.year, r.month, r.rainfall_mm, p.rain_mean AS normal, r.rainfall_mm - p.rain_mean AS rainfall_anomaly,
+    (r.rainfall_mm - p.rain_mean) / (p.rain_mean + 1e-6) AS rainfall_anomaly_pct,
+    r.rainfall_prev_1 - p.rain_mean AS rainfall_momentum, r.rainfall_prev_1 - b.rain_mean AS rainfall_seasonal_deviation,
+    r.temperature_c - p.t_mean AS temperature_anomaly, r.soil_moisture - z.z_sm AS soil_moisture_zone_anomaly,
+    r.rainfall_mm - z.z_rain AS zone_rainfall_anomaly, (r.rainfall_mm - z.z_rain) / (coalesce(z.z_std, 1.0) + 1e-6) AS zone_rainfall_zscore
+    FROM rain0 r JOIN (SELECT city, month, avg(rainfall_mm) AS rain_mean, avg(temperature_c) AS t_mean FROM early GROUP BY 1, 2) p
+      ON r.city = p.city AND r.month = p.month
+    JOIN (SELECT city, month % 12 + 1 AS month, avg(rainfall_mm) AS rain_mean FROM early GROUP BY 1, 2) b ON r.city = b.city AND r.month = b.month
+    JOIN (SELECT climate_zone, month, avg(soil_moisture) AS z_sm, avg(rainfall_mm) AS z_rain, stddev_samp(rainfall_mm) AS z_std FROM early GROUP BY 1, 2) z
+      ON r.climate_zone = z.climate_zone AND r.month = z.month
+    WHERE r.rolling_rainfall_std_3m IS NOT NULL AND r.rolling_rainfall_median_6m IS NOT NULL AND r.sro_trend IS NOT NULL""",
+)
+
 # Observation tables.
 cte(
     "obs", (),
