@@ -259,3 +259,25 @@ def test_state_record_nests_everything(tables):
     assert set(record["drought_prediction"]["drought_category"].split()) <= set(K.RISK_CLASSES)
     assert len(record["drivers"]["drought_drivers"]) in (1, 2, 3)
     assert record["heat_impact"]["heat_recommendations"]
+
+
+def test_histories_are_built_for_the_cities_asked_for(spark, tables, monkeypatch):
+    """Values equal those of all cities built together, and no other city's history is built."""
+    panel = tables.panel
+    cities = panel.select("city").distinct().orderBy("city").limit(2)
+    names = [r["city"] for r in cities.collect()]
+    whole = CY.carried_history(panel).filter(F.col("city").isin(*names))
+    some = CY.carried_history(panel, cities=cities)
+    assert some.count() == whole.count() > 0 and some.exceptAll(whole).isEmpty()
+
+    built, build = [], CY.carried_history
+    monkeypatch.setattr(CY, "carried_history", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    asked = spark.createDataFrame([(n, "ASIA", 2000, 6) for n in names], "city string, climate_zone string, year int, month int")
+    assert L.state_rows(asked, panel).count() == 2
+    assert sorted(r["city"] for r in built[0].select("city").distinct().collect()) == names
+
+
+def test_scored_rows_are_not_stored_whole(tables):
+    from skyledger.plans import catalog
+
+    assert not any("/chained-" in f for f in catalog._chained(tables).inputFiles())
