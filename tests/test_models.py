@@ -220,3 +220,25 @@ def test_registered_races_have_all_candidates_and_the_winner_is_refitted(tables,
     monkeypatch.setattr(T, "refit", lambda *given: refitted.append(given[-1]) or refit(*given))
     assert catalog.batch_score(tables).count() > 0
     assert [type(e).__name__ for e in refitted] == ["LogisticRegression"]
+
+
+def test_independent_fits_run_at_the_same_time(spark):
+    """Each piece waits for the other, so one after the other they would never end; results keep their order."""
+    from threading import Barrier
+
+    meet = Barrier(2, timeout=20)
+
+    def piece(n):
+        meet.wait()
+        return spark.range(n).count()
+
+    assert T.together(spark, [lambda: piece(3), lambda: piece(5)]) == [3, 5]
+    assert T.together(spark, [lambda: 7]) == [7]
+
+
+def test_vectors_are_dealt_out_evenly(spark):
+    """One file of rows becomes a part for each core, without losing a row."""
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y")
+    stored = T.vectors(T.assembler(df, ["x"]).fit(df), df, ["y"])
+    assert stored.count() == 400
+    assert len(stored.inputFiles()) >= spark.sparkContext.defaultParallelism
