@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +31,7 @@ from skyledger.session import materialize
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 400_000  # words in one of a task's two generations of remembered words
+CACHED_WORDS = 400_000  # words and parts in one of a worker's two generations of remembered words
 LONG_WORD = 64  # bytes; longer words are not remembered
 ROWS_OUT = 4096  # pieces in an output batch
 
@@ -38,6 +39,7 @@ ROWS_OUT = 4096  # pieces in an output batch
 # their parts, as the vocabulary's own pattern cuts them.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 # The vocabulary's sign for each byte: a byte that is no visible sign stands as a letter from U+0100 on.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
 _SIGNS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
@@ -47,7 +49,8 @@ class WordIds(dict):
     """Token ids of a word (UTF-8 bytes without ASCII white space) as little-endian 32-bit numbers.
 
     The vocabulary never joins signs across white space, so a text's ids are its words' ids in order.
-    Plain words go part by part to the model; others, and those that may hold a special token,
+    Plain words go part by part to the model, and a part is remembered like a word: it is its own only
+    part, so many words share its ids. Other words, and those that may hold a special token, go
     through the whole tokenizer. When a generation of words is full, the words used since stay.
     """
 
@@ -69,14 +72,23 @@ class WordIds(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
+        if len(word) <= LONG_WORD:
+            # ASCII letters, alone or before one mark, need no pattern.
+            low = word.lower()
+            if low.isalpha():
+                return self._part(low.decode()) if low == word else self[low]
+            if word[-1] in _MARKS and low[:-1].isalpha():
+                return self[low[:-1]] + self[word[-1:]]
         text = word.decode("utf-8")
         if len(word) > LONG_WORD or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        ids = []
-        for part in _PARTS.findall(text.lower()):
-            if not part.isascii():
-                part = part.encode("utf-8").decode("latin-1").translate(_SIGNS)
-            ids += [t.id for t in self._model.tokenize(part)]
+        parts = _PARTS.findall(text.lower())
+        return self._part(text) if parts == [text] else b"".join([self[part.encode("utf-8")] for part in parts])
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode("utf-8").decode("latin-1").translate(_SIGNS)
+        ids = [t.id for t in self._model.tokenize(part)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: bytes) -> bytes:
@@ -84,6 +96,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=1)
+def known_words(path: str) -> WordIds:
+    """The words that this worker knows, kept from task to task."""
+    return WordIds(path)
+
+
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
     """The pieces of each document of ``docs`` (doc_id, text), written to the shared folder.
 
@@ -97,7 +115,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        words, part = known_words(tokenizer), TaskContext.get().partitionId()
         written = np.zeros(capacity + 1, np.int64)
         rows: dict[str, list] = {f.name: [] for f in schema}
         for batch in batches:

@@ -98,6 +98,25 @@ def test_word_ids_equal_the_whole_text_ids():
         assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_parts_of_words_are_encoded_once():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, part):
+            self.asked.append(part)
+            return self.model.tokenize(part)
+
+    whole, words = Tokenizer.from_file(packing.TOKENIZER), packing.WordIds(packing.TOKENIZER)
+    words._model = counted = Counted(words._model)
+    text = "river River, RIVER. (river) river's \"River\" Überfluß überfluß, über2 a<|b don''t"
+    assert words.of(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert counted.asked.count("river") == 1
+    assert len(counted.asked) == len(set(counted.asked))
+    # The next task of a worker knows them too.
+    assert packing.known_words(packing.TOKENIZER) is packing.known_words(packing.TOKENIZER)
+
+
 def check_packing(rows, texts, capacity):
     """Pieces are the documents' ids, sequences are filled without gaps."""
     whole = Tokenizer.from_file(packing.TOKENIZER)
