@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontam, line_dedup, near_dup, queries, sharding
+from skyledger.llm import decontam, line_dedup, near_dup, quality, queries, sharding
 from skyledger.llm.common import table
 from skyledger.llm.components import components, merged
 from skyledger.llm.decontam import decontaminate
@@ -396,6 +396,41 @@ def test_pipeline_decides_per_row(spark):
     assert through(clean, rows) == expect([r for r in rows if r[1] != leak])
 
 
+def test_pipeline_shuffles_no_text_that_surely_stays(spark):
+    import corpus_pipeline as pipeline
+
+    given = spark.range(4_000).select(F.when(F.col("id") > 9, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
+    rows = pipeline._with_row(given)
+    gone = rows.where("text rlike '[05]7$'").select(F.col("row").alias("gone"))
+    left = pipeline._without(rows, gone)
+    assert sorted(left.collect(), key=str) == sorted(given.where("not text rlike '[05]7$'").collect(), key=str)
+    assert pipeline._without(rows, gone.limit(0)).count() == 4_000 and pipeline._without(rows, rows.select(F.col("row").alias("gone"))).count() == 0
+    # Rows that are not marked come from the scan alone, even where nothing is broadcast but the map.
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pipeline._without(rows, gone)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    first = plan[plan.index("Union") :].split("\n   +-")[0]
+    assert "NOT " in first and "hashpartitioning" not in first
+
+
+def test_quality_rules_send_a_text_once_and_in_small_batches(spark):
+    from skyledger.llm.common import BATCH_ROWS
+
+    model = quality.QualityModel(None, float("inf"))
+    rows = [(1, "word " * 60), (2, None), (3, "é " * 70), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = quality.quality_rules(docs, model)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(text" not in plan.replace("`", "")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+    assert {r.doc_id: (r.n_words, r.word_chars, r.text) for r in out.collect()} == {1: (60, 240, rows[0][1]), 2: (0, 0, None), 3: (70, 70, rows[2][1]), 4: (0, 0, "")}
+    binary = docs.withColumn("text", F.col("text").cast("binary"))
+    assert {r.doc_id: r.n_words for r in quality.quality_rules(binary, model).collect()} == {1: 60, 2: 0, 3: 70, 4: 0}
+
+
 @pytest.mark.parametrize("most", [line_dedup.ID_BITS, line_dedup.BLOCK_BITS])
 def test_marked_ids_hold_every_id(spark, most):
     ids = spark.range(0, 60_000, 7).select(F.col("id").alias("drop_doc"))
