@@ -260,3 +260,21 @@ def test_summary_counts_failed_payloads(spark):
     store = spark.createDataFrame([], "district_id long, observation_date date")
     got = {r[0]: tuple(r)[1:] for r in I.ingest_summary(RD.daily_rows(payloads), store, RD.failed_payloads(payloads)).collect()}
     assert got == {1: (2, 1, 1, 1, 2, ["not a date"]), 2: (0, 0, 0, 1, 0, ["no days"]), 3: (1, 1, 0, 0, 0, []), None: (3, 2, 1, 2, 2, ["no days", "not a date"])}
+
+
+def test_ingest_summary_collects_errors_from_few_rows(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 9 > 0, F.col("id") % 3).alias("district_id"), F.expr("date_add(date'2001-01-01', cast(id % 100 as int))").alias("observation_date"))
+    failures = spark.range(600).select((F.col("id") % 4).alias("district_id"), (F.col("id") % 2).alias("failed_days"), F.when(F.col("id") % 5 == 0, "no days").otherwise("not a date").alias("error"))
+    summary = I.ingest_summary(rows, rows.limit(0), failures)
+    got = sorted(map(tuple, summary.collect()), key=str)
+    assert len(got) == 6 and all(r[1] == r[2] + r[3] for r in got)
+    assert (None, 900, 400, 500, 600, 300, ["no days", "not a date"]) in got
+    assert (3, 0, 0, 0, 150, 150, ["no days", "not a date"]) in got
+    # What reaches the collecting step was summed per district before.
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Expand") :].count("Aggregate [district_id") >= 3
+
+
+def test_payloads_are_one_aggregation(tables):
+    plan = tables.payloads._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
