@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from skyledger import constants as K
@@ -60,6 +61,18 @@ def test_regressors_refit_importance_and_reload(spark, data, tmp_path):
     np.testing.assert_allclose(a, b)
 
 
+def test_a_fit_reads_stored_vectors_only(data, monkeypatch):
+    seen, real = [], LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, df: seen.append(df) or real(self, df))
+    train, validation, test = T.chronological_split(data)
+    model = T.refit(train, validation, ["x", "y"], T.regressors("target")["LinearRegression"])
+    # All passes of the fit read the vector and the label of every row from a table of their own.
+    assert [df.columns for df in seen] == [[T.FEATURES, "target"]] and all("/vectors-" in f for f in seen[0].inputFiles())
+    assert seen[0].count() == train.count() + validation.count()
+    assert T.label_columns(T.classifiers()["RandomForest"]) == ["label", "weight"] and T.label_columns(T.classifiers(weight=None)["RandomForest"]) == ["label"]
+    assert T.score_numbers(model, test).agg(F.max(F.abs(F.col("predicted") - F.col("target")))).head()[0] < 0.5
+
+
 def test_random_search_uses_year_folds(data):
     coded = data.withColumn("label", (F.col("x") > 0).cast("double"))
     forest = RandomForestClassifier(featuresCol=T.FEATURES, labelCol="label", seed=1)
