@@ -431,6 +431,35 @@ def test_quality_rules_send_a_text_once_and_in_small_batches(spark):
     assert {r.doc_id: r.n_words for r in quality.quality_rules(binary, model).collect()} == {1: 60, 2: 0, 3: 70, 4: 0}
 
 
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    from skyledger.llm.common import BATCH_BYTES, BATCH_ROWS, map_rows, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    try:
+        for value, want in (("512k", "512k"), ("64MB", str(BATCH_BYTES)), (str(64 << 20), str(BATCH_BYTES)), ("1000b", "1000b")):
+            spark.conf.set(key, value)
+            small_batches(spark)
+            assert spark.conf.get(key) == want
+        spark.conf.set(key, held)
+        texts = spark.range(0, BATCH_ROWS, 1, 1).selectExpr("id", "repeat('x', 20000) as text")
+        # A slice is a view of its batch: the whole buffer shows what the engine sent.
+        work = lambda batch: {"bytes": [batch.column("text").buffers()[2].size], "n": [batch.num_rows]}
+        sent = map_rows(texts, work, "bytes bigint, n bigint").collect()
+        assert sum(r.n for r in sent) == BATCH_ROWS and max(r.bytes for r in sent) <= 2 * BATCH_BYTES
+    finally:
+        spark.conf.set(key, held)
+
+
+def test_few_words_are_remembered_and_all_are_hashed():
+    from skyledger.llm.common import CACHE_HASHES, WordHashes
+
+    words = [b"w%d" % i for i in range(120_000)]
+    cache = WordHashes()
+    got = cache.of(words)
+    assert len(cache) <= CACHE_HASHES <= 100_000 and (cache.of(words[:9]) == got[:9]).all() and len(set(got.tolist())) == len(words)
+
+
 @pytest.mark.parametrize("most", [line_dedup.ID_BITS, line_dedup.BLOCK_BITS])
 def test_marked_ids_hold_every_id(spark, most):
     ids = spark.range(0, 60_000, 7).select(F.col("id").alias("drop_doc"))
