@@ -189,6 +189,33 @@ def test_quality_keeps_good_rows_and_drops_bad_ones(spark):
     assert good >= 0.99 and bad <= 0.1
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = quality.labelled_ratios(docs, labels).toPandas().sort_values("doc")
+    wanted = docs.join(labels, "doc_id").select("doc_id", "quality", "text").collect()
+    known = {r.doc_id: (r.quality, quality.statistics((r.text or "").encode())) for r in wanted}
+    known = {i: (q, ratios) for i, (q, (c, ratios)) in known.items() if not quality.base_failed(c[0], c[4])}
+    assert len(rows) > 200 and {d: (q, list(r)) for d, q, r in rows.itertuples(index=False)} == known
+    ratios, good = np.array(rows["ratios"].tolist()), rows["quality"].to_numpy() == 1
+    ends = np.quantile(ratios[good], [quality.RANGE_TAIL, 1 - quality.RANGE_TAIL], axis=0)
+    # A bound far below the number of labelled rows changes where the rows are, not how many count.
+    for bound in (30, 10_000):
+        model = quality.fit_quality(docs, labels, bound)
+        assert np.allclose([model.low, model.high], ends, rtol=0, atol=1e-12), bound
+        assert model.threshold == pytest.approx(quality.calibrate(model.scores(ratios), good), abs=1e-12)
+        assert model.forest.size == quality.TREE_ROWS
+
+
+def test_trees_draw_from_all_rows_whatever_the_partitions(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("ratios"))
+    drawn = quality.drawn_rows(rows, 3000, trees=200, tree_rows=64)
+    assert drawn.shape == (200, 64, 2) and all(len(set(t[:, 0])) == 64 for t in drawn)
+    # 12,800 draws out of 3,000 rows leave out some 42 of them.
+    assert len(np.unique(drawn[:, :, 0])) > 2_900 and abs(drawn[:, :, 0].mean() - 1499.5) < 40
+    assert (drawn == quality.drawn_rows(rows.repartition(7), 3000, trees=200, tree_rows=64)).all()
+
+
 def test_quality_without_labels_rejects_by_the_base_only(spark):
     docs = docs_of(spark, ODD)
     model = quality.fit_quality(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
