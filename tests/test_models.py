@@ -4,13 +4,15 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from skyledger import constants as K
 from skyledger.models import diagnostics as D
 from skyledger.models import training as T
+from skyledger.models import trees
 from skyledger.operators import cleaning as C
 from skyledger.operators import scenario as S
 
@@ -255,3 +257,68 @@ def test_vectors_are_dealt_out_evenly(spark):
     stored = T.vectors(T.assembler(df, ["x"]).fit(df), df, ["y"])
     assert stored.count() == 400
     assert len(stored.inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
+@pytest.fixture(scope="module")
+def coarse(spark):
+    """Features of few values, so that the cuts are those of MLlib, and a class and a number that follow them."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    x = rng.integers(0, 12, (n, 4)).astype(float)
+    y = x[:, 0] * 1.3 - x[:, 1] * x[:, 2] / 7 + rng.normal(size=n)
+    pdf = pd.DataFrame({f"x{i}": x[:, i] for i in range(4)} | {"y": y, "label": np.digitize(y, [-3.0, 4.0]).astype(float), "weight": 0.5 + rng.random(n)})
+    df = VectorAssembler(inputCols=[f"x{i}" for i in range(4)], outputCol=T.FEATURES).transform(spark.createDataFrame(pdf))
+    return df.select(T.FEATURES, "y", "label", "weight").repartition(3).cache()
+
+
+def test_packed_trees_equal_those_of_mllib(coarse, monkeypatch):
+    """Without drawing, every tree is determined: one tree, and boosted trees over several stored margins."""
+    data = trees.packed(coarse, ["y", "label", "weight"])
+    common = {"featuresCol": T.FEATURES, "maxDepth": 3, "seed": 5}
+    boosted = GBTClassifier(maxIter=3, **common)
+    for estimator, out in (
+        (RandomForestRegressor(labelCol="y", numTrees=1, bootstrap=False, **common), "prediction"),
+        (RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=1, bootstrap=False, **common), "probability"),
+        (GBTRegressor(labelCol="y", maxIter=3, **common), "prediction"),
+        (OneVsRest(classifier=boosted, featuresCol=T.FEATURES, labelCol="label", weightCol="weight"), "rawPrediction"),
+    ):
+        assert trees.grows(estimator)
+        for bound in (trees.DRIVER_BYTES, 0)[: 2 if "RandomForestClassifier" in estimator.uid else 1]:  # added up by the driver, or in the cluster
+            monkeypatch.setattr(trees, "DRIVER_BYTES", bound)
+            model = trees.fit(estimator, data)
+            a, b = (
+                np.array([np.array(r[0], dtype=float).ravel() for r in T.transformed(PipelineModel(stages=[m]), coarse).select(out).collect()])
+                for m in (model, estimator.fit(coarse))
+            )
+            assert type(model) is type(estimator.fit(coarse.limit(200))) and np.abs(a - b).max() < 1e-9, (estimator, bound)
+        monkeypatch.undo()
+
+
+def test_packed_forests_are_as_good_and_others_are_left_to_mllib(spark, coarse, monkeypatch):
+    packings, real = [], trees.packed
+    monkeypatch.setattr(trees, "packed", lambda *given, **named: packings.append(1) or real(*given, **named))
+    monkeypatch.setattr(T, "PACK_ROWS", 0)
+    learn = T.learner(coarse, ["y", "label", "weight"])
+    scores = []
+    for learned in (learn, lambda e: e.fit(coarse)):
+        classes = learned(RandomForestClassifier(featuresCol=T.FEATURES, labelCol="label", numTrees=15, maxDepth=5, seed=1)).transform(coarse)
+        numbers = learned(RandomForestRegressor(featuresCol=T.FEATURES, labelCol="y", numTrees=15, maxDepth=5, seed=1)).transform(coarse)
+        scores.append((classes.filter("label = prediction").count() / coarse.count(), numbers.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).head()[0]))
+    assert scores[0][0] == pytest.approx(scores[1][0], abs=0.02) and scores[0][1] == pytest.approx(scores[1][1], rel=0.05)
+    assert packings == [1]
+    assert not trees.grows(LinearRegression()) and not trees.grows(RandomForestRegressor(subsamplingRate=0.5))
+    monkeypatch.setattr(T, "PACK_ROWS", 1 << 40)
+    T.learner(coarse, ["y"])(RandomForestRegressor(featuresCol=T.FEATURES, labelCol="y", numTrees=1, maxDepth=1))
+    assert packings == [1]
+
+
+def test_cuts_come_from_all_rows(spark):
+    """No bin holds far more than its share, whatever the parts, and a rare value has a bin of its own."""
+    df = spark.range(0, 200_000, 1, 5).selectExpr("CAST(hash(id) AS DOUBLE) AS a", "CAST(id = 777 AS DOUBLE) AS b", "CAST(1 AS DOUBLE) AS y")
+    data = trees.packed(VectorAssembler(inputCols=["a", "b"], outputCol=T.FEATURES).transform(df), ["y"])
+    assert len(data.cuts[0]) == 31 and data.cuts[1].tolist() == [0.5]
+    counts = np.zeros((2, 32), int)
+    for r in data.blocks.collect():
+        for i, bins in enumerate(np.frombuffer(r.bins, np.uint8).reshape(2, r.n)):
+            counts[i] += np.bincount(bins, minlength=32)
+    assert counts[1, :2].tolist() == [199_999, 1] and counts[0].sum() == 200_000 and 5_500 < counts[0].min() <= counts[0].max() < 7_000
