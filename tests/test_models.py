@@ -322,3 +322,13 @@ def test_cuts_come_from_all_rows(spark):
         for i, bins in enumerate(np.frombuffer(r.bins, np.uint8).reshape(2, r.n)):
             counts[i] += np.bincount(bins, minlength=32)
     assert counts[1, :2].tolist() == [199_999, 1] and counts[0].sum() == 200_000 and 5_500 < counts[0].min() <= counts[0].max() < 7_000
+
+
+def test_no_share_of_a_class_is_negative():
+    """Sums of a class that lies on the left only, in two orders of adding, differ in the last digit."""
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        total = np.zeros((1, 1, 32, 2))
+        total[0, 0, :31, 0], total[0, 0, 31, 1] = rng.random(31) / 3, 9.0
+        feature, cut, gain, whole, left, right = trees.best_splits(total, None, np.array([31]), 2)
+        assert cut[0] == 30 and gain[0] > 0 and right[0].tolist() == [0.0, 9.0]
