@@ -325,10 +325,12 @@ def test_cuts_come_from_all_rows(spark):
 
 
 def test_no_share_of_a_class_is_negative():
-    """Sums of a class that lies on the left only, in two orders of adding, differ in the last digit."""
+    """Sums of a class that lies on the left only, added up over the bins of two features, differ in the last digit."""
     rng = np.random.default_rng(0)
     for _ in range(300):
-        total = np.zeros((1, 1, 32, 2))
-        total[0, 0, :31, 0], total[0, 0, 31, 1] = rng.random(31) / 3, 9.0
-        feature, cut, gain, whole, left, right = trees.best_splits(total, None, np.array([31]), 2)
-        assert cut[0] == 30 and gain[0] > 0 and right[0].tolist() == [0.0, 9.0]
+        total = np.zeros((2, 1, 32, 2))
+        share = rng.random(31) / 3
+        total[0, 0, 1:, 0], total[0, 0, :, 1] = rng.permutation(share), 9.0 / 32
+        total[1, 0, :31, 0], total[1, 0, 31, 1] = share, 9.0
+        feature, cut, gain, whole, left, right = trees.best_splits(total, None, np.array([31, 31]), 2)
+        assert (feature[0], cut[0]) == (1, 30) and gain[0] > 0 and right[0].tolist() == [0.0, 9.0]
